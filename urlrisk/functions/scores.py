@@ -198,5 +198,6 @@ def rule_score(
 
 def decayed(score: Column, inserted_at: Column, as_of: Column) -> Column:
     """Score after exponential ageing."""
-    age = (F.unix_micros(as_of) - F.unix_micros(inserted_at)) / F.lit(1e6)
+    now, then = as_of.cast("timestamp"), inserted_at.cast("timestamp")
+    age = (F.unix_micros(now) - F.unix_micros(then)) / F.lit(1e6)
     return score * F.exp(age * F.lit(-C.DECAY_PER_SECOND))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlrisk import catalogs as C
+from urlrisk.functions import text as X
 
 HOST_MODE = {"A": "prefix", "B": "charstrip"}
 
@@ -205,40 +206,49 @@ def query_params(query_string: Column) -> Column:
 
 def open_redirect_target(url: Column) -> Column:
     """URL embedded in the first value of a redirect-like parameter; null when there is none."""
-    params = query_params(query(url))
-    names = F.transform(params, lambda p: p["name"])
-    first = F.filter(params, lambda p, i: F.array_position(names, p["name"]) == i + 1)
-    named = F.filter(first, lambda p: F.lower(p["name"]).isin(C.OPEN_REDIRECT_PARAMS))
-    targets = F.filter(
-        F.transform(named, lambda p: percent_decode(p["value"])), lambda t: t.rlike("^https?://")
-    )
-    # most URLs hold no "http" after their scheme: skip the array work for them
-    return F.when(F.contains(query(url), F.lit("http")) | F.contains(query(url), F.lit("%")), F.get(targets, F.lit(0)))
+    def first_target(params: Column) -> Column:
+        names = F.transform(params, lambda p: p["name"])
+        first = F.filter(params, lambda p, i: F.array_position(names, p["name"]) == i + 1)
+        named = F.filter(first, lambda p: F.lower(p["name"]).isin(C.OPEN_REDIRECT_PARAMS))
+        targets = F.transform(named, lambda p: percent_decode(p["value"]))
+        return F.get(F.filter(targets, lambda t: t.rlike("^https?://")), F.lit(0))
+
+    # an embedded URL shows as "http" or as escapes behind the question mark; skip all other URLs
+    return F.when(url.rlike(r"\?.*(http|%)"), X.let(query_params(query(url)), first_target))
 
 
 # -- reference resolution --------------------------------------------------------------------------
 def resolve(base: Column, target: Column) -> Column:
-    """Resolve a reference against its base URL."""
-    origin = F.concat(scheme(base), F.lit("://"), netloc(base))
+    """Resolve a reference against its base URL (null if either is null)."""
+    return X.let(target, lambda t: _resolved(base, t))
+
+
+def _resolved(base: Column, target: Column) -> Column:
+    authority = F.concat(scheme(base), F.lit("://"), netloc(base))
     base_path = F.regexp_replace(_before_query(base), _BEFORE_PATH, "")
     target_path = _before_query(target)
-    target_tail = F.substr(target, F.length(target_path) + 1)
+    tail = F.substr(target, F.length(target_path) + 1)
     folder = F.regexp_replace(base_path, "[^/]*$", "")
     joined = F.when(F.startswith(target, F.lit("/")), target_path).otherwise(F.concat(folder, target_path))
-    rooted = F.when(F.startswith(joined, F.lit("/")), joined).otherwise(F.concat(F.lit("/"), joined))
     return (
         F.when(F.length(target) == 0, base)
         .when(target.rlike(_SCHEME), target)
         .when(F.startswith(target, F.lit("//")), F.concat(scheme(base), F.lit(":"), target))
-        .when(F.startswith(target, F.lit("?")), F.concat(origin, base_path, target))
+        .when(F.startswith(target, F.lit("?")), F.concat(authority, base_path, target))
         .when(F.startswith(target, F.lit("#")), F.concat(F.substring_index(base, "#", 1), target))
-        .otherwise(F.concat(origin, _collapse_dots(rooted), target_tail))
+        .otherwise(F.concat(authority, X.let(joined, _collapse_dots), tail))
     )
 
 
-def _collapse_dots(rooted: Column) -> Column:
-    """Remove empty, ``.`` and ``..`` segments of an absolute path."""
-    parts = F.split(F.substr(rooted, F.lit(2)), "/")
+def _collapse_dots(joined: Column) -> Column:
+    """Rooted path without empty, ``.`` and ``..`` segments (a trailing slash stays)."""
+    rooted = F.when(F.startswith(joined, F.lit("/")), joined).otherwise(F.concat(F.lit("/"), joined))
+    return F.when(rooted.rlike(r"//|/\.|^$"), X.let(F.split(F.substr(rooted, F.lit(2)), "/"), _join_segments)).otherwise(
+        rooted
+    )
+
+
+def _join_segments(parts: Column) -> Column:
     inner = F.filter(parts, lambda s, i: (s != "") | (i == F.size(parts) - 1))
     kept = F.aggregate(
         inner,
@@ -247,8 +257,5 @@ def _collapse_dots(rooted: Column) -> Column:
         .when(s == ".", done)
         .otherwise(F.concat(done, F.array(s))),
     )
-    last = F.element_at(parts, -1)
-    tail = F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
-    collapsed = F.regexp_replace(F.concat(F.lit("/"), F.array_join(kept, "/"), tail), "^//+$", "/")
-    return F.when(rooted.rlike(r"//|/\.|^$"), collapsed).otherwise(rooted)
-
+    tail = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    return F.regexp_replace(F.concat(F.lit("/"), F.array_join(kept, "/"), tail), "^//+$", "/")

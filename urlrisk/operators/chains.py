@@ -61,13 +61,14 @@ def follow(urls: DataFrame, hops: DataFrame, max_hops: int, stop_at_loops: bool
 
     Result: ``url, hops array<struct<hop,url,status_code,redirect_type>>, loop_detected, errors``, plus
     ``next_url``, where the chain would have gone on. ``urls`` are made distinct here, so a repeated URL
-    is followed once. A URL missing from the table is a dead end. Only chains still moving take part in
-    the next round; runs at most ``max_hops + 1`` jobs.
+    is followed once. A URL missing from the table is a dead end. The successor table is written out
+    once, so page bodies are read once and not per hop. Only chains still moving take part in the next
+    round; there are at most ``max_hops + 1`` rounds.
     """
-    step = hops.select(
+    step = cut(hops.select(
         F.col("url").alias("current"), "status_code", "next_url", "hop_type", "hop_error",
         F.lit(True).alias("known"),
-    )
+    ))
     hop_type = "array<struct<hop:int,url:string,status_code:int,redirect_type:string>>"
     moving = urls.select("url").where("url is not null").distinct().select(
         "url", F.col("url").alias("current"), F.array().cast(hop_type).alias("hops"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from urlrisk import catalogs as C
 from urlrisk.operators import keywords, matching, sketches
+from urlrisk.plans.lineage import cut
 
 BLOCK_AT = 0.70
 FLAG_AT = 0.35
@@ -100,9 +101,18 @@ def gate_counters(gated: DataFrame) -> DataFrame:
     )
 
 
-def fast_path(gated: DataFrame, url: str = "url") -> DataFrame:
+def split(gated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(forwarded, settled) rows of a gated table. Runs a job.
+
+    The gated rows are written out first. A filter on ``decision`` straight over ``gate`` would be
+    pushed below its staged columns, which substitutes every definition into the predicate.
+    """
+    written = cut(gated)
+    return written.where("decision = 'FORWARD'"), written.where("decision <> 'FORWARD'")
+
+
+def fast_path(settled: DataFrame, url: str = "url") -> DataFrame:
     """Answers for rows the gate settled: label, confidence, probability, score, level and features."""
-    settled = gated.where(F.col("decision") != "FORWARD")
     blocked = F.col("decision") == "BLOCK"
     h = F.col("heuristic_score")
     block_score = F.greatest(F.lit(70), (70 + h * 25).cast("int"))

@@ -44,6 +44,8 @@ def open_redirect_edges(urls: DataFrame, url: str = "url") -> DataFrame:
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Edges from meta refreshes and scripted redirects in page markup."""
     base, body = F.col(url), F.col(html)
+    low = F.lower(body)
+    pages = pages.where(F.contains(low, F.lit("url=")) | F.contains(low, F.lit("location")))
     target = F.coalesce(P.meta_refresh_target(body, base), P.script_redirect_target(body, base))
     found = pages.select(base.alias("src"), target.alias("dst"))
     return found.where(F.col("dst").isNotNull() & (F.col("dst") != F.col("src")))

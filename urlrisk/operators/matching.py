@@ -106,7 +106,7 @@ def list_sizes(catalog: DataFrame) -> DataFrame:
 
 def match_exact(df: DataFrame, catalog: DataFrame, key: str = "domain") -> DataFrame:
     """Left join of the catalog's payload columns on the host key (``pattern`` must be unique)."""
-    return lookup_join(df, catalog.withColumnRenamed("pattern", key), key)
+    return lookup_join(df, catalog.withColumnRenamed("pattern", key), key, split_hot=True)
 
 
 def parent_hits(hosts: DataFrame, catalog: DataFrame, key: str = "domain") -> DataFrame:
@@ -119,8 +119,8 @@ def parent_hits(hosts: DataFrame, catalog: DataFrame, key: str = "domain") -> Da
 def prefix_hits(hosts: DataFrame, catalog: DataFrame, key: str = "domain") -> DataFrame:
     """Distinct hosts that begin with a catalog entry. Only the listed lengths are tried."""
     lengths = catalog.agg(F.collect_set(F.length("pattern"))).scalar()
-    usable = F.filter(lengths, lambda n: n <= F.length(F.col(key)))
-    candidates = hosts.select(key, F.explode(usable).alias("_n")).select(
+    usable = F.filter("_lengths", lambda n: n <= F.length(F.col(key)))
+    candidates = hosts.withColumn("_lengths", lengths).select(key, F.explode(usable).alias("_n")).select(
         key, F.left(F.col(key), F.col("_n")).alias("pattern")
     )
     listed = semi_lookup(candidates, catalog, "pattern", "_listed")
@@ -129,12 +129,12 @@ def prefix_hits(hosts: DataFrame, catalog: DataFrame, key: str = "domain") -> Da
 
 def match_parent(df: DataFrame, catalog: DataFrame, key: str = "domain", flag: str = "parent_match") -> DataFrame:
     """Add ``flag``: a proper parent of the host is listed."""
-    return semi_lookup(df, parent_hits(df.select(key).distinct(), catalog, key), key, flag)
+    return semi_lookup(df, parent_hits(df.select(key).distinct(), catalog, key), key, flag, split_hot=True)
 
 
 def match_prefix(df: DataFrame, catalog: DataFrame, key: str = "domain", flag: str = "prefix_match") -> DataFrame:
     """Add ``flag``: a listed string is a prefix of the host."""
-    return semi_lookup(df, prefix_hits(df.select(key).distinct(), catalog, key), key, flag)
+    return semi_lookup(df, prefix_hits(df.select(key).distinct(), catalog, key), key, flag, split_hot=True)
 
 
 def match_verdict(
@@ -149,17 +149,17 @@ def match_verdict(
     )
     is_malicious = prefix_hits(hosts, malicious, key).select(key, F.lit(1).alias("_rank"))
     ranked = is_safe.unionByName(is_malicious).groupBy(key).agg(F.min("_rank").alias("_rank"))
-    joined = lookup_join(df, ranked, key)
+    joined = lookup_join(df, ranked, key, split_hot=True)
     text = F.when(F.col("_rank") == 0, "safe").when(F.col("_rank") == 1, "malicious").otherwise("unknown")
     return joined.withColumn(verdict, text).drop("_rank")
 
 
 def member_flag(df: DataFrame, members: DataFrame, key: str = "url", flag: str = "in_blacklist") -> DataFrame:
     """Add ``flag``: exact membership of ``key`` in a table of any size."""
-    return semi_lookup(df, members, key, flag)
+    return semi_lookup(df, members, key, flag, split_hot=True)
 
 
 def not_listed(df: DataFrame, catalog: DataFrame, key: str = "domain") -> DataFrame:
     """Rows whose host is in no list (anti join, hot hosts handled by the lookup)."""
-    listed = semi_lookup(df, catalog.select(F.col("pattern").alias(key)), key, "_listed")
+    listed = semi_lookup(df, catalog.select(F.col("pattern").alias(key)), key, "_listed", split_hot=True)
     return listed.where(~F.col("_listed")).drop("_listed")

@@ -135,8 +135,10 @@ def roc_auc(scored: DataFrame, label: str = "result", prob: str = "threat_probab
 
     Classes are counted per distinct score; ranks of the scores come from a distributed running sum.
     """
-    per_score = scored.where(F.col(prob).isNotNull()).groupBy(F.col(prob).alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"),
+    known = F.col(prob).isNotNull()
+    per_score = scored.groupBy(F.col(prob).alias("score")).agg(
+        F.count_if(known & (F.col(label) == 1)).alias("pos"),
+        F.count_if(known & (F.col(label) == 0)).alias("neg"),
     )
     ordered = running_totals(per_score, [], [F.col("score")], F.col("neg"), "neg_upto")
     wins = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") * 0.5))

@@ -13,6 +13,7 @@ position space, which is known before anything runs:
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +24,11 @@ from urlrisk.functions import scores as S
 from urlrisk.functions import text as X
 from urlrisk.functions import urls as U
 from urlrisk.operators import matching
+from urlrisk.plans.lineage import cut
 from urlrisk.plans.skew import lookup_join, semi_lookup
 
 WORD_BITS = 63  # keeps the sign bit clear
+WORDS = [f"_h{i}" for i in range(4)]
 MAX_BITMAP_BITS = 1 << 27  # 16 MiB of bits: the largest filter that is shipped to every task
 
 
@@ -88,27 +91,45 @@ class LiteralPositions:
     """Positions of a constant list as a hash-set literal."""
 
     def __init__(self, positions: set[int]):
-        self._positions = sorted(positions)
+        self._members = ",".join(f"{p}L" for p in sorted(positions))
 
-    def has(self, position: Column) -> Column:
-        return position.isin(self._positions) if self._positions else F.lit(False) & position.isNotNull()
+    def has(self, position: str) -> Column:
+        """Whether the position in the named column is set (null for null)."""
+        return F.expr(f"`{position}` IN ({self._members})" if self._members else f"`{position}` < 0")
 
-    def has_all(self, positions: list[Column]) -> Column:
-        hit = self.has(positions[0])
-        for p in positions[1:]:
-            hit = hit & self.has(p)
-        return hit
+    def has_all(self, positions: list[str]) -> Column:
+        """Whether all positions in the named columns are set."""
+        return reduce(lambda a, b: a & b, [self.has(p) for p in positions])
 
 
 class BitmapPositions(LiteralPositions):
-    """Positions as an array of 63-bit words held by a one-row DataFrame."""
+    """Positions as an array of 63-bit words.
+
+    The one-row words table is written out first (a job), so that every reference to it is a scan of
+    one row. The array enters expressions as a scalar subquery: evaluated once, never copied into rows.
+    """
 
     def __init__(self, words: DataFrame):
-        self._words = words.scalar()
+        self._words = cut(words)
+
+    def has(self, position: str) -> Column:
+        return bit_at(self._words.scalar(), F.col(position))
+
+    def column(self) -> Column:
+        """The words array itself."""
+        return self._words.scalar()
 
-    def has(self, position: Column) -> Column:
-        word = F.get(self._words, F.floor(position / WORD_BITS).cast("int"))
-        return F.getbit(word, (position % WORD_BITS).cast("int")) == 1
+
+def bit_at(words: Column, position: Column) -> Column:
+    """Bit of a words array."""
+    word = F.get(words, F.floor(position / WORD_BITS).cast("int"))
+    return F.getbit(word, (position % WORD_BITS).cast("int")) == 1
+
+
+def with_positions(df: DataFrame, positions: list[Column], prefix: str = "_p") -> tuple[DataFrame, list[str]]:
+    """Stage positions as columns, so that each is computed once; returns the column names."""
+    names = [f"{prefix}{i}" for i in range(len(positions))]
+    return df.withColumns(dict(zip(names, positions))), names
 
 
 def position_rows(items: DataFrame, positions: list[Column]) -> DataFrame:
@@ -157,9 +178,8 @@ def probe_plain(
     if shipped is None:
         shipped = shape.m <= MAX_BITMAP_BITS
     if shipped:
-        positions = [f"_p{i}" for i in range(shape.k)]
-        staged = df.withColumns(dict(zip(positions, plain_positions(F.col(column), shape))))
-        hit = BitmapPositions(dense_words(words, shape.m)).has_all([F.col(p) for p in positions])
+        staged, positions = with_positions(df, plain_positions(F.col(column), shape))
+        hit = BitmapPositions(dense_words(words, shape.m)).has_all(positions)
         return staged.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(*positions)
     distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
     probes = distinct.select(
@@ -170,7 +190,7 @@ def probe_plain(
         probes.join(words, "word", "left")
         .groupBy(column).agg(F.min(F.coalesce(bit, F.lit(False))).alias(flag))
     )
-    return lookup_join(df, verdicts, column).withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return lookup_join(df, verdicts, column, split_hot=True).withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def plain_stats(words: DataFrame, shape: Shape) -> DataFrame:
@@ -193,17 +213,27 @@ def counting_table(items: DataFrame, column: str, shape: Shape) -> DataFrame:
     Repeats are summed before positions are expanded, so a hot item is expanded once.
     """
     weighted = items.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    staged = digest_columns(weighted, F.col(column), "_h")
-    return (
-        staged.select(F.explode(F.array(*counting_positions("_h", shape))).alias("position"), "_n")
-        .groupBy("position").agg(F.least(F.sum("_n"), F.lit(255)).alias("count"))
+    return _summed_positions(weighted, column, shape, "count").withColumn(
+        "count", F.least(F.col("count"), F.lit(255))
     )
 
 
+def _summed_positions(weighted: DataFrame, column: str, shape: Shape, out: str) -> DataFrame:
+    staged = digest_columns(weighted, F.col(column), "_h")
+    rows = staged.select(F.explode(F.array(*counting_positions("_h", shape))).alias("position"), "_n")
+    return rows.groupBy("position").agg(F.sum("_n").alias(out))
+
+
 def counting_remove(table: DataFrame, removed: DataFrame, column: str, shape: Shape) -> DataFrame:
-    """Counters after removing each listed item once, if the filter contains it."""
-    present = counting_probe(removed.select(column).distinct(), column, table, shape, "_in").where("_in")
-    minus = counting_table(present, column, shape).withColumnRenamed("count", "_minus")
+    """Counters after removing each listed item once, if the filter contains it.
+
+    An item the filter does not contain weighs zero; it is not filtered out, because a predicate on the
+    probe would be pushed below the hash columns it is made of.
+    """
+    once = removed.select(column).where(F.col(column).isNotNull()).distinct()
+    probed = counting_probe(once, column, table, shape, "_in")
+    weighted = probed.select(column, F.col("_in").cast("int").alias("_n"))
+    minus = _summed_positions(weighted, column, shape, "_minus")
     left = F.greatest(F.col("count") - F.coalesce(F.col("_minus"), F.lit(0)), F.lit(0))
     return (
         table.join(minus, "position", "left").select("position", left.alias("count")).where("count > 0")
@@ -215,8 +245,9 @@ def counting_probe(
 ) -> DataFrame:
     """Add ``flag``: every counter of the item is positive."""
     staged = digest_columns(df, F.col(column), "_h")
-    hit = bitmap(table.where("count > 0").select("position"), shape.m).has_all(counting_positions("_h", shape))
-    return staged.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(*[f"_h{i}" for i in range(4)])
+    staged, positions = with_positions(staged, counting_positions("_h", shape))
+    hit = bitmap(table.where("count > 0").select("position"), shape.m).has_all(positions)
+    return staged.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(*positions, *WORDS)
 
 
 # -- sliced filter ---------------------------------------------------------------------------------
@@ -277,10 +308,12 @@ def probe_sliced(
 ) -> DataFrame:
     """Add ``flag``: any slice contains the item."""
     staged = digest_columns(df, F.col(column), "_h")
-    hit = F.lit(False)
-    for shape, words in built:
-        hit = hit | BitmapPositions(dense_words(words, shape.m)).has_all(counting_positions("_h", shape))
-    return staged.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(*[f"_h{i}" for i in range(4)])
+    hit, used = F.lit(False), []
+    for index, (shape, words) in enumerate(built):
+        staged, names = with_positions(staged, counting_positions("_h", shape), f"_s{index}_")
+        hit = hit | BitmapPositions(dense_words(words, shape.m)).has_all(names)
+        used += names
+    return staged.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(*used, *WORDS)
 
 
 # -- fingerprint filter ----------------------------------------------------------------------------
@@ -309,11 +342,11 @@ def fingerprint_probe(
     """Add ``flag``: the item's fingerprint is stored. Shipped as a bitmap while the code space allows."""
     staged = digest_columns(df, F.col(column), "_h").withColumn("position", fingerprint_code("_h", buckets))
     if buckets * 256 <= MAX_BITMAP_BITS:
-        hit = bitmap(table.select("position"), buckets * 256).has(F.col("position"))
+        hit = bitmap(table.select("position"), buckets * 256).has("position")
         out = staged.withColumn(flag, F.coalesce(hit, F.lit(False)))
     else:
         out = semi_lookup(staged, table, "position", flag)
-    return out.drop("position", *[f"_h{i}" for i in range(4)])
+    return out.drop("position", *WORDS)
 
 
 # -- vote over the three filters -------------------------------------------------------------------
@@ -380,13 +413,14 @@ def data_ensemble(
 def vote(df: DataFrame, host: str, ensemble: Ensemble) -> DataFrame:
     """Add the votes, ``bloom_score`` and ``bloom_result``; all null where the host is null."""
     staged = digest_columns(df, F.col(host), "_h")
-    counting = counting_positions("_h", ensemble.counting_shape)
-    staged = staged.withColumns({
-        "vote_allow": ensemble.allow.has_all(counting_positions("_h", ensemble.allow_shape)),
-        "vote_fingerprint": ensemble.fingerprints.has(fingerprint_code("_h", ensemble.buckets)),
-        "vote_counting": ensemble.counting.has_all(counting),
-        "vote_sliced": ensemble.sliced.has_all(counting),
-    })
+    staged, block = with_positions(staged, counting_positions("_h", ensemble.counting_shape), "_c")
+    staged, allow = with_positions(staged, counting_positions("_h", ensemble.allow_shape), "_a")
+    staged = staged.withColumn("_f", fingerprint_code("_h", ensemble.buckets)).withColumns({
+        "vote_allow": ensemble.allow.has_all(allow),
+        "vote_fingerprint": ensemble.fingerprints.has("_f"),
+        "vote_counting": ensemble.counting.has_all(block),
+        "vote_sliced": ensemble.sliced.has_all(block),
+    }).drop("_f", *block, *allow, *WORDS)
     score = F.lit(0.0)
     for name, weight in C.VOTE_WEIGHTS.items():
         score = score + F.when(F.col(f"vote_{name}"), weight).otherwise(0.0)
@@ -398,7 +432,7 @@ def vote(df: DataFrame, host: str, ensemble: Ensemble) -> DataFrame:
         F.when(F.col("vote_allow"), "KNOWN_SAFE").when(F.col("bloom_score") >= 0.5, "KNOWN_MALICIOUS")
         .otherwise("UNCERTAIN")
     )
-    return staged.withColumn("bloom_result", F.when(known, result)).drop(*[f"_h{i}" for i in range(4)])
+    return staged.withColumn("bloom_result", F.when(known, result))
 
 
 def ensemble_stats(malicious: DataFrame, safe: DataFrame, column: str = "pattern") -> DataFrame:
@@ -433,28 +467,26 @@ def trigram_similarity(df: DataFrame, known: DataFrame, url: str = "url", out: s
         semi_lookup(grams, bad, "gram", "_hit")
         .groupBy(url).agg(F.avg(F.col("_hit").cast("double")).alias(out))
     )
-    return lookup_join(df, shares, url).withColumn(out, F.coalesce(F.col(out), F.lit(0.0)))
+    return lookup_join(df, shares, url, split_hot=True).withColumn(out, F.coalesce(F.col(out), F.lit(0.0)))
 
 
 def trigram_similarity_sketch(
     df: DataFrame, known: DataFrame, shape: Shape, url: str = "url", out: str = "similarity"
 ) -> DataFrame:
     """The same share, with known trigrams held in a filter: a projection, no shuffle of ``df``."""
-    bad = known.select(F.explode(X.trigrams(F.col(url))).alias("gram"))
-    staged = digest_columns(bad.distinct(), F.col("gram"), "_h")
-    words = dense_words(filter_words(position_rows(staged, counting_positions("_h", shape))), shape.m).scalar()
+    bad = known.select(F.explode(X.trigrams(F.col(url))).alias("gram")).distinct()
+    staged = digest_columns(bad, F.col("gram"), "_h")
+    words = bitmap(position_rows(staged, counting_positions("_h", shape)), shape.m).column()
 
     def known_gram(gram: Column) -> Column:
-        digest = H.words32(F.md5(gram))
-        hit = F.lit(True)
-        for p in H.double_hash_positions(digest[0], digest[1], shape.m, shape.k):
-            word = F.get(words, F.floor(p / WORD_BITS).cast("int"))
-            hit = hit & (F.getbit(word, (p % WORD_BITS).cast("int")) == 1)
-        return hit
-
-    grams = X.trigrams(F.col(url))
-    share = F.size(F.filter(grams, known_gram)) / F.size(grams)
-    return df.withColumn(out, F.when(F.size(grams) > 0, share).otherwise(0.0))
+        first, second, _, _ = H.words32(F.md5(gram))
+        positions = H.double_hash_positions(first, second, shape.m, shape.k)
+        return reduce(lambda a, b: a & b, [bit_at(F.col("_words"), p) for p in positions])
+
+    # a lambda cannot hold a subquery, so the words pass through a column of the row being projected
+    with_words = df.withColumns({"_words": words, "_grams": X.trigrams(F.col(url))})
+    share = F.size(F.filter("_grams", known_gram)) / F.size("_grams")
+    return with_words.withColumn(out, F.when(F.size("_grams") > 0, share).otherwise(0.0)).drop("_words", "_grams")
 
 
 def trigram_signature(url: Column) -> Column:

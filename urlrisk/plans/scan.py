@@ -43,22 +43,22 @@ def scan_b(requests: DataFrame, hop_log: DataFrame, ensemble: sketches.Ensemble
     Settled URLs get the fast path; only forwarded ones are expanded and scored.
     """
     valid = accept_requests(requests).where("valid").select("url")
-    return lookup_join(valid, scan_distinct_b(valid, hop_log, ensemble), "url", "inner")
+    results = cut(scan_distinct_b(valid, hop_log, ensemble))
+    return lookup_join(valid, results, "url", "inner", split_hot=True)
 
 
 def scan_distinct_b(
     urls: DataFrame, hop_log: DataFrame, ensemble: sketches.Ensemble | None = None
 ) -> DataFrame:
     """Profile B result per distinct URL."""
-    gated = cut(gate.gate(urls.select("url").distinct(), ensemble))
-    forwarded = gated.where(F.col("decision") == "FORWARD")
+    forwarded, settled = gate.split(gate.gate(urls.select("url").distinct(), ensemble))
     expanded = chains.analyze_chain(chains.expand_b(forwarded, hop_log))
     joined = forwarded.drop("domain", "reason").join(expanded, "url")
     scored = extract_features(joined, "B", "expanded_url")
     scored = scoring.predict_b(scoring.enrich_keywords(scored), "expanded_url")
     scored = scoring.risk_score(scored)
 
-    settled = gate.fast_path(gated)
+    settled = gate.fast_path(settled)
     blocked = F.col("decision") == "BLOCK"
     hop = F.struct(
         F.lit(0).alias("hop"), F.col("url"), F.when(~blocked, 200).alias("status_code"),

@@ -12,19 +12,25 @@ from urlrisk.plans.lineage import cut
 HOT_KEYS = 1000
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """Join ``left`` to ``right``, whose ``key`` is unique, without sending a hot key to one task.
-
-    The ``HOT_KEYS`` most frequent keys are found with a map-side-combined count. Their right rows are
-    broadcast: at most ``HOT_KEYS`` rows whatever the data size. Every other key holds less than
-    1/HOT_KEYS of the rows and goes through an ordinary shuffled join. Nothing is dropped; a null key
-    matches nothing and takes the broadcast branch.
+def lookup_join(
+    left: DataFrame, right: DataFrame, key: str, how: str = "left", split_hot: bool = False
+) -> DataFrame:
+    """Join ``left`` to ``right``, whose ``key`` is unique.
+
+    By default a plain equi-join: adaptive execution broadcasts a right side it has measured as small
+    and otherwise splits the oversized partitions of a hot key. ``split_hot`` also keeps hot rows out of
+    the shuffle; use it where ``left`` is a table that is cheap to read more than once. The ``HOT_KEYS``
+    most frequent keys are then found with a map-side-combined count and their right rows broadcast: at
+    most ``HOT_KEYS`` rows whatever the data size. Every other key holds less than 1/HOT_KEYS of the rows
+    and goes through the shuffled join. Nothing is dropped; a null key matches nothing.
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup_join supports left and inner")
+    if not split_hot:
+        return left.join(right, key, how)
     counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.orderBy(F.desc("_n"), key).limit(HOT_KEYS).select(key, F.lit(True).alias("_hot"))
-    hot_right = right.join(F.broadcast(hot), key, "left_semi")
+    hot_right = right.join(F.broadcast(hot.select(key)), key, "left_semi")
     marked = left.join(F.broadcast(hot), key, "left")
     is_hot = F.col("_hot").isNotNull() | F.col(key).isNull()
     hot_rows = marked.where(is_hot).drop("_hot").join(F.broadcast(hot_right), key, how)
@@ -32,10 +38,13 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left")
     return hot_rows.unionByName(cold_rows)
 
 
-def semi_lookup(left: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
-    """Add the boolean ``flag``: whether ``left[key]`` occurs in ``keys``. Skew-safe like ``lookup_join``."""
+def semi_lookup(
+    left: DataFrame, keys: DataFrame, key: str, flag: str, split_hot: bool = False
+) -> DataFrame:
+    """Add the boolean ``flag``: whether ``left[key]`` occurs in ``keys``."""
     right = keys.select(key).distinct().withColumn(flag, F.lit(True))
-    return lookup_join(left, right, key).withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    joined = lookup_join(left, right, key, split_hot=split_hot)
+    return joined.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
 def running_totals(

@@ -562,18 +562,19 @@ def _entries(spark, sf):
     return log.groupBy("url").agg(F.max("ts").alias("inserted_at")).withColumn("score", F.lit(1.0))
 
 
-def _as_of():
-    return F.lit("2024-01-06 00:00:00").cast("timestamp")
+def _as_of(spark, sf):
+    """The latest request time."""
+    return R.scan_log(spark, sf).agg(F.max("ts")).scalar()
 
 
 @register
 def f11_decayed_score(spark, sf):
-    return tidy(sketches.aged_entries(_entries(spark, sf), _as_of()).select("url", "effective_score"))
+    return tidy(sketches.aged_entries(_entries(spark, sf), _as_of(spark, sf)).select("url", "effective_score"))
 
 
 @register
 def f12_expiry(spark, sf):
-    return tidy(sketches.drop_expired(_entries(spark, sf), _as_of()).select("url"))
+    return tidy(sketches.drop_expired(_entries(spark, sf), _as_of(spark, sf)).select("url"))
 
 
 def _membership(spark, sf):
@@ -630,7 +631,8 @@ def g2_gate_counters(spark, sf):
 
 @register
 def g3_fast_path(spark, sf):
-    answers = gate.fast_path(gate.gate(R.corpus(spark, sf).select("url")))
+    _, settled = gate.split(gate.gate(R.corpus(spark, sf).select("url")))
+    answers = gate.fast_path(settled)
     return tidy(answers.select(
         "url", "decision", "label", "confidence", "threat_probability", "risk_score", "url_length",
         "has_https", "keyword_score", "domain_age_proxy", "url_entropy",
@@ -781,7 +783,7 @@ def i7_chain_risk(spark, sf):
 def i8_expansion_reuse(spark, sf):
     log = R.scan_log(spark, sf).select("event_id", "url")
     expanded = chains.expand_b(log, R.hop_log(spark, sf)).select("url", "expanded_url", "redirect_count")
-    return tidy(lookup_join(log, expanded, "url"))
+    return tidy(lookup_join(log, expanded, "url", split_hot=True))
 
 
 @register
@@ -922,8 +924,8 @@ def j14_risk_score(spark, sf):
 
 @register
 def j15_enrichment(spark, sf):
-    gated = gate.gate(R.corpus(spark, sf).select("url")).where("decision = 'FORWARD'")
-    enriched = scoring.enrich_keywords(features.extract_features(gated, "B"))
+    forwarded, _ = gate.split(gate.gate(R.corpus(spark, sf).select("url")))
+    enriched = scoring.enrich_keywords(features.extract_features(forwarded, "B"))
     return tidy(enriched.select("url", "keyword_score"))
 
 
@@ -1110,7 +1112,7 @@ def m2_stream_counters(spark, sf):
 @register
 def m3_first_seen(spark, sf):
     stream = sources.stream_parquet(spark, f"{sf}/events*.parquet", C.EVENTS)
-    seen = jobs.first_seen(stream.select("ts", "user_id"), "ts", "365 days", "user_id")
+    seen = jobs.first_seen(stream.select(F.col("ts").cast("timestamp"), "user_id"), "ts", "365 days", "user_id")
     return tidy(jobs.run_to_table(seen.select("user_id"), "first-seen"))
 
 
@@ -1120,8 +1122,8 @@ def m4_learned_blacklist(spark, sf):
         "ts", F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60)
     )
     verdicts = jobs.threat_verdicts(stream, _known_bad(spark, sf), sketches.Shape.rounded(50000, 0.0001))
-    entries = jobs.run_to_table(jobs.learned_entries(verdicts), "threat-entries")
-    live = jobs.current_blacklist(entries, F.lit("2024-01-01 06:00:00").cast("timestamp"))
+    written = jobs.run_to_table(verdicts.select("url", "ts", "membership_verdict"), "threat-verdicts")
+    live = jobs.current_blacklist(jobs.learned_entries(written), F.lit("2024-01-01 06:00:00").cast("timestamp"))
     return tidy(live.select("url", "score"))
 
 

@@ -51,7 +51,7 @@ def threat_verdicts(stream: DataFrame, known: DataFrame, shape: sketches.Shape)
 
 
 def learned_entries(verdicts: DataFrame, ts: str = "ts", score: float = 1.0) -> DataFrame:
-    """Threat entries ``(url, score, inserted_at)`` to append for verified URLs."""
+    """Threat entries ``(url, score, inserted_at)`` of a written verdict table, for verified URLs."""
     return verdicts.where(F.col("membership_verdict") == "malicious").select(
         "url", F.lit(score).alias("score"), F.col(ts).alias("inserted_at")
     )
@@ -67,9 +67,9 @@ def append_stream(df: DataFrame, table: str, name: str) -> StreamingQuery:
 
 
 def current_blacklist(entries: DataFrame, as_of: Column, threshold: float = 0.1) -> DataFrame:
-    """Live view of the appended entries: latest insertion per URL, expired ones left out.
+    """Live view of the learned entries: latest insertion per URL, expired ones left out.
 
-    The log is append-only, so a failed batch leaves nothing half-written; folding it is one
+    The table they come from is append-only, so a failed batch leaves nothing half-written; folding it is one
     aggregation that combines before the shuffle.
     """
     newest = F.max(F.struct("inserted_at", "score")).alias("_e")
