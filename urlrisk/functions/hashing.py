@@ -61,10 +61,12 @@ def minhash(grams: Column, count: int) -> Column:
     """
     pairs = F.transform(grams, lambda g: _hash_pair(F.md5(g)))
     prime = F.lit(MINHASH_PRIME).cast("bigint")
-    return F.array(*[
-        F.array_min(F.transform(pairs, lambda h, i=i: (h["a"] + F.lit(i).cast("bigint") * h["b"]) % prime))
-        for i in range(count)
-    ])
+
+    def smallest(index: int) -> Column:
+        factor = F.lit(index).cast("bigint")
+        return F.array_min(F.transform(pairs, lambda h: (h["a"] + factor * h["b"]) % prime))
+
+    return F.array(*[smallest(i) for i in range(count)])
 
 
 def _hash_pair(digest: Column) -> Column:
