@@ -49,7 +49,7 @@ def entropy(text: Column) -> Column:
     runs = F.regexp_extract_all(ordered, F.lit(r"(?s)(.)\1+"), 0)
     lengths = F.transform(runs, lambda r: F.length(r).cast("double"))
     mass = F.aggregate(lengths, F.lit(0.0), lambda total, c: total + c * F.log2(c))
-    return F.when(n > 0, F.log2(n) - mass / n).otherwise(F.lit(0.0))
+    return F.when(n > 0, F.log2(n) - mass / n).when(n == 0, F.lit(0.0))
 
 
 def hits(text: Column, words: Iterable[str]) -> Column:

@@ -61,9 +61,10 @@ def closure(edges: DataFrame, sources: DataFrame | None = None, max_depth: int |
     """``(src, dst, dist)``: every node reachable from each source, the source itself excluded.
 
     ``dist`` is the least number of redirects. Restrict ``sources`` (column ``node``) when only some
-    URLs are asked for; the full closure is as large as the answer is. Runs one job per level.
+    URLs are asked for; the full closure is as large as the answer is. The distinct edges are written
+    out once, then one job runs per level.
     """
-    edges = edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct()
+    edges = cut(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
     first = edges if sources is None else edges.join(
         sources.select(F.col("node").alias("src")).distinct(), "src", "left_semi"
     )
@@ -116,7 +117,7 @@ def chain_nodes(
     loop. Breadth-first and depth-first chains hold the same nodes; rows carry the depth, not a visit
     order.
     """
-    kept = nodes.select("node").where(X.entropy(F.col("node")) >= min_entropy)
+    kept = cut(nodes.select("node").where(X.entropy(F.col("node")) >= min_entropy))
     inside = (
         edges.join(kept.withColumnRenamed("node", "src"), "src", "left_semi")
         .join(kept.withColumnRenamed("node", "dst"), "dst", "left_semi")
@@ -181,7 +182,7 @@ def nearest_malicious(edges: DataFrame, malicious: DataFrame) -> DataFrame:
     Searches backwards from all malicious nodes at once, so the state is one row per node instead of
     one per reachable pair. At equal distance the smallest URL wins. Runs one job per level.
     """
-    back = edges.select("src", "dst").distinct()
+    back = cut(edges.select("src", "dst").distinct())
     frontier = cut(malicious.select("node").distinct().select(
         "node", F.col("node").alias("closest_malicious"), F.lit(0).alias("path_length")
     ))

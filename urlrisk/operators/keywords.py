@@ -72,11 +72,12 @@ def heuristic(df: DataFrame, url: str = "url") -> DataFrame:
 
     A null URL yields null scores without evaluating anything, which the gate uses to skip rows.
     """
-    low = F.lower(F.col(url))
-    staged = entropy_profile(df.withColumn("category_score", category_score(category_counts(low))), url)
+    low, given = F.lower(F.col(url)), F.col(url).isNotNull()
+    words = F.when(given, category_score(category_counts(low)))
+    staged = entropy_profile(df.withColumn("category_score", words), url)
     signal = F.when(F.col("entropy_suspicious"), 1.0).otherwise(F.col("url_entropy") / 6.0)
     scored = staged.withColumn(
-        "heuristic_score", F.bround(0.60 * F.col("category_score") + 0.40 * signal, 4)
+        "heuristic_score", F.when(given, F.bround(0.60 * F.col("category_score") + 0.40 * signal, 4))
     )
     return scored.withColumn(
         "is_suspicious", (F.col("heuristic_score") > 0.35) | (F.col("category_score") > 0.25)

@@ -393,7 +393,7 @@ VERDICT = (
 )
 
 
-def gate_select(source: str) -> str:
+def gate_select(source: str, verdict: str = VERDICT) -> str:
     """Gate over ``source``, which has the votes and the heuristic score of every row."""
     return f"""
   SELECT *, decision <> 'FORWARD' AS ml_skipped, CASE
@@ -411,7 +411,7 @@ def gate_select(source: str) -> str:
       WHEN bloom_result = 'KNOWN_SAFE' THEN 'PASS'
       WHEN bloom_result = 'KNOWN_MALICIOUS' AND heuristic_score >= 0.70 THEN 'BLOCK'
       ELSE 'FORWARD' END AS decision
-    FROM (SELECT *, {VERDICT} AS list_result FROM ({source})))"""
+    FROM (SELECT *, {verdict} AS list_result FROM ({source})))"""
 
 
 relation("gated", ["voted"], gate_select(heuristic_select("voted")))
@@ -554,7 +554,7 @@ relation("scanned", ["fast", "forward_risk"], f"""
 
 # -- membership and profile A scan -----------------------------------------------------------------
 relation("bad_grams", ["known_bad"], f"SELECT DISTINCT unnest({trigrams('url')}) AS gram FROM known_bad")
-relation("similar", ["corpus", "bad_grams"], f"""
+relation("alike", ["corpus", "bad_grams"], f"""
   SELECT url, avg(CASE WHEN b.gram IS NOT NULL THEN 1.0 ELSE 0.0 END) AS similarity
   FROM (SELECT url, unnest({trigrams('url')}) AS gram FROM corpus) u LEFT JOIN bad_grams b ON b.gram = u.gram
   GROUP BY url""")
@@ -576,10 +576,10 @@ relation("positions_small", ["known_bad"], filter_positions("known_bad", SMALL))
 relation("probed_small", ["corpus", "positions_small"], in_filter("corpus", "positions_small", SMALL))
 relation("probed_big", ["corpus", "positions_big"], in_filter("corpus", "positions_big", BIG))
 relation("blacklist", ["corpus"], "SELECT url FROM corpus WHERE page_id % 32 = 9")
-relation("member", ["probed_big", "similar", "blacklist"], """
+relation("member", ["probed_big", "alike", "blacklist"], """
   SELECT url, in_filter, similarity, in_blacklist, in_filter OR similarity > 0.92 OR in_blacklist AS possible
   FROM (SELECT p.url, p.in_filter, s.similarity, p.url IN (SELECT url FROM blacklist) AS in_blacklist
-    FROM probed_big p JOIN similar s ON s.url = p.url)""")
+    FROM probed_big p JOIN alike s ON s.url = p.url)""")
 PATTERN_COUNT = f"({hits('normalized_url', C.PATTERN_KEYWORDS)} + CAST(contains(normalized_url, 'verify') AS BIGINT))"
 relation("signals", ["corpus"], rf"""
   SELECT url, normalized_url, {PATTERN_COUNT} AS match_count, {PATTERN_COUNT} / 18 AS pattern_score,
@@ -611,7 +611,7 @@ relation("a_pairs", ["expanded_a", "target_scored"], """
     CASE WHEN x.url <> x.final_url THEN 0.35 * o.prob + 0.65 * d.prob ELSE d.prob END AS prob, d.verdict AS own_verdict
   FROM expanded_a x JOIN target_scored o ON o.url = x.url JOIN target_scored d ON d.url = x.final_url""")
 relation("a_probed", ["targets", "positions_big"], in_filter("targets", "positions_big", BIG))
-relation("a_similar", ["targets", "bad_grams"], f"""
+relation("a_alike", ["targets", "bad_grams"], f"""
   SELECT url, avg(CASE WHEN b.gram IS NOT NULL THEN 1.0 ELSE 0.0 END) AS similarity
   FROM (SELECT url, unnest({trigrams('url')}) AS gram FROM targets) u LEFT JOIN bad_grams b ON b.gram = u.gram
   GROUP BY url""")
@@ -627,7 +627,7 @@ relation("merges", ["char_weights"], """
   FROM merges WHERE len(w) > 1""")
 relation("baseline", ["merges", "char_weights"],
          "SELECT max(total) / (SELECT sum(n) FROM char_weights) AS baseline FROM merges")
-relation("a_stage", ["a_pairs", "a_probed", "a_similar", "a_nearest"], r"""
+relation("a_stage", ["a_pairs", "a_probed", "a_alike", "a_nearest"], r"""
   SELECT *, prob AS threat_probability, CASE WHEN NOT possible THEN 'unknown' WHEN met >= 3 THEN 'malicious'
       ELSE 'suspicious' END AS member,
     CASE WHEN url = analyzed_url THEN own_verdict WHEN prob < 0.25 THEN 'safe' WHEN prob > 0.60 THEN 'malicious'
@@ -637,7 +637,7 @@ relation("a_stage", ["a_pairs", "a_probed", "a_similar", "a_nearest"], r"""
   FROM (SELECT p.*, n.path_length, f.in_filter OR s.similarity > 0.92 AS possible,
       CAST(p.entropy > 4.0 AS INT) + CAST(regexp_matches(p.analyzed_url, '\.(tk|ml|ga|cf|gq|xyz)$') AS INT)
         + CAST(p.redirect_depth > 2 AS INT) AS met
-    FROM a_pairs p JOIN a_probed f ON f.url = p.analyzed_url JOIN a_similar s ON s.url = p.analyzed_url
+    FROM a_pairs p JOIN a_probed f ON f.url = p.analyzed_url JOIN a_alike s ON s.url = p.analyzed_url
     JOIN a_nearest n ON n.url = p.analyzed_url)""")
 relation("a_final", ["a_stage"], """
   SELECT *, CASE WHEN allowed OR final_probability < 0.25 THEN 'safe'
@@ -876,8 +876,9 @@ def oracle_sql() -> dict[str, str]:
       round_even((SELECT count(*) FROM bad_hosts) / {K.BUCKETS * 4}, 3) AS fingerprint_load,
       round_even((SELECT count(DISTINCT p) FROM (SELECT unnest({double_hashed('pattern', K.COUNTING_SHAPE)}) AS p FROM bad_hosts)) / {K.COUNTING_SHAPE.m}, 3) AS counting_load""",
         "bad_hosts", "safe_hosts")
-    add("f10_trigram_similarity", f"SELECT s.event_id, {r6('similarity')} AS similarity FROM scan_log s JOIN similar m ON m.url = s.url",
-        "scan_log", "similar")
+    add("f10_trigram_similarity", f"SELECT s.event_id, {r6('similarity')} AS similarity FROM scan_log s JOIN alike m ON m.url = s.url",
+        "scan_log", "alike")
+    add("f10_trigram_sketch", f"SELECT url, {r6('similarity')} AS similarity FROM alike", "alike")
     add("f11_decayed_score", f"SELECT url, {r6('effective_score')} AS effective_score FROM aged", "aged")
     add("f12_expiry", "SELECT url FROM aged WHERE effective_score >= 0.1", "aged")
     add("f13_membership", f"""SELECT url, {flag('in_filter')} AS in_filter, {r6('similarity')} AS similarity,
@@ -888,6 +889,12 @@ def oracle_sql() -> dict[str, str]:
     # G
     add("g1_gate", f"""SELECT url, domain, list_result, {r6('bloom_score')} AS bloom_score, bloom_result,
       {r6('heuristic_score')} AS heuristic_score, decision, {flag('ml_skipped')} AS ml_skipped, reason FROM gated""", "gated")
+    RELATIONS["data_lists"] = (["hosts", "safe_hosts", "bad_hosts"], f"SELECT * FROM hosts, {lists}")
+    RELATIONS["data_voted"] = (["data_lists"], vote_select("data_lists", all_pos, safe_pos, all_pos, (
+        f"(SELECT list({fingerprint('pattern', K.BUCKETS)}) FROM bad_hosts)")))
+    RELATIONS["data_gated"] = (["data_voted"], gate_select(heuristic_select("data_voted"), list_verdict))
+    add("g1_gate_data_lists", f"""SELECT s.event_id, g.list_result, g.decision, {r6('heuristic_score')} AS heuristic_score
+      FROM scan_log s JOIN data_gated g ON g.url = s.url""", "scan_log", "data_gated")
     add("g2_gate_counters", """SELECT count(*) AS total_queries, count(*) FILTER (WHERE decision = 'BLOCK') AS blocked,
       count(*) FILTER (WHERE decision = 'PASS') AS passed, count(*) FILTER (WHERE decision = 'FORWARD') AS forwarded_to_ml,
       round_even(avg(CASE WHEN decision = 'FORWARD' THEN 0.0 ELSE 1.0 END), 3) AS ml_skip_rate
@@ -1067,6 +1074,10 @@ def oracle_sql() -> dict[str, str]:
     add("m1_stream_scan", f"SELECT url, label, {r6('threat_probability')} AS threat_probability FROM predicted_b", "predicted_b")
     add("m2_stream_counters", "SELECT decision, count(*) AS urls FROM gated GROUP BY decision", "gated")
     out["m3_first_seen"] = "SELECT DISTINCT user_id FROM events"
+    add("m4_learned_blacklist", """SELECT c.url, CAST(1 AS DOUBLE) AS score FROM corpus c
+      JOIN met m ON m.url = c.url JOIN alike a ON a.url = c.url
+      WHERE m.met >= 3 AND (c.url IN (SELECT url FROM known_bad) OR a.similarity > 0.92)
+      AND exp(-0.0001 * (21600 - c.page_id * 60)) >= 0.1""", "corpus", "met", "alike", "known_bad")
     # throughput
     add("t_visit_features", f"SELECT url, {feature_list()} FROM ({feature_select('B', 'SELECT url, 0 AS redirect_depth, 1 AS chain_length FROM visits')})", "visits")
     add("t_visit_gate", "SELECT decision, reason, count(*) AS urls FROM visit_gated GROUP BY ALL", "visit_gated")

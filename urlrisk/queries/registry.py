@@ -1118,13 +1118,15 @@ def m3_first_seen(spark, sf):
 
 @register
 def m4_learned_blacklist(spark, sf):
-    stream = _stream_corpus(spark, sf).withColumn(
+    depth = graph.redirect_depth(_nodes(spark, sf), R.edges(spark, sf)).withColumnRenamed("node", "url")
+    stamped = _stream_corpus(spark, sf).withColumn(
         "ts", F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60)
     )
+    stream = stamped.join(depth, "url")
     verdicts = jobs.threat_verdicts(stream, _known_bad(spark, sf), sketches.Shape.rounded(50000, 0.0001))
     written = jobs.run_to_table(verdicts.select("url", "ts", "membership_verdict"), "threat-verdicts")
-    live = jobs.current_blacklist(jobs.learned_entries(written), F.lit("2024-01-01 06:00:00").cast("timestamp"))
-    return tidy(live.select("url", "score"))
+    as_of = F.timestamp_seconds(F.lit(1704067200 + 6 * 3600))
+    return tidy(jobs.current_blacklist(jobs.learned_entries(written), as_of).select("url", "score"))
 
 
 # -- throughput ------------------------------------------------------------------------------------
