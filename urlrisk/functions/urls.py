@@ -102,7 +102,7 @@ def port(authority: Column) -> Column:
     digits = F.when(
         F.contains(rest, F.lit("[")), F.regexp_extract(rest, r"\][^:]*:([0-9]+)$", 1)
     ).otherwise(F.regexp_extract(rest, r"^[^:]*:([0-9]+)$", 1))
-    number = digits.try_cast("int")
+    number = F.when(F.contains(rest, F.lit(":")), digits.try_cast("int"))
     return F.when(number.between(0, 65535), number)
 
 

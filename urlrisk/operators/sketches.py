@@ -90,7 +90,7 @@ def fingerprint_code(prefix: str, buckets: int) -> Column:
 class LiteralPositions:
     """Positions of a constant list as a hash-set literal."""
 
-    def __init__(self, positions: set[int]):
+    def __init__(self, positions: frozenset[int]):
         self._members = ",".join(f"{p}L" for p in sorted(positions))
 
     def has(self, position: str) -> Column:
@@ -375,22 +375,32 @@ def constant_ensemble(
     bad = [d.strip().lower() for d in (C.MALICIOUS_DOMAINS if malicious is None else malicious)]
     good = [d.strip().lower() for d in (C.SAFE_DOMAINS if safe is None else safe)]
 
-    def values(names: list[str], positions) -> set[int]:
-        names = [n for n in names if n]
-        if not names:
-            return set()
-        local = spark.createDataFrame([(n,) for n in names], "item string")
-        rows = digest_columns(local, F.col("item"), "_h").select(F.array(*positions())).collect()
-        return {p for (group,) in rows for p in group}
-
-    counting = LiteralPositions(values(bad, lambda: counting_positions("_h", COUNTING_SHAPE)))
+    counting = LiteralPositions(_constant_positions(spark, tuple(bad), "counting"))
     return Ensemble(
         COUNTING_SHAPE, ALLOW_SHAPE, BUCKETS, counting, counting,
-        LiteralPositions(values(bad, lambda: [fingerprint_code("_h", BUCKETS)])),
-        LiteralPositions(values(good, lambda: counting_positions("_h", ALLOW_SHAPE))),
+        LiteralPositions(_constant_positions(spark, tuple(bad), "fingerprint")),
+        LiteralPositions(_constant_positions(spark, tuple(good), "allow")),
     )
 
 
+_CONSTANT: dict[tuple, frozenset[int]] = {}
+
+
+def _constant_positions(spark: SparkSession, names: tuple[str, ...], kind: str) -> frozenset[int]:
+    """Positions of a constant list, remembered per list: they depend on nothing else."""
+    if (names, kind) not in _CONSTANT:
+        rows = [(n,) for n in names if n]
+        positions = {
+            "counting": lambda: counting_positions("_h", COUNTING_SHAPE),
+            "allow": lambda: counting_positions("_h", ALLOW_SHAPE),
+            "fingerprint": lambda: [fingerprint_code("_h", BUCKETS)],
+        }[kind]
+        local = digest_columns(spark.createDataFrame(rows, "item string"), F.col("item"), "_h")
+        found = local.select(F.array(*positions())).collect()
+        _CONSTANT[(names, kind)] = frozenset(p for (group,) in found for p in group)
+    return _CONSTANT[(names, kind)]
+
+
 def data_ensemble(
     malicious: DataFrame, safe: DataFrame, column: str = "pattern", removed: DataFrame | None = None
 ) -> Ensemble:

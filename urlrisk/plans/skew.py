@@ -12,6 +12,16 @@ from urlrisk.plans.lineage import cut
 HOT_KEYS = 1000
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a file scan that has fewer splits than there are cores over all of them.
+
+    URL scoring is bound by CPU, so a small file read as one split would keep the other cores idle. A
+    scan with enough splits, as any large table has, is returned as it is and not shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def lookup_join(
     left: DataFrame, right: DataFrame, key: str, how: str = "left", split_hot: bool = False
 ) -> DataFrame:

@@ -9,15 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urlrisk.plans.skew import spread
+
 MALICIOUS_KINDS = [0, 1, 2, 3, 7, 8, 9, 10, 11]
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def _threat_url() -> Column:
