@@ -24,7 +24,8 @@ _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _VALID = r"(?i)^(https?|ftp)://([a-zA-Z0-9\-._~:/?#\[\]@!$&'()*+,;=%]+)$"
 _PRIVATE = r"^(10\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.168\.|127\.|0\.|::1|localhost)"
 IP_ANYWHERE = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
-_IPV4 = r"^((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.|$)){4}$"
+_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_IPV4 = rf"^({_OCTET}\.){{3}}{_OCTET}$"
 
 
 # -- splitting -------------------------------------------------------------------------------------

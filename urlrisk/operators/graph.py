@@ -109,10 +109,13 @@ def redirect_depth(nodes: DataFrame, edges: DataFrame, reach: DataFrame | None =
 
 # -- pruned chains ---------------------------------------------------------------------------------
 def chain_nodes(
-    nodes: DataFrame, edges: DataFrame, max_depth: int = CHAIN_DEPTH, min_entropy: float = PRUNE_ENTROPY
+    nodes: DataFrame, edges: DataFrame, max_depth: int = CHAIN_DEPTH, min_entropy: float = PRUNE_ENTROPY,
+    sources: DataFrame | None = None,
 ) -> DataFrame:
     """``(src, node, depth)``: nodes visited from each start within ``max_depth`` redirects.
 
+    Starts are all ``nodes``, or ``sources`` (column ``node``) where given.
+
     A node of low entropy is neither listed nor passed through, so it leaves the edge table before the
     loop. Breadth-first and depth-first chains hold the same nodes; rows carry the depth, not a visit
     order.
@@ -122,19 +125,23 @@ def chain_nodes(
         edges.join(kept.withColumnRenamed("node", "src"), "src", "left_semi")
         .join(kept.withColumnRenamed("node", "dst"), "dst", "left_semi")
     )
-    reach = closure(inside, max_depth=max_depth)
-    starts = kept.select(F.col("node").alias("src"), "node", F.lit(0).alias("depth"))
+    begin = kept if sources is None else kept.join(sources.select("node").distinct(), "node", "left_semi")
+    reach = closure(inside, begin, max_depth)
+    starts = begin.select(F.col("node").alias("src"), "node", F.lit(0).alias("depth"))
     return starts.unionByName(
         reach.select("src", F.col("dst").alias("node"), F.col("dist").alias("depth"))
     )
 
 
 def url_profile(urls: DataFrame, edges: DataFrame, url: str = "url") -> DataFrame:
-    """Add entropy, redirect_depth and chain_length of distinct URLs; an unknown URL stands alone."""
+    """Entropy, redirect_depth and chain_length of distinct URLs; an unknown URL stands alone.
+
+    Only the asked URLs are searched from, so the cost follows the batch and not the whole graph.
+    """
     nodes = urls.select(F.col(url).alias("node")).distinct()
     every = nodes.unionByName(nodes_of(edges)).distinct()
-    depth = redirect_depth(nodes, edges)
-    chain = chain_nodes(every, edges).groupBy(F.col("src").alias("node")).agg(
+    depth = redirect_depth(nodes, edges, closure(edges, nodes))
+    chain = chain_nodes(every, edges, sources=nodes).groupBy(F.col("src").alias("node")).agg(
         F.count(F.lit(1)).cast("int").alias("chain_length")
     )
     profile = (
