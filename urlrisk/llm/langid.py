@@ -80,7 +80,7 @@ def cluster(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 
 def fit(
-    labelled: DataFrame, clusters: int = 3, sample: int = 800, languages: int = 1000, slack: float = 0.5
+    labelled: DataFrame, clusters: int = 3, sample: int = 800, languages: int = 1000, slack: float = 0.25
 ) -> Model | None:
     """Learn from (doc_id, text, lang); rows without text or language teach nothing; None without any.
 
