@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from urlrisk.llm.common import row_key, stored, utf8
+from urlrisk.llm.common import light_batches, row_key, stored, utf8
 from urlrisk.llm.links import components
 
 #: Numbers of the hashed frequency table, and parts it travels in.
@@ -26,7 +26,7 @@ class _Words(dict):
     """64-bit hashes of words; forgets them when there are many. Only speed depends on that."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -132,6 +132,7 @@ def _linked(
 ) -> DataFrame:
     """As ``similar_documents``, with a column ``_key`` carried along and ``root``, which names the component
     (null without shingles)."""
+    light_batches(docs.sparkSession)
     num, den = similarity
     texts = docs.select(F.col("doc_id").cast("bigint"), utf8("text").alias("_text"), "_key")
     order = _classes_of_frequency(_frequencies(texts.select("_text"), words))
@@ -143,7 +144,7 @@ def _linked(
             for text in batch["_text"]:
                 own = shingles(text, words)
                 size.append(len(own))
-                digest.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                digest.append(_digest(own))
                 keep = min(len(own), len(own) - _least(len(own), num, den) + longest)
                 ranked = own[np.argsort(order[(own >> np.uint64(64 - 19)).astype(np.int64)], kind="stable")]
                 first.append(ranked[:keep].view(np.int64))
@@ -156,7 +157,10 @@ def _linked(
     meta = wide.select("rid", "doc_id", "_key", "n", "digest")
     classes = stored(
         meta.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("rid").alias("rid")), "shingle-classes")
-    postings = _postings(wide.select("rid", "n", "prefix"), classes, num, den, longest, verify_cost)
+    copies = stored(meta.where("n > 0").select("rid", "digest").join(
+        classes.select("digest", F.col("rid").alias("_first")), "digest").where("rid != _first").select("rid"), "copies")
+    single = wide.select("rid", "n", "prefix").join(_if_small(copies), "rid", "left_anti")
+    postings = _postings(single, num, den, longest, verify_cost)
     verify = _verifier(texts.select("doc_id", "_text"), meta.select("rid", "doc_id", "digest"), words, num, den)
 
     links = verify(_stars(postings, num, den))
@@ -172,17 +176,20 @@ def _linked(
     return linked.unionByName(empty)
 
 
-def _postings(wide: DataFrame, classes: DataFrame, num: int, den: int, longest: int, verify_cost: float) -> DataFrame:
+def _if_small(keys: DataFrame) -> DataFrame:
+    """``keys`` (narrow rows, written out) marked for broadcast if their number is within the bound."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def _postings(single: DataFrame, num: int, den: int, longest: int, verify_cost: float) -> DataFrame:
     """(token, rid, n, i, ell, score): prefix shingles that several classes share.
 
     ``i`` is the place in the prefix, ``ell`` the matches that the class requires, ``score`` the share of
     its prefix that others share too.
     """
-    single = wide.join(classes.select("rid"), "rid", "left_semi")
-    listed = single.select("rid", F.posexplode("prefix").alias("i", "token")).repartition("token")
-    shared = listed.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    met = stored(listed.join(shared.hint("shuffle_hash"), "token"), "shared-shingles")
-    sized = met.join(wide.select("rid", "n"), "rid")
+    listed = single.select("rid", F.posexplode("prefix").alias("i", "token"))
+    met = stored(listed.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1"), "shared-shingles")
+    sized = met.join(single.select("rid", "n"), "rid")
     base = F.col("n") - F.ceil(F.col("n") * num / den)
     least = F.ceil(F.col("n") * num / den)
     sums = [F.sum(F.when(F.col("i") < base + ell, F.col("df") - 1).otherwise(0)).alias(f"_c{ell}") for ell in range(1, longest + 1)]
@@ -232,34 +239,60 @@ def _across(postings: DataFrame, known: DataFrame, num: int, den: int) -> DataFr
 
 
 def _verifier(texts: DataFrame, meta: DataFrame, words: int, num: int, den: int):
-    """A function that keeps the pairs (a, b) of classes whose sets are similar enough."""
+    """A function that keeps the pairs (a, b) of classes whose sets are similar enough.
+
+    It brings the pairs' texts together, which take less room than their sets, and makes the sets again.
+    """
+
+    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+
+        def set_of(rid: int, text: bytes) -> np.ndarray:
+            if rid not in held:
+                if len(held) >= 64:
+                    held.clear()
+                held[rid] = shingles(text, words)
+            return held[rid]
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            own = [shingles(t, words) for t in batch["_text"]]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"),
-                "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in own],
-                "set": pd.Series([s.view(np.int64) for s in own], dtype=object)})
+            keep = []
+            for a, b, ta, tb in zip(batch["a"], batch["b"], batch["_ta"], batch["_tb"], strict=True):
+                x, y = set_of(a, ta), set_of(b, tb)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both * (num + den) >= num * (len(x) + len(y)))
+            yield batch[["a", "b"]][np.array(keep, bool)]
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs, "pairs")
-        asked = stored(pairs.select(F.col("a").alias("rid")).unionAll(pairs.select("b")).distinct().join(meta, "rid"), "pair-members")
-        ids = asked.select(F.col("doc_id").alias("_id")).distinct()
-        if ids.count() <= BROADCAST_ROWS:  # a few MB; else a shuffled join
-            ids = F.broadcast(ids)
-        wanted = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        made = wanted.mapInPandas(sets, "doc_id bigint, digest binary, set array<bigint>").select("digest", "set")
-        by_class = asked.select("rid", "digest").join(made, "digest").groupBy("rid").agg(F.first("set").alias("set"))
-        by_class = stored(by_class, "pair-sets")
-        both = pairs.join(by_class.select(F.col("rid").alias("a"), F.col("set").alias("_sa")), "a").join(
-            by_class.select(F.col("rid").alias("b"), F.col("set").alias("_sb")), "b")
-        inter = F.size(F.array_intersect("_sa", "_sb"))
-        return stored(both.where(inter * (num + den) >= num * (F.size("_sa") + F.size("_sb"))).select("a", "b"), "verified")
+        asked = pairs.select(F.col("a").alias("rid")).unionAll(pairs.select("b")).distinct()
+        asked = stored(asked.join(meta, "rid").withColumnsRenamed({"doc_id": "_id", "digest": "_digest"}), "pair-members")
+        # ids may repeat; the digest tells which text is meant, and of equal rows one is enough
+        named = texts.join(_if_small(asked.select("_id").distinct()), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        marked = named.mapInPandas(_digests(words), "doc_id bigint, _text binary, _digest binary")
+        members = marked.join(_if_small(asked), ["_digest"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("rid", "_text")
+        members = stored(members.groupBy("rid").agg(F.min("_text").alias("_text")), "pair-texts")
+        both = pairs.join(members.select(F.col("rid").alias("a"), F.col("_text").alias("_ta")), "a").join(
+            members.select(F.col("rid").alias("b"), F.col("_text").alias("_tb")), "b")
+        return stored(both.mapInPandas(similar, "a bigint, b bigint"), "verified")
 
     return verify
 
 
+def _digest(found: np.ndarray) -> bytes | None:
+    """Names a set; None for the empty one."""
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
+
+
+def _digests(words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({
+                "doc_id": batch["doc_id"].astype("Int64"), "_text": batch["_text"],
+                "_digest": pd.Series([_digest(shingles(t, words)) for t in batch["_text"]], dtype=object)})
+
+    return run
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with one row of each component left, with all their columns.
 
