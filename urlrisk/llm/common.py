@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlrisk.plans.lineage import scratch_path
@@ -23,6 +23,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def light_batches(spark: SparkSession) -> None:
+    """Let Python workers get at most 1000 rows and 16 MB at a time, so that long texts don't add up."""
+    for key, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 16 << 20)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(name).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")

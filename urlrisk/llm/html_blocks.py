@@ -13,7 +13,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlrisk.llm.common import utf8
+from urlrisk.llm.common import light_batches, utf8
 
 #: Comments, elements without text of the page, declarations, and other tags.
 MARKUP = re.compile(
@@ -207,6 +207,7 @@ def extract(pages: DataFrame, tree=None) -> DataFrame:
             text = ["" if h is None else main_text(h.decode(), tree) for h in batch["_html"]]
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": pd.Series(text, dtype=object)})
 
+    light_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("bigint"), "url", utf8("html").alias("_html")).mapInPandas(
         run, "page_id bigint, url string, text string")
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from urlrisk.llm.common import is_training, utf8
+from urlrisk.llm.common import is_training, light_batches, utf8
 
 DIMS = 4096
 BINS = 24
@@ -90,6 +90,7 @@ def fit(
     ``clusters`` x DIMS numbers per language. A language rejects texts that are less similar to its
     nearest centroid than ``slack`` times the least similar sample row of like length.
     """
+    light_batches(labelled.sparkSession)
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(
         F.col("doc_id").cast("bigint"), utf8("text").alias("_text"), "lang")
     by_lang = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
@@ -166,6 +167,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", out: str
     if even that one is too far for a text of its length, or if there is no letter (null and empty texts
     too): then lang is ``und``. One pass, no shuffle; the model is a few numbers per language.
     """
+    light_batches(docs.sparkSession)
     kind = "struct<lang:string,score:double,rejected:boolean>"
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urlrisk.llm.common import utf8
+from urlrisk.llm.common import light_batches, utf8
 
 SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, tokens binary, sequence_id bigint, offset bigint"
 #: Words whose ids a worker remembers; beyond it forgets them all. Only speed depends on it.
@@ -175,6 +175,7 @@ def pack(
                             break
                 yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "tokens", "sequence_id", "offset"])
 
+    light_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("bigint"), utf8("text").alias("_text"))
     return narrow.mapInPandas(run, SCHEMA)
 

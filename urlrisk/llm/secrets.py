@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urlrisk.llm.common import utf8
+from urlrisk.llm.common import light_batches, utf8
 
 SPAN = "struct<kind:string,start:int,end:int,name:string,score:double>"
 #: Kinds in the order that breaks ties; the last is what the lexer adds.
@@ -115,6 +115,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
             ] for t in batch["_text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "secret_spans": pd.Series(rows, dtype=object)})
 
+    light_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint"), utf8("text").alias("_text")).mapInPandas(
         run, f"doc_id bigint, secret_spans array<{SPAN}>")
 
@@ -124,6 +125,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     Overlapping spans are replaced as one. Null texts stay null.
     """
+    light_batches(docs.sparkSession)
     out = F.pandas_udf(_redacted(mark), "string")(F.col("text"))
     changed = docs.withColumn("text", out)
     return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else changed

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urlrisk.llm.common import is_training, utf8
+from urlrisk.llm.common import is_training, light_batches, utf8
 
 TOKEN = re.compile(r"\w+")
 SPAN = "struct<start:int,end:int,text:string,probability:double>"
@@ -287,6 +287,7 @@ def score(docs: DataFrame, tagger: Tagger | None, base: float = 0.0) -> DataFram
                 "doc_id": batch["doc_id"], "score": np.concatenate(scores) if scores else [],
                 "toxic_spans": pd.Series(spans, dtype=object)})
 
+    light_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint"), utf8("text").alias("_text")).mapInPandas(
         run, f"doc_id bigint, score double, toxic_spans array<{SPAN}>")
 
