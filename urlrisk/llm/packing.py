@@ -16,7 +16,7 @@ from urlrisk.llm.common import light_batches, utf8
 
 SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, tokens binary, sequence_id bigint, offset bigint"
 #: Words whose ids a worker remembers; beyond it forgets them all. Only speed depends on it.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 _encoders: dict[str, Encoder] = {}
 
 
