@@ -30,10 +30,13 @@ def first_seen(stream: DataFrame, ts: str = "ts", delay: str = "1 hour", key: st
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def threat_verdicts(stream: DataFrame, known: DataFrame, shape: sketches.Shape) -> DataFrame:
-    """Membership verdict per arriving URL against known malicious URLs, with no shuffle of the stream.
+def threat_verdicts(
+    stream: DataFrame, known: DataFrame, shape: sketches.Shape, blacklist: DataFrame | None = None
+) -> DataFrame:
+    """Membership verdict per arriving URL against known malicious URLs.
 
-    Both the URL filter and the trigram filter are shipped, so a stream row is only projected.
+    Both the URL filter and the trigram filter are shipped, so a stream row is only projected. With
+    ``blacklist``, a static table of verified URLs (``current_blacklist``), its members are possible too.
     """
     words = sketches.build_plain(known, "url", shape)
     probed = sketches.probe_plain(stream, "url", words, shape, shipped=True)
@@ -45,36 +48,47 @@ def threat_verdicts(stream: DataFrame, known: DataFrame, shape: sketches.Shape)
         F.col("url"), F.col("entropy"), depth, F.col("pattern_score"), F.col("has_ip_address")
     )
     possibly = F.col("in_filter") | (F.col("similarity") > 0.92)
+    if blacklist is not None:
+        listed = blacklist.select("url", F.lit(True).alias("_listed")).distinct()
+        signals = signals.join(listed, "url", "left")
+        possibly = possibly | F.coalesce("_listed", F.lit(False))
     return signals.withColumn("membership_verdict", sketches.membership_verdict(possibly, met)).select(
         *stream.columns, "in_filter", "similarity", "membership_verdict"
     )
 
 
 def learned_entries(verdicts: DataFrame, ts: str = "ts", score: float = 1.0) -> DataFrame:
-    """Threat entries ``(url, score, inserted_at)`` of a written verdict table, for verified URLs."""
+    """Threat entries ``(url, score, inserted_at, verified)`` of a written verdict table, for verified URLs."""
     return verdicts.where(F.col("membership_verdict") == "malicious").select(
-        "url", F.lit(score).alias("score"), F.col(ts).alias("inserted_at")
+        "url", F.lit(score).alias("score"), F.col(ts).alias("inserted_at"), F.lit(True).alias("verified")
     )
 
 
-def append_stream(df: DataFrame, table: str, name: str) -> StreamingQuery:
-    """Append a stream to a Parquet table, exactly once, until the input is used up."""
-    location = scratch_path(df.sparkSession, f"{name}-progress")
+def append_stream(df: DataFrame, table: str, progress: str | None = None) -> StreamingQuery:
+    """Append a stream to a Parquet table, exactly once, until the input is used up.
+
+    ``progress`` is the folder that records what has been read, by default one beside the table. Start the
+    job again with the same folder and it goes on with the rows that are new since.
+    """
     return (
-        df.writeStream.format("parquet").option("path", table).option("checkpointLocation", location)
+        df.writeStream.format("parquet").option("path", table)
+        .option("checkpointLocation", progress or f"{table.rstrip('/')}-progress")
         .outputMode("append").trigger(availableNow=True).start()
     )
 
 
 def current_blacklist(entries: DataFrame, as_of: Column, threshold: float = 0.1) -> DataFrame:
-    """Live view of the learned entries: latest insertion per URL, expired ones left out.
+    """Live view of the learned entries: latest insertion per URL.
 
-    The table they come from is append-only, so a failed batch leaves nothing half-written; folding it is one
+    Scored entries expire; a URL that was verified once stays. The table they come from is append-only, so a failed batch leaves nothing half-written; folding it is one
     aggregation that combines before the shuffle.
     """
     newest = F.max(F.struct("inserted_at", "score")).alias("_e")
-    latest = entries.groupBy("url").agg(newest).select("url", "_e.score", "_e.inserted_at")
-    return sketches.drop_expired(latest, as_of, threshold)
+    verified = F.max("verified") if "verified" in entries.columns else F.lit(False)
+    latest = entries.groupBy("url").agg(newest, verified.alias("verified")).select(
+        "url", "_e.score", "_e.inserted_at", F.coalesce("verified", F.lit(False)).alias("verified"))
+    ageing = sketches.drop_expired(latest.where("not verified"), as_of, threshold)
+    return latest.where("verified").unionByName(ageing.select(*latest.columns))
 
 
 def run_to_memory(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
@@ -93,5 +107,5 @@ def run_to_table(df: DataFrame, name: str) -> DataFrame:
     """Run an append-only stream to the end into a fresh table below the checkpoint folder."""
     spark = df.sparkSession
     table = scratch_path(spark, name)
-    append_stream(df, table, name).awaitTermination()
+    append_stream(df, table).awaitTermination()
     return spark.read.schema(df.schema).parquet(table)
