@@ -24,7 +24,7 @@ HOP_RISK_TLDS = [
 ]
 CONSTRAINT_TLDS = [".tk", ".ml", ".ga", ".cf", ".gq", ".xyz"]
 TRUSTED_TLDS = ["com", "org", "net", "edu", "gov"]
-SUSPICIOUS_PORTS = [3333, 4444, 5555, 7777, 8080, 8443, 8888, 9090, 9999]
+SUSPICIOUS_PORTS = [8080, 8443, 9090, 3333, 4444, 5555, 7777, 8888, 9999]
 
 # --------------------------------------------------------------------------------------------------
 # Keyword dictionaries

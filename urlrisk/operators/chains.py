@@ -59,15 +59,17 @@ def next_hops(hop_log: DataFrame, profile: str = "B") -> DataFrame:
 def follow(urls: DataFrame, hops: DataFrame, max_hops: int, stop_at_loops: bool = True) -> DataFrame:
     """Follow every distinct URL through the successor table.
 
-    Result: ``url, hops array<struct<hop,url,status_code,redirect_type>>, loop_detected, errors``, plus
+    Of several responses for a URL the latest counts (by ``fetched_at`` where ``hops`` has it, else any one,
+    always the same). Result: ``url, hops array<struct<hop,url,status_code,redirect_type>>, loop_detected, errors``, plus
     ``next_url``, where the chain would have gone on. ``urls`` are made distinct here, so a repeated URL
     is followed once. A URL missing from the table is a dead end. The successor table is written out
     once, so page bodies are read once and not per hop. Only chains still moving take part in the next
     round; there are at most ``max_hops + 1`` rounds.
     """
-    step = cut(hops.select(
-        F.col("url").alias("current"), "status_code", "next_url", "hop_type", "hop_error",
-        F.lit(True).alias("known"),
+    response = ("status_code", "next_url", "hop_type", "hop_error")
+    newest = F.max(F.struct(*[c for c in ("fetched_at",) if c in hops.columns], *response)).alias("_r")
+    step = cut(hops.groupBy(F.col("url").alias("current")).agg(newest).select(
+        "current", *[f"_r.{c}" for c in response], F.lit(True).alias("known"),
     ))
     hop_type = "array<struct<hop:int,url:string,status_code:int,redirect_type:string>>"
     moving = urls.select("url").where("url is not null").distinct().select(

@@ -7,6 +7,8 @@ skew-safe lookup, so a host that owns a third of the URLs costs one row in the m
 
 from __future__ import annotations
 
+from functools import reduce
+
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,10 +85,19 @@ def clean_list(df: DataFrame, column: str = "pattern") -> DataFrame:
     return df.withColumn(column, F.lower(F.trim(F.col(column)))).where(F.col(column) != "")
 
 
-def insert_entries(catalog: DataFrame, added: DataFrame, key: str = "pattern") -> DataFrame:
-    """Catalog plus new entries; an entry that is present already keeps its row."""
-    fresh = added.join(catalog, key, "left_anti").dropDuplicates([key])
-    return catalog.unionByName(fresh)
+def insert_entries(catalog: DataFrame, added: DataFrame, keys: tuple[str, ...] = ("kind", "pattern")) -> DataFrame:
+    """Catalog with ``added`` inserted; an added entry replaces the row of its kind and pattern.
+
+    Lists of different kinds are separate. Of several added rows of one key the last counts, by
+    ``inserted_at`` where there is one, else by the order of the other columns.
+    """
+    rest = [c for c in added.columns if c not in keys]
+    order = [c for c in ("inserted_at",) if c in rest] + [c for c in rest if c != "inserted_at"]
+    if order:
+        fresh = added.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_last")).select(*keys, *[f"_last.{c}" for c in rest])
+    else:
+        fresh = added.select(*keys).distinct()
+    return catalog.join(fresh.select(*keys), list(keys), "left_anti").select(*catalog.columns).unionByName(fresh)
 
 
 def delete_entries(catalog: DataFrame, removed: DataFrame, key: str = "pattern") -> DataFrame:
@@ -159,7 +170,16 @@ def member_flag(df: DataFrame, members: DataFrame, key: str = "url", flag: str =
     return semi_lookup(df, members, key, flag, split_hot=True)
 
 
-def not_listed(df: DataFrame, catalog: DataFrame, key: str = "domain") -> DataFrame:
-    """Rows whose host is in no list (anti join, hot hosts handled by the lookup)."""
-    listed = semi_lookup(df, catalog.select(F.col("pattern").alias(key)), key, "_listed", split_hot=True)
+def not_listed(
+    df: DataFrame, catalog: DataFrame, key: str = "domain", modes: tuple[str, ...] = ("exact", "parent", "prefix"),
+) -> DataFrame:
+    """Rows whose host no list entry matches in any of ``modes`` (anti join, hot hosts handled by the lookup)."""
+    hosts = df.select(key).where(F.col(key).isNotNull()).distinct()
+    found = {
+        "exact": lambda: catalog.select(F.col("pattern").alias(key)),
+        "parent": lambda: parent_hits(hosts, catalog, key),
+        "prefix": lambda: prefix_hits(hosts, catalog, key),
+    }
+    hits = reduce(DataFrame.unionByName, [found[m]() for m in modes])
+    listed = semi_lookup(df, hits, key, "_listed", split_hot=True)
     return listed.where(~F.col("_listed")).drop("_listed")
