@@ -170,7 +170,7 @@ relation("corpus", [], """
     WHEN 12 THEN concat('https://www.washingtonpost.com/story/', page_id)
     ELSE url END AS url,
     CASE WHEN page_id % 16 IN (0, 1, 2, 3, 7, 8, 9, 10, 11) THEN 1 ELSE 0 END AS result
-  FROM pages""")
+  FROM pages UNION ALL SELECT page_id + 224000000, url, 0 FROM pages WHERE page_id % 16 <= 12""")
 relation("edges", ["corpus"], """
   SELECT a.url AS src, b.url AS dst FROM corpus a JOIN corpus b
   ON (a.page_id % 14 < 4 AND b.page_id = a.page_id + 1)
@@ -187,11 +187,12 @@ relation("hop_log", ["corpus", "edges", "hop_pages"], """
          WHEN c.page_id % 14 = 7 THEN '/next/../final?x=1' END AS location,
     CASE WHEN c.page_id % 14 = 6 THEN 'image/png' ELSE 'text/html' END AS content_type,
     h.html AS body
-  FROM corpus c JOIN hop_pages h ON c.page_id = h.page_id LEFT JOIN edges e ON e.src = c.url
+  FROM corpus c JOIN hop_pages h ON c.page_id % 224000000 = h.page_id LEFT JOIN edges e ON e.src = c.url
   WHERE c.page_id % 14 <> 9""")
 relation("scan_log", ["corpus"], """
   SELECT e.event_id, e.ts, e.user_id, c.page_id, c.url
-  FROM events e, (SELECT count(*) AS n FROM pages) k, corpus c WHERE c.page_id = e.event_id % k.n""")
+  FROM events e, (SELECT count(*) AS n FROM pages) k, corpus c
+  WHERE c.page_id = e.event_id % k.n + CASE WHEN (e.event_id // k.n) % 2 = 1 AND (e.event_id % k.n) % 16 <= 12 THEN 224000000 ELSE 0 END""")
 relation("visits", ["scan_log"], """
   SELECT event_id, concat(url, CASE WHEN contains(url, '?') THEN '&' ELSE '?' END, 'e=', event_id) AS url
   FROM scan_log""")
@@ -209,7 +210,7 @@ relation("catalog", [], f"""
   UNION ALL SELECT unnest([{quoted(C.MALICIOUS_DOMAINS + C.MALICIOUS_PREFIXES)}]), 'malicious'""")
 relation("grown", ["catalog", "bad_hosts"], """
   SELECT * FROM catalog UNION ALL
-  SELECT pattern, 'malicious' FROM bad_hosts WHERE pattern NOT IN (SELECT pattern FROM catalog)""")
+  SELECT pattern, 'malicious' FROM bad_hosts WHERE pattern NOT IN (SELECT pattern FROM catalog WHERE kind = 'malicious')""")
 relation("reach_all", ["edges"], """
   SELECT src, dst, 1 AS dist FROM edges
   UNION SELECT r.src, e.dst, r.dist + 1 FROM reach_all r JOIN edges e ON e.src = r.dst WHERE r.dist < 12""")
@@ -572,6 +573,8 @@ def in_filter(urls: str, positions: str, shape: K.Shape) -> str:
 
 BIG, SMALL = K.Shape.plain(), K.Shape.plain(20, 0.05)
 relation("positions_big", ["known_bad"], filter_positions("known_bad", BIG))
+relation("all_bad", ["corpus"], "SELECT url FROM corpus WHERE result = 1")
+relation("positions_all", ["all_bad"], filter_positions("all_bad", BIG))
 relation("positions_small", ["known_bad"], filter_positions("known_bad", SMALL))
 relation("probed_small", ["corpus", "positions_small"], in_filter("corpus", "positions_small", SMALL))
 relation("probed_big", ["corpus", "positions_big"], in_filter("corpus", "positions_big", BIG))
@@ -655,10 +658,10 @@ relation("profile_scored", ["profile"], f"""
     SELECT *, {probability()} AS p, {allow('A')} AS allowed
     FROM ({feature_select('A', 'SELECT * FROM profile', 'entropy,')}))""")
 relation("merged", ["corpus", "scan_log"], """
-  SELECT url, 'malicious' AS label, 1 AS result, 0 AS source, 0 AS line FROM corpus WHERE result = 1
+  SELECT url, CASE result WHEN 1 THEN 'malicious' ELSE 'benign' END AS label, result, 0 AS source, 0 AS line FROM corpus
   UNION ALL SELECT url, 'benign', 0, 1, event_id FROM scan_log""")
 relation("entries", ["scan_log"],
-         "SELECT url, max(ts) AS inserted_at FROM scan_log WHERE page_id % 4 = 0 GROUP BY url")
+         "SELECT url, max(ts) AS inserted_at FROM scan_log GROUP BY url")
 relation("aged", ["entries", "scan_log"], """
   SELECT url, exp(-0.0001 * (epoch_us((SELECT max(ts) FROM scan_log)) - epoch_us(inserted_at)) / 1000000.0) AS effective_score
   FROM entries""")
@@ -841,17 +844,18 @@ def oracle_sql() -> dict[str, str]:
     add("e7_list_sizes", "SELECT kind, count(*) AS entries FROM grown GROUP BY kind", "grown")
     add("e9_blacklist", f"SELECT event_id, url, {flag('url IN (SELECT url FROM known_bad)')} AS in_blacklist FROM scan_log",
         "scan_log", "known_bad")
-    add("e10_not_listed", """SELECT event_id, url FROM log_hosts WHERE domain NOT IN (SELECT pattern FROM safe_hosts)
-      AND domain NOT IN (SELECT pattern FROM bad_hosts)""", "log_hosts", "safe_hosts", "bad_hosts")
+    add("e10_not_listed", """SELECT event_id, url FROM log_hosts l WHERE NOT EXISTS (SELECT 1 FROM
+      (SELECT pattern FROM safe_hosts UNION SELECT pattern FROM bad_hosts) p WHERE starts_with(l.domain, p.pattern)
+      OR (ends_with(l.domain, '.' || p.pattern) AND contains(p.pattern, '.')))""", "log_hosts", "safe_hosts", "bad_hosts")
     # F
     word_bits = "bit_or(CAST(1 AS BIGINT) << CAST(position % 63 AS INT))"
-    add("f2_bloom_build", f"SELECT position // 63 AS word, {word_bits} AS bits FROM positions_big GROUP BY 1", "positions_big")
+    add("f2_bloom_build", f"SELECT position // 63 AS word, {word_bits} AS bits FROM positions_all GROUP BY 1", "positions_all")
     add("f3_bloom_probe", f"SELECT url, {flag('in_filter')} AS in_filter FROM probed_small", "probed_small")
     add("f3_bloom_probe_shuffled", f"""SELECT s.event_id, {flag('in_filter')} AS in_filter FROM scan_log s
       JOIN probed_small p ON p.url = s.url""", "scan_log", "probed_small")
     add("f4_bloom_stats", f"""SELECT CAST({BIG.m} AS BIGINT) AS size_bits, {r6(str(BIG.m / 8 / 1024))} AS size_kb,
       CAST({BIG.k} AS BIGINT) AS hash_functions, n AS bits_set, {r6(f'n / {BIG.m}')} AS load_factor,
-      {r6(f'pow(n / {BIG.m}, {BIG.k})')} AS estimated_fpr FROM (SELECT count(*) AS n FROM positions_big)""", "positions_big")
+      {r6(f'pow(n / {BIG.m}, {BIG.k})')} AS estimated_fpr FROM (SELECT count(*) AS n FROM positions_all)""", "positions_all")
     add("f5_counting_filter", f"""SELECT t.position, CAST(t.c - coalesce(m.c, 0) AS BIGINT) AS count FROM
       (SELECT position, least(count(*), 255) AS c FROM ({_prefix_positions("(SELECT domain FROM hosts WHERE result = 1)", COUNTING)}) GROUP BY position) t
       LEFT JOIN (SELECT position, count(*) AS c FROM ({_prefix_positions(
@@ -1060,7 +1064,7 @@ def oracle_sql() -> dict[str, str]:
     add("l6_class_stats", f"""SELECT n AS total_urls, b AS benign_count, m AS malicious_count, concat(b, '/', m) AS balance_ratio,
       {r6('100.0 * b / n')} AS benign_pct, {r6('100.0 * m / n')} AS malicious_pct FROM (SELECT count(*) AS n,
       count(*) FILTER (WHERE result = 0) AS b, count(*) FILTER (WHERE result = 1) AS m FROM corpus)""", "corpus")
-    add("l7_intersect", "SELECT dst AS url FROM reach INTERSECT SELECT url FROM corpus WHERE result = 1", "reach", "corpus")
+    add("l7_intersect", "SELECT dst AS url FROM edges INTERSECT SELECT url FROM corpus WHERE result = 1", "edges", "corpus")
     add("l8_distinct", "SELECT count(DISTINCT domain) AS domains FROM log_hosts", "log_hosts")
     out["l9_distribution"] = f"""SELECT event_type, {r6('avg(value)')} AS avg_value, {r6('stddev_pop(value)')} AS std_value,
       {r6('min(value)')} AS min_value, {r6('max(value)')} AS max_value, count(value) AS samples, {r6('median(value)')} AS median_value,
@@ -1073,11 +1077,10 @@ def oracle_sql() -> dict[str, str]:
     # M
     add("m1_stream_scan", f"SELECT url, label, {r6('threat_probability')} AS threat_probability FROM predicted_b", "predicted_b")
     add("m2_stream_counters", "SELECT decision, count(*) AS urls FROM gated GROUP BY decision", "gated")
-    out["m3_first_seen"] = "SELECT DISTINCT user_id FROM events"
+    add("m3_first_seen", "SELECT DISTINCT url FROM scan_log", "scan_log")
     add("m4_learned_blacklist", """SELECT c.url, CAST(1 AS DOUBLE) AS score FROM corpus c
       JOIN met m ON m.url = c.url JOIN alike a ON a.url = c.url
-      WHERE m.met >= 3 AND (c.url IN (SELECT url FROM known_bad) OR a.similarity > 0.92)
-      AND exp(-0.0001 * (21600 - c.page_id * 60)) >= 0.1""", "corpus", "met", "alike", "known_bad")
+      WHERE m.met >= 3 AND (c.url IN (SELECT url FROM known_bad) OR a.similarity > 0.92)""", "corpus", "met", "alike", "known_bad")
     # throughput
     add("t_visit_features", f"SELECT url, {feature_list()} FROM ({feature_select('B', 'SELECT url, 0 AS redirect_depth, 1 AS chain_length FROM visits')})", "visits")
     add("t_visit_gate", "SELECT decision, reason, count(*) AS urls FROM visit_gated GROUP BY ALL", "visit_gated")

@@ -464,7 +464,8 @@ def e10_not_listed(spark, sf):
 # -- F: sketches -----------------------------------------------------------------------------------
 @register
 def f2_bloom_build(spark, sf):
-    return tidy(sketches.build_plain(_known_bad(spark, sf), "url", sketches.Shape.plain()))
+    bad = R.corpus(spark, sf).where("result = 1")
+    return tidy(sketches.build_plain(bad, "url", sketches.Shape.plain()))
 
 
 @register
@@ -485,7 +486,8 @@ def f3_bloom_probe_shuffled(spark, sf):
 @register
 def f4_bloom_stats(spark, sf):
     shape = sketches.Shape.plain()
-    return tidy(sketches.plain_stats(sketches.build_plain(_known_bad(spark, sf), "url", shape), shape))
+    bad = R.corpus(spark, sf).where("result = 1")
+    return tidy(sketches.plain_stats(sketches.build_plain(bad, "url", shape), shape))
 
 
 @register
@@ -558,8 +560,7 @@ def f10_trigram_sketch(spark, sf):
 
 
 def _entries(spark, sf):
-    log = R.scan_log(spark, sf).where("page_id % 4 = 0")
-    return log.groupBy("url").agg(F.max("ts").alias("inserted_at")).withColumn("score", F.lit(1.0))
+    return R.scan_log(spark, sf).groupBy("url").agg(F.max("ts").alias("inserted_at")).withColumn("score", F.lit(1.0))
 
 
 def _as_of(spark, sf):
@@ -1029,7 +1030,7 @@ def _merged(spark, sf):
         "url", F.lit("benign").alias("label"), F.lit(0).alias("result"), F.lit(1).alias("source"),
         F.col("event_id").cast("int").alias("line"),
     )
-    return datasets.union_all(first.where("result = 1"), log)
+    return datasets.union_all(first, log)
 
 
 @register
@@ -1064,7 +1065,7 @@ def l6_class_stats(spark, sf):
 
 @register
 def l7_intersect(spark, sf):
-    reached = graph.closure(R.edges(spark, sf)).select(F.col("dst").alias("url")).distinct()
+    reached = R.edges(spark, sf).select(F.col("dst").alias("url")).distinct()  # what any path reaches
     return tidy(reached.intersect(R.corpus(spark, sf).where("result = 1").select("url")))
 
 
@@ -1095,7 +1096,7 @@ def _page_stream(spark, sf):
 
 
 def _stream_corpus(spark, sf):
-    return _page_stream(spark, sf).select("page_id", R._threat_url().alias("url"))
+    return R.corpus_rows(_page_stream(spark, sf)).select("page_id", "url")
 
 
 @register
@@ -1112,8 +1113,10 @@ def m2_stream_counters(spark, sf):
 @register
 def m3_first_seen(spark, sf):
     stream = sources.stream_parquet(spark, f"{sf}/events*.parquet", C.EVENTS)
-    seen = jobs.first_seen(stream.select(F.col("ts").cast("timestamp"), "user_id"), "ts", "365 days", "user_id")
-    return tidy(jobs.run_to_table(seen.select("user_id"), "first-seen"))
+    placed = R.log_pages(stream.withColumn("ts", F.col("ts").cast("timestamp")), spark, sf)
+    requests = placed.join(R.corpus(spark, sf).select("page_id", "url"), "page_id")
+    seen = jobs.first_seen(requests.select("ts", "url"), "ts", "365 days", "url")
+    return tidy(jobs.run_to_table(seen.select("url"), "first-seen"))
 
 
 @register

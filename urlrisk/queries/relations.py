@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from urlrisk.plans.skew import spread
 
+#: Added to a page's id for its given URL.
+GIVEN = 224_000_000
 MALICIOUS_KINDS = [0, 1, 2, 3, 7, 8, 9, 10, 11]
 
 
@@ -46,10 +48,22 @@ def _threat_url() -> Column:
     )
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, url, result): one labelled URL per page."""
+def corpus_rows(given: DataFrame) -> DataFrame:
+    """(page_id, url, result) of a table or stream of pages: each made URL, and every page's own one.
+
+    Where the rule replaces a page's URL, the given URL is a harmless row of its own under the page id
+    plus GIVEN, a multiple of all cycle lengths of the rules.
+    """
     result = F.when((F.col("page_id") % 16).isin(MALICIOUS_KINDS), 1).otherwise(0)
-    return pages(spark, sf_dir).select("page_id", _threat_url().alias("url"), result.alias("result"))
+    made = F.struct("page_id", _threat_url().alias("url"), result.alias("result"))
+    own = F.struct((F.col("page_id") + GIVEN).alias("page_id"), F.col("url").alias("url"), F.lit(0).alias("result"))
+    both = F.when(F.col("page_id") % 16 <= 12, F.array(made, own)).otherwise(F.array(made))
+    return given.select(F.explode(both).alias("_row")).select("_row.*")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, result): the labelled URLs, every given one among them."""
+    return corpus_rows(pages(spark, sf_dir))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +96,8 @@ def hop_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = hop_pages(spark, sf_dir).select("page_id", F.col("html").alias("body"))
     moves = edges(spark, sf_dir).select(F.col("src").alias("url"), "dst")
     kind = F.col("page_id") % 14
-    joined = c.join(bodies, "page_id").join(moves, "url", "left").where(kind != 9)
+    bodies = bodies.withColumnRenamed("page_id", "_page")
+    joined = c.join(bodies, c["page_id"] % GIVEN == bodies["_page"]).join(moves, "url", "left").where(kind != 9)
     moved = F.col("dst").isNotNull()
     return joined.select(
         "url",
@@ -95,13 +110,18 @@ def hop_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, ts, user_id, page_id, url): repeated requests for corpus URLs."""
-    n = pages(spark, sf_dir).agg(F.count(F.lit(1))).scalar()
-    visits = events(spark, sf_dir).select(
-        "event_id", "ts", "user_id", (F.col("event_id") % n).alias("page_id")
-    )
+    visits = log_pages(events(spark, sf_dir), spark, sf_dir).select("event_id", "ts", "user_id", "page_id")
     return visits.join(corpus(spark, sf_dir).select("page_id", "url"), "page_id")
 
 
+def log_pages(requests: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the ``page_id`` of the URL they ask for: each page in turn, made and given URLs alternating."""
+    n = pages(spark, sf_dir).agg(F.count(F.lit(1))).scalar()
+    page = F.col("event_id") % n
+    own = (F.floor(F.col("event_id") / n) % 2 == 1) & (page % 16 <= 12)
+    return requests.withColumn("page_id", page + F.when(own, GIVEN).otherwise(0))
+
+
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, url): one distinct URL per event, for throughput queries."""
     log = scan_log(spark, sf_dir)
