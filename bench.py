@@ -14,7 +14,7 @@ HEADLINE = [
     "t_visit_features", "t_visit_gate", "e4_list_verdict", "f3_bloom_probe", "f10_trigram_similarity",
     "h7_closure", "i5_chain_summary", "j16_scan_b", "k3_top_k", "l9_distribution",
 ]
-RUNS = 1
+RUNS = 3
 
 
 def main() -> None:
