@@ -29,7 +29,7 @@ def test_filters_have_no_false_negatives_and_both_probes_agree(urls):
     shape = K.Shape.plain(300, 0.05)
     words = K.build_plain(members, "url", shape)
     shipped = sorted(K.probe_plain(probes, "url", words, shape).collect())
-    shuffled = sorted(K.probe_plain(probes, "url", words, shape, shipped=False).collect())
+    shuffled = sorted(K.probe_plain(probes, "url", words, shape, ship_up_to=0).collect())
     assert shipped == shuffled and len(shipped) == 800
     inside = {f"http://m{i}.com" for i in range(300)}
     assert all(hit for url, hit in shipped if url in inside)
@@ -74,6 +74,50 @@ def test_constant_and_data_ensembles_agree(spark, urls):
     }
 
 
+def test_shuffled_and_shipped_probes_agree(spark, urls):
+    members, probes = urls([f"m{i}" for i in range(200)]), urls([f"m{i}" for i in range(400)] + [None, "m1", ""])
+    shape, buckets = K.Shape.rounded(200, 0.05), K.fingerprint_buckets(400)
+    counted, codes = K.counting_table(members, "url", shape), K.fingerprint_table(members, "url", buckets)
+    sliced = K.build_sliced(members, "url", K.Slices(50))
+    frame = members.withColumnRenamed("url", "pattern")
+    few = frame.where("pattern LIKE '%9'")
+    for probe in (
+        lambda n: K.counting_probe(probes, "url", K.counting_remove(counted, probes.limit(9), "url", shape, n), shape, ship_up_to=n),
+        lambda n: K.fingerprint_probe(probes, "url", codes, buckets, ship_up_to=n),
+        lambda n: K.probe_sliced(probes, "url", sliced, ship_up_to=n),
+        lambda n: K.vote(probes, "url", K.data_ensemble(frame, few, ship_up_to=n)),
+        lambda n: K.trigram_similarity_sketch(probes, members, shape, ship_up_to=n, broadcast_up_to=n),
+        lambda n: K.trigram_similarity(probes, members, broadcast_up_to=n),
+    ):
+        shipped, shuffled = probe(K.MAX_BITMAP_BITS), probe(0)
+        assert shipped.columns == shuffled.columns
+        assert sorted(shipped.collect(), key=str) == sorted(shuffled.collect(), key=str)
+
+
+def test_a_filter_beyond_32_bits_of_positions(urls):
+    shape = K.Shape.plain(1_000_000_000, 0.01)
+    assert shape.m > 1 << 32
+    members, probes = urls(["a", "b", "é"]), urls(["a", "b", "é", "c", "d"])
+    rows = probes.select("url", F.array(*K.plain_positions(F.col("url"), shape))).collect()
+    assert all(got == [digest(f"{i}:{url}") % shape.m for i in range(shape.k)] for url, got in rows)
+    words = K.build_plain(members, "url", shape)
+    assert dict(K.probe_plain(probes, "url", words, shape).collect()) == dict(a=True, b=True, é=True, c=False, d=False)
+    table = K.counting_table(members, "url", shape)
+    assert table.agg(F.max("position")).first()[0] > 1 << 32
+    assert dict(K.counting_probe(probes, "url", table, shape).collect()) == dict(a=True, b=True, é=True, c=False, d=False)
+
+
+def test_ensemble_grows_with_its_list(spark):
+    listed = spark.range(800_000).select(F.concat(F.lit("bad"), "id", F.lit(".example")).alias("pattern"))
+    hosts = spark.range(1000).select(F.concat(F.lit("other"), "id", F.lit(".org")).alias("host"))
+    hosts = hosts.unionByName(listed.limit(100).withColumnRenamed("pattern", "host"))
+    voted = K.vote(hosts, "host", K.data_ensemble(listed, listed.limit(0)))
+    rows = dict(voted.groupBy("bloom_result").count().collect())
+    # two buckets of four slots at 76 % load with 255 fingerprints, plus 1 % of the counting filter: 34 of 1000
+    # unlisted hosts are expected, 60 are 4.5 deviations above
+    assert rows.get("KNOWN_SAFE", 0) == 0 and 100 <= rows["KNOWN_MALICIOUS"] <= 160
+
+
 def test_trigram_similarity(urls):
     known = urls(["abcdef"])
     rows = dict(K.trigram_similarity(urls(["abcdef", "ABCxyz", "zz", "qqqq"]), known).collect())
@@ -91,4 +135,5 @@ def test_ageing(spark):
     df = spark.sql("SELECT 'u' url, 1.0D score, timestamp'2024-01-01 00:00:00' inserted_at")
     late = F.lit("2024-01-01 06:24:00").cast("timestamp")
     assert K.drop_expired(df, late).isEmpty()
+    assert tuple(K.expired_count(df, late).first()) == (1, 0)
     assert not K.drop_expired(df, F.lit("2024-01-01 06:20:00").cast("timestamp")).isEmpty()

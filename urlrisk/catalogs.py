@@ -45,10 +45,8 @@ KEYWORDS_BY_PROFILE = {"A": LURE_KEYWORDS + ATTACK_KEYWORDS, "B": LURE_KEYWORDS}
 # The pattern dictionary lists "verify" twice; the score divides by all 18 entries.
 PATTERN_KEYWORDS = [
     "login", "verify", "secure", "update", "bank", "paypal", "apple", "amazon", "confirm", "account",
-    "signin", "ebay", "password", "suspended", "locked", "urgent", "click",
+    "signin", "ebay", "password", "suspended", "locked", "urgent", "click", "verify",
 ]
-PATTERN_KEYWORD_WEIGHT = {"verify": 2}
-PATTERN_KEYWORD_TOTAL = 18
 
 HOP_KEYWORDS = [
     "login", "verify", "account", "secure", "banking", "update", "confirm", "paypal", "password", "suspended",

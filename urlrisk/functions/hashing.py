@@ -7,16 +7,13 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_BITS = 1 << 31  # the modular fold below must stay inside a signed 64-bit integer
+WIDE = 1 << 31  # from this size on, positions need more than 32 hash bits and a finer modular fold
 MINHASH_PRIME = 2147483647
 
 
 def bloom_bits(items: int, fp_rate: float) -> int:
     """Number of bits for ``items`` entries at ``fp_rate``."""
-    m = max(1, int(-items * math.log(fp_rate) / math.log(2) ** 2))
-    if m >= MAX_BITS:
-        raise ValueError(f"a filter of {m} bits exceeds the {MAX_BITS}-bit position space; split the item set")
-    return m
+    return max(1, int(-items * math.log(fp_rate) / math.log(2) ** 2))
 
 
 def bloom_hashes(m: int, items: int) -> int:
@@ -35,10 +32,16 @@ def words32(digest: Column) -> list[Column]:
 
 
 def md5_mod(text: Column, m: int) -> Column:
-    """The whole 128-bit MD5 value of ``text`` modulo ``m``."""
-    rest = F.lit(0).cast("bigint")
-    for word in words32(F.md5(text)):
-        rest = (rest * F.lit(1 << 32).cast("bigint") + word) % F.lit(m).cast("bigint")
+    """The whole 128-bit MD5 value of ``text`` modulo ``m``.
+
+    Folded in steps of 32 bits, or of 16 bits for a large ``m``, so that every step stays inside a signed
+    64-bit integer: exact for ``m`` up to 2^47.
+    """
+    digest, bits = F.md5(text), 32 if m < WIDE else 16
+    step, rest = bits // 4, F.lit(0).cast("bigint")
+    for at in range(0, 32, step):
+        part = F.conv(F.substring(digest, 1 + at, step), 16, 10).cast("bigint")
+        rest = (rest * F.lit(1 << bits).cast("bigint") + part) % F.lit(m).cast("bigint")
     return rest
 
 
@@ -47,6 +50,12 @@ def seeded_positions(item: Column, m: int, k: int) -> list[Column]:
     return [md5_mod(F.concat(F.lit(f"{seed}:"), item), m) for seed in range(k)]
 
 
+def wide_words(words: list[Column]) -> list[Column]:
+    """Two 52-bit words out of four 32-bit ones, for position spaces that 32 bits do not reach."""
+    tail = F.lit(1 << 20).cast("bigint")
+    return [words[i] * tail + words[i + 2] % tail for i in (0, 1)]
+
+
 def double_hash_positions(h1: Column, h2: Column, m: int, k: int) -> list[Column]:
     """Positions (h1 + i*h2) mod m for i in 0..k-1, from two words of one digest."""
     size = F.lit(m).cast("bigint")

@@ -128,19 +128,16 @@ def feature_array() -> Column:
     return F.array(*[F.col(name).cast("double") for name in C.FEATURES])
 
 
-def pattern_signals(df: DataFrame, url: str = "url") -> DataFrame:
-    """Pattern-matching signals on the adversarially normalised URL."""
+def pattern_signals(df: DataFrame, url: str = "url", keywords: list[str] = C.PATTERN_KEYWORDS) -> DataFrame:
+    """Pattern-matching signals on the adversarially normalised URL. A keyword listed twice counts twice."""
     u = F.col(url)
     staged = df.withColumn("normalized_url", U.adversarial_form(u))
     norm = F.col("normalized_url")
-    count = F.lit(0)
-    for word in C.PATTERN_KEYWORDS:
-        weight = C.PATTERN_KEYWORD_WEIGHT.get(word, 1)
-        count = count + F.contains(norm, F.lit(word)).cast("int") * weight
+    count = X.hits(norm, keywords)
     return staged.withColumns({
-        "matched_keywords": X.matched(norm, C.PATTERN_KEYWORDS),
+        "matched_keywords": X.matched(norm, keywords),
         "match_count": count,
-        "pattern_score": count / F.lit(float(C.PATTERN_KEYWORD_TOTAL)),
+        "pattern_score": count / F.lit(float(max(1, len(keywords)))),
         "has_ip_address": u.rlike(U.IP_ANYWHERE),
         "digit_ratio": X.per_char(X.count_digits(u), u),
         "dot_count": X.count_of(u, "."),

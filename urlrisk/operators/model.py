@@ -46,21 +46,21 @@ def model_input(table: DataFrame, stats: DataFrame | None = None, label: str = "
 
 
 def train_network(
-    train: DataFrame, val: DataFrame, max_epochs: int = 50, patience: int = 7, epochs_per_round: int = 1,
+    train: DataFrame, val: DataFrame, max_epochs: int = 50, patience: int = 7, steps_per_epoch: int = 10,
     seed: int = 42,
 ) -> tuple[MultilayerPerceptronClassificationModel, list[float]]:
-    """Fit the network in short rounds, each starting from the last weights; keep the best round.
+    """Fit the network epoch by epoch, each starting from the last weights; keep the best epoch.
 
-    Stops when the validation AUC has not improved for ``patience`` epochs. Returns the model and the
-    AUC history. Runs one distributed fit per round over the cached ``train``.
+    An epoch is ``steps_per_epoch`` solver steps, each over all of ``train``. Stops when the validation AUC
+    has not improved for ``patience`` epochs. Returns the model and the AUC history. Runs one distributed
+    fit per epoch over the cached ``train``.
     """
     evaluator = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC")
     train, val = train.persist(), val.persist()
     best, best_auc, waited, weights, history = None, -1.0, 0, None, []
     try:
-        for start in range(0, max_epochs, epochs_per_round):
-            steps = min(epochs_per_round, max_epochs - start)
-            mlp = MultilayerPerceptronClassifier(layers=LAYERS, maxIter=steps, seed=seed, blockSize=256)
+        for _ in range(max_epochs):
+            mlp = MultilayerPerceptronClassifier(layers=LAYERS, maxIter=steps_per_epoch, seed=seed, blockSize=256)
             if weights is not None:
                 mlp = mlp.setInitialWeights(weights)
             model = mlp.fit(train)
@@ -70,7 +70,7 @@ def train_network(
             if auc > best_auc:
                 best, best_auc, waited = model, auc, 0
             else:
-                waited += steps
+                waited += 1
                 if waited >= patience:
                     break
     finally:

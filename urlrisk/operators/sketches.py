@@ -1,17 +1,21 @@
 """Probabilistic membership: plain, counting, sliced and fingerprint filters, vote, ageing, similarity.
 
 Every filter is a set of integer positions. Building one is an aggregation (positions are spread by the
-hash, so no group is hot; repeated items collapse before the shuffle). Probing depends on the size of the
-position space, which is known before anything runs:
+hash, so no group is hot; repeated items collapse before the shuffle). There are three ways to probe one,
+with the same result:
 
 * positions of a constant list become a hash-set literal;
-* up to ``MAX_BITMAP_BITS`` the filter is one array of 63-bit words, read by an uncorrelated scalar
-  subquery, so probing is a projection with no shuffle;
-* beyond that the probe shuffles the distinct items' positions to the filter words.
+* shipped: the filter is one array of 63-bit words, read by an uncorrelated scalar subquery, so probing
+  is a projection with no shuffle;
+* shuffled: the distinct items' positions are joined to the filter words, for filters of any size.
+
+``ship_up_to`` is the largest number of positions that is shipped to every task; a larger filter is
+shuffled, and 0 always shuffles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -29,7 +33,8 @@ from urlrisk.plans.skew import lookup_join, semi_lookup
 
 WORD_BITS = 63  # keeps the sign bit clear
 WORDS = [f"_h{i}" for i in range(4)]
-MAX_BITMAP_BITS = 1 << 27  # 16 MiB of bits: the largest filter that is shipped to every task
+MAX_BITMAP_BITS = 1 << 27  # 16 MiB of bits: default bound of a filter that is shipped to every task
+MAX_GRAMS = 1 << 20  # default bound of a trigram set that is broadcast (at most 12 bytes each)
 
 
 # -- filter shapes ---------------------------------------------------------------------------------
@@ -64,8 +69,11 @@ def digest_columns(df: DataFrame, item: Column, prefix: str) -> DataFrame:
 
 
 def counting_positions(prefix: str, shape: Shape) -> list[Column]:
-    """Positions of counting and sliced filters: double hashing on two digest words."""
-    return H.double_hash_positions(F.col(f"{prefix}0"), F.col(f"{prefix}1"), shape.m, shape.k)
+    """Positions of counting and sliced filters: double hashing on two digest words (wider for a huge filter)."""
+    first, second = F.col(f"{prefix}0"), F.col(f"{prefix}1")
+    if shape.m >= H.WIDE:
+        first, second = H.wide_words([F.col(f"{prefix}{i}") for i in range(4)])
+    return H.double_hash_positions(first, second, shape.m, shape.k)
 
 
 def fingerprint_buckets(capacity: int, bucket_size: int = 4) -> int:
@@ -115,9 +123,15 @@ class BitmapPositions(LiteralPositions):
     def has(self, position: str) -> Column:
         return bit_at(self._words.scalar(), F.col(position))
 
-    def column(self) -> Column:
-        """The words array itself."""
-        return self._words.scalar()
+
+@dataclass(frozen=True)
+class ShuffledPositions:
+    """Positions as the table ``(word, bits)`` of set bits, to which probes are shuffled."""
+
+    words: DataFrame
+
+
+Positions = LiteralPositions | ShuffledPositions
 
 
 def bit_at(words: Column, position: Column) -> Column:
@@ -149,18 +163,37 @@ def filter_words(positions: DataFrame) -> DataFrame:
 
 
 def dense_words(words: DataFrame, m: int) -> DataFrame:
-    """One row holding all words of an ``m``-bit filter in order; at most MAX_BITMAP_BITS bits."""
-    if m > MAX_BITMAP_BITS:
-        raise ValueError(f"{m} bits exceed the {MAX_BITMAP_BITS}-bit bound of a shipped filter")
+    """One row holding all words of an ``m``-bit filter in order."""
     every = words.sparkSession.range(m // WORD_BITS + 1).withColumnRenamed("id", "word")
     filled = every.join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0)).alias("bits"))
     ordered = F.array_sort(F.collect_list(F.struct("word", "bits")))
     return filled.agg(F.transform(ordered, lambda w: w["bits"]).alias("words"))
 
 
-def bitmap(positions: DataFrame, m: int) -> BitmapPositions:
-    """Position set of a table of positions."""
-    return BitmapPositions(dense_words(filter_words(positions), m))
+def held(words: DataFrame, m: int, ship_up_to: int = MAX_BITMAP_BITS) -> Positions:
+    """Position set of an ``m``-bit filter's words: shipped up to ``ship_up_to`` positions, else shuffled."""
+    return BitmapPositions(dense_words(words, m)) if m <= ship_up_to else ShuffledPositions(words)
+
+
+def add_flag(df: DataFrame, item: str, positions: list[Column], members: Positions, flag: str) -> DataFrame:
+    """Add ``flag``: all of the item's positions are set (null for a null item).
+
+    ``positions`` are functions of ``item`` and, where staged, of its digest columns.
+    """
+    if not isinstance(members, ShuffledPositions):
+        staged, names = with_positions(df, positions)
+        return staged.withColumn(flag, members.has_all(names)).drop(*names)
+    staged = [w for w in WORDS if w in df.columns]
+    distinct = df.select(item, *staged).where(F.col(item).isNotNull()).dropDuplicates([item])
+    probes = distinct.select(item, F.explode(F.array(*positions)).alias("_at")).select(
+        item, "_at", F.floor(F.col("_at") / WORD_BITS).cast("bigint").alias("word")
+    )
+    bit = F.getbit(F.col("bits"), (F.col("_at") % WORD_BITS).cast("int")) == 1
+    verdicts = (
+        probes.join(members.words, "word", "left")
+        .groupBy(item).agg(F.min(F.coalesce(bit, F.lit(False))).alias(flag))
+    )
+    return lookup_join(df, verdicts, item)
 
 
 # -- plain filter ----------------------------------------------------------------------------------
@@ -172,25 +205,12 @@ def build_plain(items: DataFrame, column: str, shape: Shape) -> DataFrame:
 
 def probe_plain(
     df: DataFrame, column: str, words: DataFrame, shape: Shape, flag: str = "in_filter",
-    shipped: bool | None = None,
+    ship_up_to: int = MAX_BITMAP_BITS,
 ) -> DataFrame:
-    """Add ``flag``: the item is possibly in the filter. ``shipped`` forces one of the two ways."""
-    if shipped is None:
-        shipped = shape.m <= MAX_BITMAP_BITS
-    if shipped:
-        staged, positions = with_positions(df, plain_positions(F.col(column), shape))
-        hit = BitmapPositions(dense_words(words, shape.m)).has_all(positions)
-        return staged.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(*positions)
-    distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
-    probes = distinct.select(
-        column, F.explode(F.array(*plain_positions(F.col(column), shape))).alias("position")
-    ).withColumn("word", F.floor(F.col("position") / WORD_BITS).cast("bigint"))
-    bit = F.getbit(F.col("bits"), (F.col("position") % WORD_BITS).cast("int")) == 1
-    verdicts = (
-        probes.join(words, "word", "left")
-        .groupBy(column).agg(F.min(F.coalesce(bit, F.lit(False))).alias(flag))
-    )
-    return lookup_join(df, verdicts, column, split_hot=True).withColumn(flag, F.coalesce(flag, F.lit(False)))
+    """Add ``flag``: the item is possibly in the filter."""
+    members = held(words, shape.m, ship_up_to)
+    probed = add_flag(df, column, plain_positions(F.col(column), shape), members, flag)
+    return probed.withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def plain_stats(words: DataFrame, shape: Shape) -> DataFrame:
@@ -224,14 +244,16 @@ def _summed_positions(weighted: DataFrame, column: str, shape: Shape, out: str)
     return rows.groupBy("position").agg(F.sum("_n").alias(out))
 
 
-def counting_remove(table: DataFrame, removed: DataFrame, column: str, shape: Shape) -> DataFrame:
+def counting_remove(
+    table: DataFrame, removed: DataFrame, column: str, shape: Shape, ship_up_to: int = MAX_BITMAP_BITS
+) -> DataFrame:
     """Counters after removing each listed item once, if the filter contains it.
 
     An item the filter does not contain weighs zero; it is not filtered out, because a predicate on the
     probe would be pushed below the hash columns it is made of.
     """
     once = removed.select(column).where(F.col(column).isNotNull()).distinct()
-    probed = counting_probe(once, column, table, shape, "_in")
+    probed = counting_probe(once, column, table, shape, "_in", ship_up_to)
     weighted = probed.select(column, F.col("_in").cast("int").alias("_n"))
     minus = _summed_positions(weighted, column, shape, "_minus")
     left = F.greatest(F.col("count") - F.coalesce(F.col("_minus"), F.lit(0)), F.lit(0))
@@ -241,13 +263,14 @@ def counting_remove(table: DataFrame, removed: DataFrame, column: str, shape: Sh
 
 
 def counting_probe(
-    df: DataFrame, column: str, table: DataFrame, shape: Shape, flag: str = "in_filter"
+    df: DataFrame, column: str, table: DataFrame, shape: Shape, flag: str = "in_filter",
+    ship_up_to: int = MAX_BITMAP_BITS,
 ) -> DataFrame:
     """Add ``flag``: every counter of the item is positive."""
+    members = held(filter_words(table.where("count > 0").select("position")), shape.m, ship_up_to)
     staged = digest_columns(df, F.col(column), "_h")
-    staged, positions = with_positions(staged, counting_positions("_h", shape))
-    hit = bitmap(table.where("count > 0").select("position"), shape.m).has_all(positions)
-    return staged.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(*positions, *WORDS)
+    probed = add_flag(staged, column, counting_positions("_h", shape), members, flag)
+    return probed.withColumn(flag, F.coalesce(flag, F.lit(False))).drop(*WORDS)
 
 
 # -- sliced filter ---------------------------------------------------------------------------------
@@ -304,16 +327,20 @@ def build_sliced(items: DataFrame, column: str, slices: Slices) -> list[tuple[Sh
 
 
 def probe_sliced(
-    df: DataFrame, column: str, built: list[tuple[Shape, DataFrame]], flag: str = "in_filter"
+    df: DataFrame, column: str, built: list[tuple[Shape, DataFrame]], flag: str = "in_filter",
+    ship_up_to: int = MAX_BITMAP_BITS,
 ) -> DataFrame:
     """Add ``flag``: any slice contains the item."""
-    staged = digest_columns(df, F.col(column), "_h")
-    hit, used = F.lit(False), []
-    for index, (shape, words) in enumerate(built):
-        staged, names = with_positions(staged, counting_positions("_h", shape), f"_s{index}_")
-        hit = hit | BitmapPositions(dense_words(words, shape.m)).has_all(names)
-        used += names
-    return staged.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(*used, *WORDS)
+    slices = [(shape, held(words, shape.m, ship_up_to)) for shape, words in built]
+    staged = _slice_flag(digest_columns(df, F.col(column), "_h"), column, slices, flag)
+    return staged.withColumn(flag, F.coalesce(flag, F.lit(False))).drop(*WORDS)
+
+
+def _slice_flag(staged: DataFrame, item: str, slices: list[tuple[Shape, Positions]], flag: str) -> DataFrame:
+    names = [f"_slice{i}" for i in range(len(slices))]
+    for name, (shape, members) in zip(names, slices):
+        staged = add_flag(staged, item, counting_positions("_h", shape), members, name)
+    return staged.withColumn(flag, reduce(lambda a, b: a | b, map(F.col, names))).drop(*names)
 
 
 # -- fingerprint filter ----------------------------------------------------------------------------
@@ -337,16 +364,14 @@ def fingerprint_remove(table: DataFrame, removed: DataFrame, column: str, bucket
 
 
 def fingerprint_probe(
-    df: DataFrame, column: str, table: DataFrame, buckets: int, flag: str = "in_filter"
+    df: DataFrame, column: str, table: DataFrame, buckets: int, flag: str = "in_filter",
+    ship_up_to: int = MAX_BITMAP_BITS,
 ) -> DataFrame:
-    """Add ``flag``: the item's fingerprint is stored. Shipped as a bitmap while the code space allows."""
-    staged = digest_columns(df, F.col(column), "_h").withColumn("position", fingerprint_code("_h", buckets))
-    if buckets * 256 <= MAX_BITMAP_BITS:
-        hit = bitmap(table.select("position"), buckets * 256).has("position")
-        out = staged.withColumn(flag, F.coalesce(hit, F.lit(False)))
-    else:
-        out = semi_lookup(staged, table, "position", flag)
-    return out.drop("position", *WORDS)
+    """Add ``flag``: the item's fingerprint is stored."""
+    members = held(filter_words(table.select("position")), buckets * 256, ship_up_to)
+    staged = digest_columns(df, F.col(column), "_h")
+    probed = add_flag(staged, column, [fingerprint_code("_h", buckets)], members, flag)
+    return probed.withColumn(flag, F.coalesce(flag, F.lit(False))).drop(*WORDS)
 
 
 # -- vote over the three filters -------------------------------------------------------------------
@@ -357,27 +382,33 @@ class Ensemble:
     counting_shape: Shape
     allow_shape: Shape
     buckets: int
-    counting: LiteralPositions
-    sliced: LiteralPositions
-    fingerprints: LiteralPositions
-    allow: LiteralPositions
+    counting: Positions
+    slices: list[tuple[Shape, Positions]]
+    fingerprints: Positions
+    allow: Positions
 
 
-COUNTING_SHAPE = Shape.rounded(200_000, 0.01)
-ALLOW_SHAPE = Shape.rounded(50_000, 0.001)
-BUCKETS = fingerprint_buckets(200_000)
+VOTE_THRESHOLD = 0.5
+CAPACITY, ALLOW_CAPACITY = 200_000, 50_000
+FP_RATE, ALLOW_FP_RATE = 0.01, 0.001
+COUNTING_SHAPE = Shape.rounded(CAPACITY, FP_RATE)
+ALLOW_SHAPE = Shape.rounded(ALLOW_CAPACITY, ALLOW_FP_RATE)
+BUCKETS = fingerprint_buckets(CAPACITY)
 
 
 def constant_ensemble(
     spark: SparkSession, malicious: list[str] | None = None, safe: list[str] | None = None
 ) -> Ensemble:
-    """Ensemble over constant lists. Their positions are evaluated on the driver (a few hundred values)."""
+    """Ensemble over constant lists, for at most a few thousand entries.
+
+    Their positions are evaluated on the driver and become literals; give longer lists to ``data_ensemble``.
+    """
     bad = [d.strip().lower() for d in (C.MALICIOUS_DOMAINS if malicious is None else malicious)]
     good = [d.strip().lower() for d in (C.SAFE_DOMAINS if safe is None else safe)]
 
     counting = LiteralPositions(_constant_positions(spark, tuple(bad), "counting"))
     return Ensemble(
-        COUNTING_SHAPE, ALLOW_SHAPE, BUCKETS, counting, counting,
+        COUNTING_SHAPE, ALLOW_SHAPE, BUCKETS, counting, [(COUNTING_SHAPE, counting)],
         LiteralPositions(_constant_positions(spark, tuple(bad), "fingerprint")),
         LiteralPositions(_constant_positions(spark, tuple(good), "allow")),
     )
@@ -401,36 +432,55 @@ def _constant_positions(spark: SparkSession, names: tuple[str, ...], kind: str)
     return _CONSTANT[(names, kind)]
 
 
+def _capacity(items: DataFrame, column: str, given: int | None, least: int) -> int:
+    """The given capacity, else the counted entries but no less than the design size. May run a job."""
+    return given or max(least, items.agg(F.count(column)).first()[0])
+
+
 def data_ensemble(
-    malicious: DataFrame, safe: DataFrame, column: str = "pattern", removed: DataFrame | None = None
+    malicious: DataFrame, safe: DataFrame, column: str = "pattern", removed: DataFrame | None = None,
+    capacity: int | None = None, allow_capacity: int | None = None, fp_rate: float = FP_RATE,
+    allow_fp_rate: float = ALLOW_FP_RATE, ship_up_to: int = MAX_BITMAP_BITS,
 ) -> Ensemble:
-    """Ensemble over lists given as data. Removal reaches counting and fingerprint filters only."""
-    counting = counting_table(malicious, column, COUNTING_SHAPE)
-    fingerprints = fingerprint_table(malicious, column, BUCKETS)
-    sliced = counting
+    """Ensemble over lists given as data, sized by the capacities (by default: counted).
+
+    Removal reaches the counting and fingerprint filters only; the sliced filter grows and never shrinks.
+    """
+    capacity = _capacity(malicious, column, capacity, CAPACITY)
+    allow_capacity = _capacity(safe, column, allow_capacity, ALLOW_CAPACITY)
+    shape, allow_shape = Shape.rounded(capacity, fp_rate), Shape.rounded(allow_capacity, allow_fp_rate)
+    buckets = fingerprint_buckets(capacity)
+    counting = counting_table(malicious, column, shape)
+    fingerprints = fingerprint_table(malicious, column, buckets)
     if removed is not None:
-        counting = counting_remove(counting, removed, column, COUNTING_SHAPE)
-        fingerprints = fingerprint_remove(fingerprints, removed, column, BUCKETS)
+        counting = counting_remove(counting, removed, column, shape, ship_up_to)
+        fingerprints = fingerprint_remove(fingerprints, removed, column, buckets)
+    sliced = build_sliced(malicious, column, Slices(capacity, fp_rate))
+    allowed = counting_table(safe, column, allow_shape)
+
+    def hold(positions: DataFrame, m: int) -> Positions:
+        return held(filter_words(positions.select("position")), m, ship_up_to)
+
     return Ensemble(
-        COUNTING_SHAPE, ALLOW_SHAPE, BUCKETS,
-        bitmap(counting.select("position"), COUNTING_SHAPE.m),
-        bitmap(sliced.select("position"), COUNTING_SHAPE.m),
-        bitmap(fingerprints.select("position"), BUCKETS * 256),
-        bitmap(counting_table(safe, column, ALLOW_SHAPE).select("position"), ALLOW_SHAPE.m),
+        shape, allow_shape, buckets,
+        hold(counting, shape.m),
+        [(s, held(words, s.m, ship_up_to)) for s, words in sliced],
+        hold(fingerprints, buckets * 256),
+        hold(allowed, allow_shape.m),
     )
 
 
 def vote(df: DataFrame, host: str, ensemble: Ensemble) -> DataFrame:
     """Add the votes, ``bloom_score`` and ``bloom_result``; all null where the host is null."""
     staged = digest_columns(df, F.col(host), "_h")
-    staged, block = with_positions(staged, counting_positions("_h", ensemble.counting_shape), "_c")
-    staged, allow = with_positions(staged, counting_positions("_h", ensemble.allow_shape), "_a")
-    staged = staged.withColumn("_f", fingerprint_code("_h", ensemble.buckets)).withColumns({
-        "vote_allow": ensemble.allow.has_all(allow),
-        "vote_fingerprint": ensemble.fingerprints.has("_f"),
-        "vote_counting": ensemble.counting.has_all(block),
-        "vote_sliced": ensemble.sliced.has_all(block),
-    }).drop("_f", *block, *allow, *WORDS)
+    filters: dict[str, tuple[Callable[[], list[Column]], Positions]] = {
+        "allow": (lambda: counting_positions("_h", ensemble.allow_shape), ensemble.allow),
+        "fingerprint": (lambda: [fingerprint_code("_h", ensemble.buckets)], ensemble.fingerprints),
+        "counting": (lambda: counting_positions("_h", ensemble.counting_shape), ensemble.counting),
+    }
+    for name, (positions, members) in filters.items():
+        staged = add_flag(staged, host, positions(), members, f"vote_{name}")
+    staged = _slice_flag(staged, host, ensemble.slices, "vote_sliced").drop(*WORDS)
     score = F.lit(0.0)
     for name, weight in C.VOTE_WEIGHTS.items():
         score = score + F.when(F.col(f"vote_{name}"), weight).otherwise(0.0)
@@ -439,18 +489,24 @@ def vote(df: DataFrame, host: str, ensemble: Ensemble) -> DataFrame:
         "bloom_score", F.when(known, F.when(F.col("vote_allow"), 0.0).otherwise(score))
     )
     result = (
-        F.when(F.col("vote_allow"), "KNOWN_SAFE").when(F.col("bloom_score") >= 0.5, "KNOWN_MALICIOUS")
+        F.when(F.col("vote_allow"), "KNOWN_SAFE").when(F.col("bloom_score") >= VOTE_THRESHOLD, "KNOWN_MALICIOUS")
         .otherwise("UNCERTAIN")
     )
     return staged.withColumn("bloom_result", F.when(known, result))
 
 
-def ensemble_stats(malicious: DataFrame, safe: DataFrame, column: str = "pattern") -> DataFrame:
-    """Entries and load factors of the ensemble's filters, one row."""
-    fingerprints = fingerprint_table(malicious, column, BUCKETS).agg(
+def ensemble_stats(
+    malicious: DataFrame, safe: DataFrame, column: str = "pattern", capacity: int | None = None,
+    fp_rate: float = FP_RATE,
+) -> DataFrame:
+    """Entries and loads of the ensemble's filters, its slices, weights and threshold; one row."""
+    capacity = _capacity(malicious, column, capacity, CAPACITY)
+    shape, buckets = Shape.rounded(capacity, fp_rate), fingerprint_buckets(capacity)
+    slices = len(Slices(capacity, fp_rate).shapes_for(malicious.agg(F.count_distinct(column)).first()[0]))
+    fingerprints = fingerprint_table(malicious, column, buckets).agg(
         F.coalesce(F.sum("count"), F.lit(0)).alias("blacklist_entries")
     )
-    counters = counting_table(malicious, column, COUNTING_SHAPE).agg(F.count(F.lit(1)).alias("nonzero"))
+    counters = counting_table(malicious, column, shape).agg(F.count(F.lit(1)).alias("nonzero"))
     allow = safe.agg(F.count(column).alias("whitelist_entries"))
     entries = F.col("blacklist_entries")
     return allow.select(
@@ -458,45 +514,92 @@ def ensemble_stats(malicious: DataFrame, safe: DataFrame, column: str = "pattern
     ).select(
         "blacklist_entries",
         "whitelist_entries",
-        F.bround(entries / F.lit(float(BUCKETS * 4)), 3).alias("fingerprint_load"),
-        F.bround(F.col("nonzero") / F.lit(float(COUNTING_SHAPE.m)), 3).alias("counting_load"),
+        F.bround(entries / F.lit(float(buckets * 4)), 3).alias("fingerprint_load"),
+        F.bround(F.col("nonzero") / F.lit(float(shape.m)), 3).alias("counting_load"),
+        F.lit(slices).alias("slices"),
+        F.lit(VOTE_THRESHOLD).alias("threshold"),
+        *[F.lit(weight).alias(f"weight_{name}") for name, weight in C.VOTE_WEIGHTS.items()],
     )
 
 
 # -- similarity, ageing, verdict -------------------------------------------------------------------
-def trigram_similarity(df: DataFrame, known: DataFrame, url: str = "url", out: str = "similarity") -> DataFrame:
-    """Add the share of the URL's trigrams that occur in any known URL (0 for very short URLs).
+@dataclass(frozen=True)
+class Grams:
+    """Known trigrams ``(gram, _hit)``, written out, and whether they are few enough to broadcast."""
+
+    rows: DataFrame
+    few: bool
 
-    Exact. Trigrams are counted per distinct URL and matched on distinct trigrams, so neither a repeated
-    URL nor a trigram present everywhere ("htt") concentrates work.
-    """
-    urls = df.select(url).where(F.col(url).isNotNull()).distinct()
-    bad = known.select(F.explode(X.trigrams(F.col(url))).alias("gram")).distinct()
-    grams = urls.select(url, F.explode(X.trigrams(F.col(url))).alias("gram"))
-    shares = (
-        semi_lookup(grams, bad, "gram", "_hit")
-        .groupBy(url).agg(F.avg(F.col("_hit").cast("double")).alias(out))
-    )
-    return lookup_join(df, shares, url, split_hot=True).withColumn(out, F.coalesce(F.col(out), F.lit(0.0)))
+
+def hold_grams(distinct: DataFrame, broadcast_up_to: int = MAX_GRAMS) -> Grams:
+    """Write out and count distinct trigrams. Runs two jobs."""
+    rows = cut(distinct.select("gram"))
+    return Grams(rows.withColumn("_hit", F.lit(1.0)), rows.count() <= broadcast_up_to)
+
+
+def known_grams(known: DataFrame, url: str = "url") -> DataFrame:
+    """Distinct trigrams of known URLs (at most the cube of the alphabet)."""
+    return known.select(F.explode(X.trigrams(F.col(url))).alias("gram")).distinct()
+
+
+def trigram_similarity(
+    df: DataFrame, known: DataFrame, url: str = "url", out: str = "similarity", broadcast_up_to: int = MAX_GRAMS
+) -> DataFrame:
+    """Add the share of the URL's trigrams that occur in any known URL (0 for very short URLs). Exact."""
+    return gram_share(df, hold_grams(known_grams(known, url), broadcast_up_to), url, out)
 
 
 def trigram_similarity_sketch(
-    df: DataFrame, known: DataFrame, shape: Shape, url: str = "url", out: str = "similarity"
+    df: DataFrame, known: DataFrame, shape: Shape, url: str = "url", out: str = "similarity",
+    ship_up_to: int = MAX_BITMAP_BITS, broadcast_up_to: int = MAX_GRAMS,
 ) -> DataFrame:
-    """The same share, with known trigrams held in a filter: a projection, no shuffle of ``df``."""
-    bad = known.select(F.explode(X.trigrams(F.col(url))).alias("gram")).distinct()
-    staged = digest_columns(bad, F.col("gram"), "_h")
-    words = bitmap(position_rows(staged, counting_positions("_h", shape)), shape.m).column()
+    """The same share, with known trigrams held in a filter that the distinct trigrams of ``df`` probe."""
+    bad = digest_columns(known_grams(known, url), F.col("gram"), "_h")
+    words = filter_words(position_rows(bad, counting_positions("_h", shape)))
+    asked = digest_columns(known_grams(df, url), F.col("gram"), "_h")
+    probed = add_flag(asked, "gram", counting_positions("_h", shape), held(words, shape.m, ship_up_to), "_in")
+    hits = cut(probed.select("gram", "_in")).where("_in")
+    return gram_share(df, hold_grams(hits, broadcast_up_to), url, out)
 
-    def known_gram(gram: Column) -> Column:
-        first, second, _, _ = H.words32(F.md5(gram))
-        positions = H.double_hash_positions(first, second, shape.m, shape.k)
-        return reduce(lambda a, b: a & b, [bit_at(F.col("_words"), p) for p in positions])
 
-    # a lambda cannot hold a subquery, so the words pass through a column of the row being projected
-    with_words = df.withColumns({"_words": words, "_grams": X.trigrams(F.col(url))})
-    share = F.size(F.filter("_grams", known_gram)) / F.size("_grams")
-    return with_words.withColumn(out, F.when(F.size("_grams") > 0, share).otherwise(0.0)).drop("_words", "_grams")
+def gram_share(df: DataFrame, grams: Grams, url: str = "url", out: str = "similarity") -> DataFrame:
+    """Add the share of each URL's trigrams that are in ``grams``.
+
+    Few trigrams are broadcast: distinct URLs are shuffled once and expanded where they lie. Many are
+    shuffled, and with them only two 64-bit hashes of each URL, never its text.
+    """
+    share = F.sum(F.coalesce(F.col("_hit"), F.lit(0.0))) / F.count(F.lit(1))
+    if grams.few:
+        urls = df.select(url).where(F.col(url).isNotNull()).distinct()
+        asked = urls.select(url, F.explode(X.trigrams(F.col(url))).alias("gram"))
+        shares = asked.join(F.broadcast(grams.rows), "gram", "left").groupBy(url).agg(share.alias(out))
+        joined = lookup_join(df, shares, url)
+    else:
+        keys = {"_k0": F.xxhash64(url), "_k1": F.xxhash64(F.lit("second"), url)}
+        urls = df.where(F.col(url).isNotNull()).select(*[k.alias(n) for n, k in keys.items()], X.trigrams(F.col(url)).alias("_grams"))
+        asked = urls.dropDuplicates([*keys]).select(*keys, F.explode("_grams").alias("gram"))
+        shares = asked.join(grams.rows, "gram", "left").groupBy(*keys).agg(share.alias(out))
+        joined = df.withColumns(keys).join(shares, [*keys], "left").drop(*keys)
+    return joined.withColumn(out, F.coalesce(F.col(out), F.lit(0.0)))
+
+
+@dataclass(frozen=True)
+class Learned:
+    """The learned filter: URL positions and known trigrams, prepared once for any number of batches."""
+
+    shape: Shape
+    members: Positions
+    grams: Grams
+
+
+def learn(
+    known: DataFrame, shape: Shape | None = None, url: str = "url", ship_up_to: int = MAX_BITMAP_BITS,
+    broadcast_up_to: int = MAX_GRAMS,
+) -> Learned:
+    """Build the learned filter of known malicious URLs. Runs jobs."""
+    shape = shape or Shape.plain()
+    members = held(build_plain(known, url, shape), shape.m, ship_up_to)
+    return Learned(shape, members, hold_grams(known_grams(known, url), broadcast_up_to))
 
 
 def trigram_signature(url: Column) -> Column:
@@ -517,6 +620,14 @@ def aged_entries(entries: DataFrame, as_of: Column, out: str = "effective_score"
     return entries.withColumn(out, S.decayed(F.col("score"), F.col("inserted_at"), as_of))
 
 
+def expired_count(entries: DataFrame, as_of: Column, threshold: float = 0.1) -> DataFrame:
+    """One row: entries that the expiry removes and keeps."""
+    gone = F.col("effective_score") < threshold
+    return aged_entries(entries, as_of).agg(
+        F.count_if(gone).alias("removed"), F.count_if(~gone).alias("kept")
+    )
+
+
 def drop_expired(entries: DataFrame, as_of: Column, threshold: float = 0.1) -> DataFrame:
     """Entries whose decayed score is still at or above the threshold."""
     return aged_entries(entries, as_of).where(F.col("effective_score") >= threshold).drop("effective_score")
@@ -542,20 +653,29 @@ def constraints_met(
 
 
 def membership(
-    df: DataFrame, known: DataFrame, shape: Shape | None = None, blacklist: DataFrame | None = None,
-    url: str = "url",
+    df: DataFrame, known: DataFrame | Learned, shape: Shape | None = None, blacklist: DataFrame | None = None,
+    url: str = "url", entries: DataFrame | None = None, as_of: Column | None = None,
 ) -> DataFrame:
     """Composite membership of URLs in the learned filter.
 
-    Adds ``in_filter``, ``similarity``, ``in_blacklist`` and ``possibly_malicious``.
+    Adds ``in_filter``, ``similarity``, ``in_blacklist`` and ``possibly_malicious``. With threat ``entries``
+    ``(url, score, inserted_at)`` also ``effective_score``: the decayed score at ``as_of`` of the URL's latest
+    entry, 0 for a URL without one.
     """
-    shape = shape or Shape.plain()
-    probed = probe_plain(df, url, build_plain(known, url, shape), shape)
-    probed = trigram_similarity(probed, known, url)
+    learned = known if isinstance(known, Learned) else learn(known, shape, url)
+    positions = plain_positions(F.col(url), learned.shape)
+    probed = add_flag(df, url, positions, learned.members, "in_filter")
+    probed = probed.withColumn("in_filter", F.coalesce("in_filter", F.lit(False)))
+    probed = gram_share(probed, learned.grams, url)
     if blacklist is None:
         probed = probed.withColumn("in_blacklist", F.lit(False))
     else:
         probed = matching.member_flag(probed, blacklist, url)
+    if entries is not None:
+        latest = entries.groupBy("url").agg(F.max(F.struct("inserted_at", "score")).alias("_e"))
+        aged = aged_entries(latest.select(F.col("url").alias(url), "_e.*"), as_of)
+        probed = lookup_join(probed, aged.select(url, "effective_score"), url)
+        probed = probed.withColumn("effective_score", F.coalesce("effective_score", F.lit(0.0)))
     return probed.withColumn(
         "possibly_malicious", F.col("in_filter") | (F.col("similarity") > 0.92) | F.col("in_blacklist")
     )

@@ -583,7 +583,7 @@ relation("member", ["probed_big", "alike", "blacklist"], """
   SELECT url, in_filter, similarity, in_blacklist, in_filter OR similarity > 0.92 OR in_blacklist AS possible
   FROM (SELECT p.url, p.in_filter, s.similarity, p.url IN (SELECT url FROM blacklist) AS in_blacklist
     FROM probed_big p JOIN alike s ON s.url = p.url)""")
-PATTERN_COUNT = f"({hits('normalized_url', C.PATTERN_KEYWORDS)} + CAST(contains(normalized_url, 'verify') AS BIGINT))"
+PATTERN_COUNT = hits("normalized_url", C.PATTERN_KEYWORDS)
 relation("signals", ["corpus"], rf"""
   SELECT url, normalized_url, {PATTERN_COUNT} AS match_count, {PATTERN_COUNT} / 18 AS pattern_score,
     array_to_string(list_filter([{quoted(C.PATTERN_KEYWORDS)}], lambda w: contains(normalized_url, w)), '|') AS matched_keywords,
@@ -730,10 +730,34 @@ def _prefix_positions(source: str, shape: K.Shape) -> str:
     return f"SELECT unnest({double_hashed('domain', shape)}) AS position, domain FROM {source}"
 
 
+SLICES = K.Slices(200)
 COUNTING, TINY = K.Shape.rounded(2000, 0.01), K.Shape.rounded(50, 0.05)
 FP_BUCKETS = K.fingerprint_buckets(2000)
 
 
+def _sliced_select(slices: K.Slices = SLICES, most: int = 40) -> str:
+    """Membership in the sliced filter; ``most`` bounds the slices of the small tables it is run on."""
+    rows, upto = [], 0
+    for i in range(most):
+        shape, upto = slices.shape(i), upto + slices.room(i)
+        rows.append(f"({i}, {shape.m}, {shape.k}, {upto}, {upto - slices.room(i)})")
+    h1, h2, h3 = (hex_int("md5(url)", start, 8) for start in (1, 9, 17))
+    at = "list_transform(range(k), lambda i: (h1 + i * CASE WHEN h2 % m = 0 THEN 1 ELSE h2 END) % m)"
+    return f"""SELECT url, CAST(bool_or(hit) AS BIGINT) AS contained FROM (
+      WITH shapes(slice, m, k, upto, below) AS (VALUES {", ".join(rows)}),
+      hashed AS (SELECT DISTINCT url, {h1} AS h1, {h2} AS h2, {h3} AS h3 FROM corpus),
+      member AS (SELECT * FROM hashed WHERE url IN (SELECT url FROM corpus WHERE result = 1)),
+      used AS (SELECT *, max(upto) OVER () AS total, max(slice) OVER () AS last FROM shapes
+        WHERE below < (SELECT greatest(count(*), 1) FROM member)),
+      placed AS (SELECT url, h1, h2, min(slice) AS slice FROM member, used
+        WHERE slice = last OR h3 < (4294967296 * upto) // total GROUP BY ALL),
+      filled AS (SELECT DISTINCT slice, unnest({at}) AS position FROM placed JOIN used USING (slice)),
+      asked AS (SELECT url, slice, unnest({at}) AS position FROM hashed, used)
+      SELECT c.page_id, c.url, bool_and(f.position IS NOT NULL) AS hit FROM corpus c JOIN asked a ON a.url = c.url
+      LEFT JOIN filled f ON f.slice = a.slice AND f.position = a.position GROUP BY c.page_id, c.url, a.slice)
+      GROUP BY page_id, url"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Reference SQL by query name."""
     label = "CASE WHEN result = 1 THEN 'malicious' ELSE 'benign' END"
@@ -864,7 +888,7 @@ def oracle_sql() -> dict[str, str]:
     add("f5_counting_probe", f"""SELECT h.url, h.domain, {flag('hit')} AS in_filter FROM hosts h JOIN (
       SELECT domain, bool_and(position IN (SELECT position FROM ({_prefix_positions("(SELECT domain FROM hosts WHERE result = 1)", TINY)}))) AS hit
       FROM ({_prefix_positions("(SELECT DISTINCT domain FROM hosts)", TINY)}) GROUP BY domain) p ON p.domain = h.domain""", "hosts")
-    add("f6_sliced_filter", "SELECT url, CAST(1 AS BIGINT) AS contained FROM known_bad", "known_bad")
+    add("f6_sliced_filter", _sliced_select(), "corpus")
     code = fingerprint("domain", FP_BUCKETS)
     add("f7_fingerprint_filter", f"""SELECT url, domain, {flag(f'''{code} IN (SELECT code FROM
       (SELECT {code} AS code, sum(CASE WHEN result = 1 THEN 1 ELSE 0 END) - sum(CASE WHEN page_id % 16 = 10 THEN 1 ELSE 0 END) AS n
@@ -878,15 +902,20 @@ def oracle_sql() -> dict[str, str]:
         "hosts", "bad_hosts", "safe_hosts")
     add("f9_ensemble_stats", f"""SELECT (SELECT count(*) FROM bad_hosts) AS blacklist_entries, (SELECT count(*) FROM safe_hosts) AS whitelist_entries,
       round_even((SELECT count(*) FROM bad_hosts) / {K.BUCKETS * 4}, 3) AS fingerprint_load,
-      round_even((SELECT count(DISTINCT p) FROM (SELECT unnest({double_hashed('pattern', K.COUNTING_SHAPE)}) AS p FROM bad_hosts)) / {K.COUNTING_SHAPE.m}, 3) AS counting_load""",
+      round_even((SELECT count(DISTINCT p) FROM (SELECT unnest({double_hashed('pattern', K.COUNTING_SHAPE)}) AS p FROM bad_hosts)) / {K.COUNTING_SHAPE.m}, 3) AS counting_load,
+      CAST(1 AS BIGINT) AS slices, 0.5 AS threshold, {", ".join(f'{w} AS weight_{n}' for n, w in C.VOTE_WEIGHTS.items())}""",
         "bad_hosts", "safe_hosts")
     add("f10_trigram_similarity", f"SELECT s.event_id, {r6('similarity')} AS similarity FROM scan_log s JOIN alike m ON m.url = s.url",
         "scan_log", "alike")
     add("f10_trigram_sketch", f"SELECT url, {r6('similarity')} AS similarity FROM alike", "alike")
     add("f11_decayed_score", f"SELECT url, {r6('effective_score')} AS effective_score FROM aged", "aged")
     add("f12_expiry", "SELECT url FROM aged WHERE effective_score >= 0.1", "aged")
-    add("f13_membership", f"""SELECT url, {flag('in_filter')} AS in_filter, {r6('similarity')} AS similarity,
-      {flag('in_blacklist')} AS in_blacklist, {flag('possible')} AS possibly_malicious FROM member""", "member")
+    add("f12_expired_count", """SELECT count(*) FILTER (WHERE effective_score < 0.1) AS removed,
+      count(*) FILTER (WHERE effective_score >= 0.1) AS kept FROM aged""", "aged")
+    add("f13_membership", f"""SELECT m.url, {flag('in_filter')} AS in_filter, {r6('similarity')} AS similarity,
+      {flag('in_blacklist')} AS in_blacklist, {flag('possible')} AS possibly_malicious,
+      {r6("coalesce(a.effective_score, 0)")} AS effective_score
+      FROM member m LEFT JOIN aged a ON a.url = m.url AND contains(a.url, 'e')""", "member", "aged")
     add("f14_constraints", "SELECT url, CAST(met AS BIGINT) AS met FROM met", "met")
     add("f15_membership_verdict", """SELECT m.url, CASE WHEN NOT possible THEN 'unknown' WHEN met >= 3 THEN 'malicious'
       ELSE 'suspicious' END AS verdict FROM member m JOIN met c ON c.url = m.url""", "member", "met")
@@ -998,6 +1027,16 @@ def oracle_sql() -> dict[str, str]:
     add("j10_auc", f"""SELECT {r6('(sum(CASE WHEN result = 1 THEN rk END) - np * (np + 1) / 2) / (np * (n - np))')} AS auc
       FROM (SELECT result, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS rk,
         count(*) OVER () AS n, sum(result) OVER () AS np FROM (SELECT result, {r6('p')} AS s FROM scored_a)) GROUP BY n, np""", "scored_a")
+    RELATIONS["splits"] = (["corpus"], """SELECT url, result, CASE WHEN r <= floor(n * 0.70) THEN 'train'
+      WHEN r <= floor(n * 0.85) THEN 'val' ELSE 'test' END AS split FROM (SELECT url, result,
+      row_number() OVER (PARTITION BY result ORDER BY md5('42:' || url), url) AS r, count(*) OVER (PARTITION BY result) AS n
+      FROM corpus)""")
+    yes = "CAST(1 AS BIGINT)"
+    add("j5_network", f"""SELECT count(*) FILTER (WHERE result = 0) AS benign, count(*) FILTER (WHERE result = 1) AS malicious,
+      {yes} AS auc_reached, {yes} AS accuracy_reached, {yes} AS false_positives_low FROM splits WHERE split = 'test'""", "splits")
+    add("j6_early_stop", f"""SELECT CAST(result AS DOUBLE) AS label, count(*) AS rows, {yes} AS ended_by_rule,
+      {yes} AS within_limit FROM splits WHERE split = 'val' GROUP BY result""", "splits")
+    add("j7_inference", f"SELECT url, CAST(result AS DOUBLE) AS label, {yes} AS in_range FROM corpus", "corpus")
     RELATIONS["training"] = (["profile", "corpus"], feature_select(
         "A", "SELECT p.*, c.result FROM profile p JOIN corpus c ON c.url = p.url", "result,"))
     add("j11_training_table", f"SELECT url, CAST(result AS BIGINT) AS result, {feature_list()} FROM training", "training")

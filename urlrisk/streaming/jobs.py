@@ -6,6 +6,8 @@ DataFrame as it is. The jobs here hold state or write tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,29 +33,24 @@ def first_seen(stream: DataFrame, ts: str = "ts", delay: str = "1 hour", key: st
 
 
 def threat_verdicts(
-    stream: DataFrame, known: DataFrame, shape: sketches.Shape, blacklist: DataFrame | None = None
+    requests: DataFrame, known: DataFrame | sketches.Learned, shape: sketches.Shape | None = None,
+    blacklist: DataFrame | None = None,
 ) -> DataFrame:
-    """Membership verdict per arriving URL against known malicious URLs.
+    """Membership verdict per URL of a batch, or of a micro-batch (``append_batches``).
 
-    Both the URL filter and the trigram filter are shipped, so a stream row is only projected. With
-    ``blacklist``, a static table of verified URLs (``current_blacklist``), its members are possible too.
+    ``known`` are malicious URLs, or the filter that ``sketches.learn`` prepared from them once.
+    ``blacklist``, a table of verified URLs (``current_blacklist``), makes its members possible too.
     """
-    words = sketches.build_plain(known, "url", shape)
-    probed = sketches.probe_plain(stream, "url", words, shape, shipped=True)
-    probed = sketches.trigram_similarity_sketch(probed, known, shape)
+    probed = sketches.membership(requests, known, shape, blacklist)
     probed = probed.withColumn("entropy", X.entropy(F.col("url")))
-    depth = F.col("redirect_depth") if "redirect_depth" in stream.columns else F.lit(0)
+    depth = F.col("redirect_depth") if "redirect_depth" in requests.columns else F.lit(0)
     signals = features.pattern_signals(probed)
     met = sketches.constraints_met(
         F.col("url"), F.col("entropy"), depth, F.col("pattern_score"), F.col("has_ip_address")
     )
-    possibly = F.col("in_filter") | (F.col("similarity") > 0.92)
-    if blacklist is not None:
-        listed = blacklist.select("url", F.lit(True).alias("_listed")).distinct()
-        signals = signals.join(listed, "url", "left")
-        possibly = possibly | F.coalesce("_listed", F.lit(False))
-    return signals.withColumn("membership_verdict", sketches.membership_verdict(possibly, met)).select(
-        *stream.columns, "in_filter", "similarity", "membership_verdict"
+    verdict = sketches.membership_verdict(F.col("possibly_malicious"), met)
+    return signals.withColumn("membership_verdict", verdict).select(
+        *requests.columns, "in_filter", "similarity", "membership_verdict"
     )
 
 
@@ -77,11 +74,30 @@ def append_stream(df: DataFrame, table: str, progress: str | None = None) -> Str
     )
 
 
+def append_batches(
+    stream: DataFrame, step: Callable[[DataFrame], DataFrame], table: str, progress: str | None = None
+) -> StreamingQuery:
+    """Append ``step`` of every micro-batch to a Parquet table until the input is used up.
+
+    For steps with joins and aggregations inside a batch. Each batch writes its own ``batch=<number>``
+    folder and replaces it when it is run again, so every row is there exactly once.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        step(batch).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", progress or f"{table.rstrip('/')}-progress")
+        .trigger(availableNow=True).start()
+    )
+
+
 def current_blacklist(entries: DataFrame, as_of: Column, threshold: float = 0.1) -> DataFrame:
     """Live view of the learned entries: latest insertion per URL.
 
-    Scored entries expire; a URL that was verified once stays. The table they come from is append-only, so a failed batch leaves nothing half-written; folding it is one
-    aggregation that combines before the shuffle.
+    Scored entries expire; a URL that was verified once stays. The table they come from is append-only, so a
+    failed batch leaves nothing half-written; folding it is one aggregation that combines before the shuffle.
     """
     newest = F.max(F.struct("inserted_at", "score")).alias("_e")
     verified = F.max("verified") if "verified" in entries.columns else F.lit(False)
@@ -109,3 +125,11 @@ def run_to_table(df: DataFrame, name: str) -> DataFrame:
     table = scratch_path(spark, name)
     append_stream(df, table).awaitTermination()
     return spark.read.schema(df.schema).parquet(table)
+
+
+def run_batches(stream: DataFrame, step: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Run ``append_batches`` to the end into a fresh table below the checkpoint folder."""
+    spark = stream.sparkSession
+    table = scratch_path(spark, name)
+    append_batches(stream, step, table).awaitTermination()
+    return spark.read.parquet(table).drop("batch")
