@@ -3,6 +3,7 @@ from collections import defaultdict, deque
 
 from urlrisk import catalogs as C
 from urlrisk.operators import chains, graph
+from urlrisk.plans.lineage import cut
 
 
 def frame(spark, pairs):
@@ -49,6 +50,42 @@ def test_closure_depth_and_nearest_against_search(spark):
     assert nearest == wanted
 
 
+def test_long_chain_with_hub_and_profile_against_search(spark, urls):
+    rng = random.Random(3)
+    names = [f"http://node-{i}.example.com/{rng.random()}" for i in range(23)] + ["aaaa", "bbbb"]
+    edges = [(names[i], names[i + 1]) for i in range(24)] + [(n, names[0]) for n in names[20:23]] + [("http://x.org/", "http://x.org/")]
+    reach = {(r.src, r.dst): r.dist for r in graph.closure(frame(spark, edges)).collect()}
+    assert reach == {(a, b): d for a in names for b, d in distances(edges, a).items() if d}
+    near = {(r.src, r.dst): r.dist for r in graph.closure(frame(spark, edges), max_depth=5).collect()}
+    assert near == {k: d for k, d in reach.items() if d <= 5}
+    some = spark.createDataFrame([(names[2],), (names[24],)], "node string")
+    part = {(r.src, r.dst): r.dist for r in graph.closure(frame(spark, edges), some, 7).collect()}
+    assert part == {k: d for k, d in reach.items() if k[0] in (names[2], names[24]) and d <= 7}
+    asked = [names[0], names[15], names[22], "aaaa", "http://alone.org/1", "http://alone.org/1"]
+    rows = {r.url: (r.redirect_depth, r.chain_length) for r in graph.url_profile(urls(asked), frame(spark, edges)).collect()}
+    open_edges = [(a, b) for a, b in edges if not {a, b} & {"aaaa", "bbbb"}]
+    assert rows == {
+        u: (max(distances(edges, u).values()),
+            0 if u == "aaaa" else sum(d <= 10 for d in distances(open_edges, u).values()))
+        for u in set(asked)
+    }
+
+
+def test_small_batch_writes_nothing_of_graph_size(spark, urls, monkeypatch):
+    written = []
+
+    def watch(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", watch)
+    edges = spark.range(5000).selectExpr("concat('http://n', id, '.com/') src", "concat('http://n', id + 1000, '.com/') dst")
+    asked = urls([f"http://n{i}.com/" for i in range(10)])
+    assert {r.redirect_depth for r in graph.url_profile(asked, edges).collect()} == {5}
+    assert max(written) <= 20
+
+
 def test_topological_levels_leave_cycles_out(spark):
     edges = [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "x"), ("y", "z")]
     nodes = spark.createDataFrame([(n,) for n in "abcxyz"], "node string")

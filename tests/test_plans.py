@@ -1,6 +1,6 @@
 """Physical plans: what is read, what is shuffled, what stays in the JVM."""
 
-from urlrisk.operators import features, gate, ranking, scoring, sketches
+from urlrisk.operators import features, gate, matching, ranking, scoring, sketches
 from urlrisk.plans import lineage
 from urlrisk.queries import queries
 from urlrisk.queries import relations as R
@@ -44,3 +44,17 @@ def test_checkpoint_folder_comes_from_the_session(spark):
 def test_no_query_runs_python_per_row(spark, sf_dir):
     for name in ("c_features_a", "g1_gate", "f3_bloom_probe", "t_visit_features", "i6_hop_risk"):
         assert "Python" not in plan(queries()[name](spark, sf_dir))
+
+
+def test_list_verdict_reads_the_log_once(spark, sf_dir):
+    listed = spark.range(9).selectExpr("concat('h', id, '.com') pattern")
+    log = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "concat('h', user_id, '.com') domain")
+    for judged in (matching.match_verdict(log, listed, listed), matching.not_listed(log, listed)):
+        assert plan(judged).count("Scan parquet") == 1
+
+
+def test_trigram_similarity_shuffles_urls_once(spark, urls):
+    text = plan(sketches.trigram_similarity(urls(["http://a.com/"]), urls(["http://b.com/"])))
+    assert "_words" not in text and "hashpartitioning(gram" not in text
+    grouped = text.split("Generate")[0]
+    assert grouped.count("hashpartitioning(url") == 1  # that of the join; the distinct below serves the grouping

@@ -1,12 +1,15 @@
 """Redirect-graph operators on edge tables ``(src, dst)``.
 
-Loops run one join per level on the newest rows only; every level is cut to reliable storage. Joins are
-plain shuffled joins on node keys, so adaptive execution can broadcast a small frontier or split the
-partition of a hub node. There is no level cap unless the operator itself has one.
+The full closure doubles its reach in every round. Searches from given URLs go level by level from the
+newest rows; what they reached before is read again at each level, which costs the answer times its depth.
+Every round is cut to reliable storage. Joins are plain shuffled joins on node keys, so adaptive execution
+can broadcast a small frontier or split the partition of a hub node. There is no level cap unless the
+operator itself has one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -61,24 +64,56 @@ def closure(edges: DataFrame, sources: DataFrame | None = None, max_depth: int |
     """``(src, dst, dist)``: every node reachable from each source, the source itself excluded.
 
     ``dist`` is the least number of redirects. Restrict ``sources`` (column ``node``) when only some
-    URLs are asked for; the full closure is as large as the answer is. The distinct edges are written
-    out once, then one job runs per level.
+    URLs are asked for; the full closure is as large as the answer is.
+
+    The full closure takes one round per doubling of the depth: a shortest path longer than ``reach`` passes
+    a node at distance ``reach`` exactly, from where the rest is at most ``reach`` long, until that node set
+    is empty. With ``sources`` one round per level, reading ``edges`` each time.
     """
-    edges = cut(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
-    first = edges if sources is None else edges.join(
-        sources.select(F.col("node").alias("src")).distinct(), "src", "left_semi"
-    )
-    frontier = cut(first.withColumn("dist", F.lit(1)))
-    levels, depth = [frontier], 1
-    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
-        depth += 1
-        known = reduce(DataFrame.unionByName, levels).select("src", "dst")
-        reached = (
-            frontier.join(step, "dst").where(F.col("next") != F.col("src"))
-            .select("src", F.col("next").alias("dst")).distinct()
+    if sources is not None:
+        starts = sources.select(F.col("node").alias("src"), F.col("node").alias("dst")).distinct()
+        levels = _search(edges, starts, ["src"], lambda joined, depth: joined if max_depth is None or depth <= max_depth else None)
+        return levels.where("dist > 0").select("src", "dst", "dist")
+    loops = F.col("src") == F.col("dst")
+    found = cut(edges.select("src", "dst").where(~loops).distinct().withColumn("dist", F.lit(1)))
+    levels, reach = [found], 1
+    while max_depth is None or reach < max_depth:
+        rim = found.where(F.col("dist") == reach).select("src", F.col("dst").alias("mid"))
+        rest = reduce(DataFrame.unionByName, levels).withColumnsRenamed({"src": "mid", "dist": "more"})
+        further = rim.join(rest, "mid").where(~loops).groupBy("src", "dst").agg(
+            (F.min("more") + reach).alias("dist")
         )
-        frontier = cut(reached.join(known, ["src", "dst"], "left_anti").withColumn("dist", F.lit(depth)))
+        if max_depth is not None:
+            further = further.where(F.col("dist") <= max_depth)
+        known = reduce(DataFrame.unionByName, levels).select("src", "dst")
+        found = cut(further.join(known, ["src", "dst"], "left_anti"))
+        if found.isEmpty():
+            break
+        levels.append(found)
+        reach *= 2
+    return reduce(DataFrame.unionByName, levels)
+
+
+def _search(
+    edges: DataFrame, starts: DataFrame, group: list[str], keep: Callable[[DataFrame, int], DataFrame | None]
+) -> DataFrame:
+    """Level by level search: ``(*group, dst, dist)``, the starts at distance 0.
+
+    ``keep`` filters the rows reached at a depth, or ends the search with None. Only frontiers are written,
+    nothing of the size of the graph.
+    """
+    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("_next"))
+    state = [*group, "dst"]
+    frontier = cut(starts.select(*state).distinct().withColumn("dist", F.lit(0)))
+    levels, depth = [frontier], 0
+    while not frontier.isEmpty():
+        depth += 1
+        joined = frontier.join(step, "dst").select(*group, F.col("_next").alias("dst"))
+        kept = keep(joined, depth)
+        if kept is None:
+            break
+        known = reduce(DataFrame.unionByName, levels).select(*state)
+        frontier = cut(kept.distinct().join(known, state, "left_anti").withColumn("dist", F.lit(depth)))
         levels.append(frontier)
     return reduce(DataFrame.unionByName, levels)
 
@@ -99,9 +134,14 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, reach: DataFrame | None =
     return (closure(edges) if reach is None else reach).unionByName(own)
 
 
-def redirect_depth(nodes: DataFrame, edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
-    """``(node, redirect_depth)``: greatest shortest distance to a reachable node, 0 for dead ends."""
-    reach = closure(edges) if reach is None else reach
+def redirect_depth(
+    nodes: DataFrame, edges: DataFrame, reach: DataFrame | None = None, max_depth: int | None = None
+) -> DataFrame:
+    """``(node, redirect_depth)``: greatest shortest distance to a reachable node, 0 for dead ends.
+
+    Give ``max_depth`` where only a threshold is asked for: deeper nodes then count as that deep.
+    """
+    reach = closure(edges, max_depth=max_depth) if reach is None else reach
     deepest = reach.groupBy(F.col("src").alias("node")).agg(F.max("dist").alias("redirect_depth"))
     joined = nodes.select("node").join(deepest, "node", "left")
     return joined.withColumn("redirect_depth", F.coalesce(F.col("redirect_depth"), F.lit(0)))
@@ -110,46 +150,47 @@ def redirect_depth(nodes: DataFrame, edges: DataFrame, reach: DataFrame | None =
 # -- pruned chains ---------------------------------------------------------------------------------
 def chain_nodes(
     nodes: DataFrame, edges: DataFrame, max_depth: int = CHAIN_DEPTH, min_entropy: float = PRUNE_ENTROPY,
-    sources: DataFrame | None = None,
 ) -> DataFrame:
-    """``(src, node, depth)``: nodes visited from each start within ``max_depth`` redirects.
-
-    Starts are all ``nodes``, or ``sources`` (column ``node``) where given.
+    """``(src, node, depth)``: nodes visited from each of ``nodes`` within ``max_depth`` redirects.
 
     A node of low entropy is neither listed nor passed through, so it leaves the edge table before the
     loop. Breadth-first and depth-first chains hold the same nodes; rows carry the depth, not a visit
-    order.
+    order. For the chains of some URLs only, see ``url_profile``.
     """
     kept = cut(nodes.select("node").where(X.entropy(F.col("node")) >= min_entropy))
     inside = (
         edges.join(kept.withColumnRenamed("node", "src"), "src", "left_semi")
         .join(kept.withColumnRenamed("node", "dst"), "dst", "left_semi")
     )
-    begin = kept if sources is None else kept.join(sources.select("node").distinct(), "node", "left_semi")
-    reach = closure(inside, begin, max_depth)
-    starts = begin.select(F.col("node").alias("src"), "node", F.lit(0).alias("depth"))
+    reach = closure(inside, max_depth=max_depth)
+    starts = kept.select(F.col("node").alias("src"), "node", F.lit(0).alias("depth"))
     return starts.unionByName(
         reach.select("src", F.col("dst").alias("node"), F.col("dist").alias("depth"))
     )
 
 
-def url_profile(urls: DataFrame, edges: DataFrame, url: str = "url") -> DataFrame:
+def url_profile(
+    urls: DataFrame, edges: DataFrame, url: str = "url", max_depth: int = CHAIN_DEPTH, min_entropy: float = PRUNE_ENTROPY
+) -> DataFrame:
     """Entropy, redirect_depth and chain_length of distinct URLs; an unknown URL stands alone.
 
-    Only the asked URLs are searched from, so the cost follows the batch and not the whole graph.
+    One search from the asked URLs serves both: the whole graph for the depth, and for the chain only nodes
+    of enough entropy up to ``max_depth``. Entropies are taken of reached nodes only. Nothing but what was
+    reached is written, so that the cost follows the batch, beside one reading of ``edges`` per level.
     """
-    nodes = urls.select(F.col(url).alias("node")).distinct()
-    every = nodes.unionByName(nodes_of(edges)).distinct()
-    depth = redirect_depth(nodes, edges, closure(edges, nodes))
-    chain = chain_nodes(every, edges, sources=nodes).groupBy(F.col("src").alias("node")).agg(
-        F.count(F.lit(1)).cast("int").alias("chain_length")
-    )
-    profile = (
-        depth.join(chain, "node", "left")
-        .withColumn("chain_length", F.coalesce(F.col("chain_length"), F.lit(0)))
-        .withColumn("entropy", X.entropy(F.col("node")))
-    )
-    return profile.withColumnRenamed("node", url)
+    nodes = urls.select(F.col(url).alias("src")).where("src is not null").distinct()
+    kinds = F.when(X.entropy(F.col("src")) >= min_entropy, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    starts = nodes.select("src", F.col("src").alias("dst"), F.explode(kinds).alias("pruned"))
+
+    def keep(joined: DataFrame, depth: int) -> DataFrame:
+        allowed = (X.entropy(F.col("dst")) >= min_entropy) if depth <= max_depth else F.lit(False)
+        return joined.where(~F.col("pruned") | allowed)
+
+    reached = _search(edges, starts, ["src", "pruned"], keep)
+    return reached.groupBy(F.col("src").alias(url)).agg(
+        F.max(F.when(~F.col("pruned"), F.col("dist"))).alias("redirect_depth"),
+        F.count_if("pruned").cast("int").alias("chain_length"),
+    ).withColumn("entropy", X.entropy(F.col(url)))
 
 
 # -- ordering --------------------------------------------------------------------------------------
@@ -157,27 +198,25 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, level)`` by repeatedly removing nodes without incoming edges.
 
     Sorting by level gives a processing order; nodes on or behind a cycle never lose their last
-    incoming edge and are left out. State is one counter per node; runs one job per level.
+    incoming edge and are left out. Edges and in-degrees are written once; each level writes only the nodes
+    that lost an edge so far and still wait. One job per level.
     """
     edges = cut(edges.select("src", "dst").distinct())
-    degree = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("waiting"))
+    degree = cut(edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("degree")))
     every = nodes.select("node").unionByName(nodes_of(edges)).distinct()
-    state = cut(
-        every.join(degree, "node", "left").withColumn("waiting", F.coalesce(F.col("waiting"), F.lit(0)))
-    )
-    ready = state.where("waiting = 0").select("node", F.lit(0).alias("level"))
-    levels, level = [ready], 0
+    ready = cut(every.join(degree, "node", "left_anti").select("node", F.lit(0).alias("level")))
+    levels, level, waiting = [ready], 0, None
     while not ready.isEmpty():
         level += 1
-        freed = (
+        lost = (
             edges.join(ready.select(F.col("node").alias("src")), "src", "left_semi")
-            .groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("freed"))
+            .groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("lost"))
         )
-        touched = state.where("waiting > 0").join(freed, "node", "left")
-        state = cut(touched.select(
-            "node", (F.col("waiting") - F.coalesce(F.col("freed"), F.lit(0))).alias("waiting")
-        ))
-        ready = state.where("waiting = 0").select("node", F.lit(level).alias("level"))
+        if waiting is not None:
+            lost = waiting.unionByName(lost).groupBy("node").agg(F.sum("lost").alias("lost"))
+        touched = cut(lost.join(degree, "node"))
+        waiting = touched.where("lost < degree").select("node", "lost")
+        ready = touched.where("lost = degree").select("node", F.lit(level).alias("level"))
         levels.append(ready)
     return reduce(DataFrame.unionByName, levels)
 

@@ -1,8 +1,9 @@
 """Domain-list matching: exact, parent-domain and prefix.
 
 Built-in lists are small constants and become hash-set literals inside the projection. Lists of unknown
-size are DataFrames ``(pattern, ...)``; they are matched on the distinct hosts and joined back with the
-skew-safe lookup, so a host that owns a third of the URLs costs one row in the match itself.
+size are DataFrames ``(pattern, ...)``; they are matched on the distinct hosts and joined back, so a host
+that owns a third of the URLs costs one row in the match itself, and adaptive execution splits its partition
+in the join.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from urlrisk import catalogs as C
 from urlrisk.functions import urls as U
+from urlrisk.plans.lineage import cut
 from urlrisk.plans.skew import lookup_join, semi_lookup
 
 
@@ -117,7 +119,7 @@ def list_sizes(catalog: DataFrame) -> DataFrame:
 
 def match_exact(df: DataFrame, catalog: DataFrame, key: str = "domain") -> DataFrame:
     """Left join of the catalog's payload columns on the host key (``pattern`` must be unique)."""
-    return lookup_join(df, catalog.withColumnRenamed("pattern", key), key, split_hot=True)
+    return lookup_join(df, catalog.withColumnRenamed("pattern", key), key)
 
 
 def parent_hits(hosts: DataFrame, catalog: DataFrame, key: str = "domain") -> DataFrame:
@@ -140,46 +142,53 @@ def prefix_hits(hosts: DataFrame, catalog: DataFrame, key: str = "domain") -> Da
 
 def match_parent(df: DataFrame, catalog: DataFrame, key: str = "domain", flag: str = "parent_match") -> DataFrame:
     """Add ``flag``: a proper parent of the host is listed."""
-    return semi_lookup(df, parent_hits(df.select(key).distinct(), catalog, key), key, flag, split_hot=True)
+    return semi_lookup(df, parent_hits(df.select(key).distinct(), catalog, key), key, flag)
 
 
 def match_prefix(df: DataFrame, catalog: DataFrame, key: str = "domain", flag: str = "prefix_match") -> DataFrame:
     """Add ``flag``: a listed string is a prefix of the host."""
-    return semi_lookup(df, prefix_hits(df.select(key).distinct(), catalog, key), key, flag, split_hot=True)
+    return semi_lookup(df, prefix_hits(df.select(key).distinct(), catalog, key), key, flag)
 
 
 def match_verdict(
     df: DataFrame, safe: DataFrame, malicious: DataFrame, key: str = "domain", verdict: str = "verdict",
 ) -> DataFrame:
-    """Domain verdict against lists given as data: safe (exact or parent) before malicious (prefix)."""
-    hosts = df.select(key).where(F.col(key).isNotNull()).distinct()
+    """Domain verdict against lists given as data: safe (exact or parent) before malicious (prefix).
+
+    The distinct hosts are written out and judged once (a job); ``df`` is then read once more for the join.
+    """
+    hosts = _hosts(df, key)
     is_safe = (
         hosts.join(safe.select(F.col("pattern").alias(key)), key, "left_semi")
-        .unionByName(parent_hits(hosts, safe, key)).distinct()
+        .unionByName(parent_hits(hosts, safe, key))
         .select(key, F.lit(0).alias("_rank"))
     )
     is_malicious = prefix_hits(hosts, malicious, key).select(key, F.lit(1).alias("_rank"))
     ranked = is_safe.unionByName(is_malicious).groupBy(key).agg(F.min("_rank").alias("_rank"))
-    joined = lookup_join(df, ranked, key, split_hot=True)
+    joined = lookup_join(df, cut(ranked), key)
     text = F.when(F.col("_rank") == 0, "safe").when(F.col("_rank") == 1, "malicious").otherwise("unknown")
     return joined.withColumn(verdict, text).drop("_rank")
 
 
+def _hosts(df: DataFrame, key: str) -> DataFrame:
+    return cut(df.select(key).where(F.col(key).isNotNull()).distinct())
+
+
 def member_flag(df: DataFrame, members: DataFrame, key: str = "url", flag: str = "in_blacklist") -> DataFrame:
     """Add ``flag``: exact membership of ``key`` in a table of any size."""
-    return semi_lookup(df, members, key, flag, split_hot=True)
+    return semi_lookup(df, members, key, flag)
 
 
 def not_listed(
     df: DataFrame, catalog: DataFrame, key: str = "domain", modes: tuple[str, ...] = ("exact", "parent", "prefix"),
 ) -> DataFrame:
-    """Rows whose host no list entry matches in any of ``modes`` (anti join, hot hosts handled by the lookup)."""
-    hosts = df.select(key).where(F.col(key).isNotNull()).distinct()
+    """Rows whose host no list entry matches in any of ``modes`` (an anti join; the distinct hosts are judged once)."""
+    hosts = _hosts(df, key)
     found = {
         "exact": lambda: catalog.select(F.col("pattern").alias(key)),
         "parent": lambda: parent_hits(hosts, catalog, key),
         "prefix": lambda: prefix_hits(hosts, catalog, key),
     }
     hits = reduce(DataFrame.unionByName, [found[m]() for m in modes])
-    listed = semi_lookup(df, hits, key, "_listed", split_hot=True)
+    listed = semi_lookup(df, cut(hits.distinct()), key, "_listed")
     return listed.where(~F.col("_listed")).drop("_listed")

@@ -44,7 +44,7 @@ def scan_b(requests: DataFrame, hop_log: DataFrame, ensemble: sketches.Ensemble
     """
     valid = accept_requests(requests).where("valid").select("url")
     results = cut(scan_distinct_b(valid, hop_log, ensemble))
-    return lookup_join(valid, results, "url", "inner", split_hot=True)
+    return lookup_join(valid, results, "url", "inner")
 
 
 def scan_distinct_b(

@@ -609,14 +609,14 @@ def _constraints():
 @register
 def f14_constraints(spark, sf):
     nodes = R.corpus(spark, sf).select(F.col("url").alias("node"))
-    depth = graph.redirect_depth(nodes, R.edges(spark, sf)).withColumnRenamed("node", "url")
+    depth = graph.redirect_depth(nodes, R.edges(spark, sf), max_depth=4).withColumnRenamed("node", "url")
     return tidy(features.pattern_signals(depth).select("url", _constraints().alias("met")))
 
 
 @register
 def f15_membership_verdict(spark, sf):
     nodes = R.corpus(spark, sf).select(F.col("url").alias("node"))
-    depth = graph.redirect_depth(nodes, R.edges(spark, sf)).withColumnRenamed("node", "url")
+    depth = graph.redirect_depth(nodes, R.edges(spark, sf), max_depth=4).withColumnRenamed("node", "url")
     joined = features.pattern_signals(depth).join(_membership(spark, sf), "url")
     verdict = sketches.membership_verdict(F.col("possibly_malicious"), _constraints())
     return tidy(joined.select("url", verdict.alias("verdict")))
@@ -795,7 +795,7 @@ def i7_chain_risk(spark, sf):
 def i8_expansion_reuse(spark, sf):
     log = R.scan_log(spark, sf).select("event_id", "url")
     expanded = chains.expand_b(log, R.hop_log(spark, sf)).select("url", "expanded_url", "redirect_count")
-    return tidy(lookup_join(log, expanded, "url", split_hot=True))
+    return tidy(lookup_join(log, expanded, "url"))
 
 
 @register
@@ -990,7 +990,7 @@ def j16_records(spark, sf):
 @register
 def j17_rule_score(spark, sf):
     nodes = R.corpus(spark, sf).select(F.col("url").alias("node"))
-    depth = graph.redirect_depth(nodes, R.edges(spark, sf)).withColumnRenamed("node", "url")
+    depth = graph.redirect_depth(nodes, R.edges(spark, sf), max_depth=4).withColumnRenamed("node", "url")
     bad = R.corpus(spark, sf).where("page_id % 7 = 4").select("url")
     flagged = matching.member_flag(features.pattern_signals(depth), bad, "url", "in_malicious")
     weights = {"malicious": 0.5, "redirect": 0.3, "pattern": 0.2}
@@ -1162,7 +1162,7 @@ def m3_first_seen(spark, sf):
 
 @register
 def m4_learned_blacklist(spark, sf):
-    depth = graph.redirect_depth(_nodes(spark, sf), R.edges(spark, sf)).withColumnRenamed("node", "url")
+    depth = graph.redirect_depth(_nodes(spark, sf), R.edges(spark, sf), max_depth=4).withColumnRenamed("node", "url")
     stamped = _stream_corpus(spark, sf).withColumn(
         "ts", F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60)
     )
