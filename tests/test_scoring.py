@@ -96,6 +96,14 @@ def test_requests_are_checked(urls):
     assert not rows[""].valid and not rows["http://a b.com"].valid
 
 
+def test_scan_returns_rejected_requests(spark, urls):
+    log = spark.createDataFrame([], C.HOP_LOG)
+    rows = {r.url: r for r in scan.scan_b(urls(["github.com", "", "http://a b.com", None]), log).collect()}
+    assert rows["http://github.com"].valid and rows["http://github.com"].risk_score is not None
+    assert not rows[""].valid and not rows["http://a b.com"].valid and not rows[None].valid
+    assert rows[""].reason and rows[None].reason and rows[""].risk_score is None
+
+
 def test_neutral_defaults(spark):
     df = spark.createDataFrame([("http://a", None, None)], "url string, label string, threat_probability double")
     row = scoring.neutral_defaults(df).first()

@@ -200,6 +200,7 @@ SCAN_REQUESTS = T.StructType([
     T.StructField("timeout", T.IntegerType()),
 ])
 BATCH_REQUESTS = T.StructType([
+    T.StructField("batch_id", T.StringType()),
     T.StructField("urls", T.ArrayType(T.StringType())),
     T.StructField("top_k", T.IntegerType()),
 ])

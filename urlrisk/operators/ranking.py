@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from urlrisk.functions import scores as S
 from urlrisk.functions import text as X
-from urlrisk.plans.skew import running_totals
+from urlrisk.plans.skew import row_ranks, running_totals
 
 
 def with_rank(df: DataFrame, keyword_score: bool = False) -> DataFrame:
@@ -31,6 +31,17 @@ def top_k(df: DataFrame, k: int = 10, url: str = "url") -> DataFrame:
     return ranked(df, url).limit(k)
 
 
+def top_per_batch(
+    df: DataFrame, batch: str = "batch_id", k: str = "top_k", url: str = "url"
+) -> DataFrame:
+    """The highest-ranked rows of each batch, as many as its own ``k`` says, with their ``place`` from 1.
+
+    Places come from a range partitioning, so a batch may hold any number of rows. Runs a job.
+    """
+    placed = row_ranks(df, [batch], [F.desc("threat_rank"), F.col(url)], "place")
+    return placed.where(F.col("place") <= F.col(k))
+
+
 def budgeted_selection(
     df: DataFrame, budget: float, batch: list[str] | None = None, url: str = "url"
 ) -> DataFrame:

@@ -112,12 +112,13 @@ def rule_scores(df: DataFrame, weights: dict[str, float], out: str = "rule_score
 
 def neutral_defaults(df: DataFrame) -> DataFrame:
     """Fill what a failed stage left null with neutral values and note it in ``errors``."""
-    stages = {"expansion": "redirect_chain", "features": "url_entropy", "prediction": "label"}
+    stages = {"expansion": "redirect_chain", "features": "url_entropy", "prediction": "label", "redirect": "suspicious_hops", "risk": "risk_score"}
     notes: list[Column] = [
         F.when(F.col(column).isNull(), f"{stage} missing")
         for stage, column in stages.items() if column in df.columns
     ]
     defaults: dict[str, Column] = {
+        "risk_score": F.lit(0), "risk_level": F.lit("Unknown"),
         "label": F.lit("Unknown"), "confidence": F.lit(0.0), "threat_probability": F.lit(0.0),
         "redirect_count": F.lit(0), "loop_detected": F.lit(False), "excessive_redirects": F.lit(False),
         "suspicious_hops": F.lit(0), "max_hop_risk": F.lit(0.0), "unique_domains_in_chain": F.lit(1),

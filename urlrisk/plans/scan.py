@@ -31,20 +31,23 @@ def accept_requests(requests: DataFrame, raw: str = "url") -> DataFrame:
     check = U.validation(F.col(raw))
     fits = U.accepted(F.col("requested_url"))
     return staged.withColumns({
-        "valid": fits & check["valid"],
+        "valid": fits & F.coalesce(check["valid"], F.lit(False)),
         "reason": F.when(~fits, "URL length outside 4 to 2048").otherwise(check["reason"]),
     })
 
 
 def scan_b(requests: DataFrame, hop_log: DataFrame, ensemble: sketches.Ensemble | None = None) -> DataFrame:
-    """Profile B scan: one flat row per valid request.
+    """Profile B scan: one flat row per request, with ``valid`` and ``reason``.
 
     Every distinct URL is scanned once and joined back to its requests, however often it was asked for.
-    Settled URLs get the fast path; only forwarded ones are expanded and scored.
+    Settled URLs get the fast path; only forwarded ones are expanded and scored. A rejected request keeps
+    its text as it came in ``url``, the reason, and nulls for the rest.
     """
-    valid = accept_requests(requests).where("valid").select("url")
+    checked = accept_requests(requests)
+    valid = checked.where("valid").select("url", "valid", "reason")
     results = cut(scan_distinct_b(valid, hop_log, ensemble))
-    return lookup_join(valid, results, "url", "inner")
+    rejected = checked.where("not valid").select(F.col("requested_url").alias("url"), "valid", "reason")
+    return lookup_join(valid, results, "url", "inner").unionByName(rejected, allowMissingColumns=True)
 
 
 def scan_distinct_b(
@@ -79,7 +82,8 @@ def scan_distinct_b(
 
 
 def response_records(results: DataFrame) -> DataFrame:
-    """Nested response records of a profile B scan."""
+    """Nested response records of a profile B scan; rejected requests have none."""
+    results = results.where("valid")
     chain = F.transform("redirect_chain", lambda h: F.struct(
         h["hop"].alias("hop"), h["url"].alias("url"), h["status_code"].alias("status_code"),
         h["is_suspicious"].alias("is_suspicious"),
@@ -157,3 +161,9 @@ def scan_a(
 def rank_urls(urls: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
     """Batch ranking: the k most threatening URLs of a batch, profile A scores."""
     return ranking.top_k(ranking.with_rank(score_urls_a(urls, edges)), k)
+
+
+def rank_batches(requests: DataFrame, edges: DataFrame) -> DataFrame:
+    """The most threatening URLs of each batch ``(batch_id, url, top_k)``; a URL is scored once for all batches."""
+    scored = cut(ranking.with_rank(score_urls_a(requests.select("url"), edges)))
+    return ranking.top_per_batch(lookup_join(requests, scored, "url", "inner"))

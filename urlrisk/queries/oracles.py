@@ -799,7 +799,7 @@ def oracle_sql() -> dict[str, str]:
       FROM corpus GROUP BY ALL""", "corpus")
     add("a4_feature_stats", _stats_long(), "features_a")
     add("a5_list_load", "SELECT domain AS pattern, count(*) AS added FROM hosts WHERE page_id % 5 <> 0 GROUP BY domain", "hosts")
-    add("a6_batch_intake", """SELECT url, CAST(CASE WHEN (page_id // 50) % 2 = 0 THEN 5 ELSE 10 END AS BIGINT) AS top_k
+    add("a6_batch_intake", """SELECT 'b' || (page_id // 50) AS batch_id, url, CAST(CASE WHEN (page_id // 50) % 2 = 0 THEN 5 ELSE 10 END AS BIGINT) AS top_k
       FROM corpus""", "corpus")
     add("a7_hop_log", """SELECT url, CAST(status_code AS BIGINT) AS status_code, location, content_type,
       CAST(length(body) AS BIGINT) AS body_chars FROM hop_log""", "hop_log")
@@ -1073,12 +1073,22 @@ def oracle_sql() -> dict[str, str]:
         lambda x: x IS NOT NULL), '|') AS errors
       FROM corpus c JOIN expanded e ON e.url = c.url
       LEFT JOIN (SELECT * FROM predicted_b WHERE page_id % 4 <> 1) p ON p.url = c.url""", "corpus", "expanded", "predicted_b")
+    add("j16_rejected", """SELECT * FROM (SELECT CASE page_id % 7 WHEN 1 THEN url || '<script>' WHEN 2 THEN ''
+        WHEN 3 THEN 'http:///path' ELSE url || repeat('a', 2100) END AS url, CAST(0 AS BIGINT) AS valid,
+      CASE page_id % 7 WHEN 1 THEN 'URL failed structural regex check' WHEN 3 THEN 'URL has no host/netloc'
+        ELSE 'URL length outside 4 to 2048' END AS reason, CAST(1 AS BIGINT) AS unscored
+      FROM corpus WHERE page_id % 7 IN (1, 2, 3, 4))""", "corpus")
     # K
     add("k1_threat_rank", f"SELECT url, {r6(RANK_A)} AS threat_rank FROM profile_scored", "profile_scored")
     add("k2_ranking", f"""SELECT url, {r6('0.45 * 0.5 + 0.25 * (url_entropy / 5.0) + 0.10 * keyword_score')} AS threat_rank
       FROM features_a""", "features_a")
     add("k3_top_k", f"SELECT url, {r6('r')} AS threat_rank FROM (SELECT url, {RANK_A} AS r FROM profile_scored) ORDER BY r DESC, url LIMIT 10",
         "profile_scored")
+    add("k3_top_per_batch", f"""SELECT batch_id, url, place FROM (SELECT 'b' || (c.page_id // 50) AS batch_id, c.url,
+      CASE WHEN (c.page_id // 50) % 2 = 0 THEN 5 ELSE 10 END AS k,
+      row_number() OVER (PARTITION BY c.page_id // 50 ORDER BY r DESC, c.url) AS place
+      FROM corpus c JOIN (SELECT url, {RANK_A} AS r FROM profile_scored) s ON s.url = c.url) WHERE place <= k""",
+        "profile_scored", "corpus")
     add("k4_budget", """SELECT batch, url, CAST(used > 50.5 AS BIGINT) AS partial FROM (
       SELECT *, sum(cost) OVER (PARTITION BY batch ORDER BY v / cost DESC, md5(url), url ROWS UNBOUNDED PRECEDING) AS used
       FROM (SELECT page_id % 4 AS batch, url, round(p, 4) * round(url_entropy, 4) AS v, CAST(1 + page_id % 3 AS DOUBLE) AS cost

@@ -134,13 +134,17 @@ def a5_list_load(spark, sf):
 
 @register
 def a6_batch_intake(spark, sf):
+    return tidy(_batches(spark, sf))
+
+
+def _batches(spark, sf):
     path = scratch_path(spark, "batches")
     batches = R.corpus(spark, sf).groupBy(F.floor(F.col("page_id") / 50).alias("batch")).agg(
         F.collect_list("url").alias("urls")
     )
     top = F.when(F.col("batch") % 2 == 0, 5)
-    batches.select("urls", top.alias("top_k")).write.json(path)
-    return tidy(sources.read_batch(spark, path))
+    batches.select(F.concat(F.lit("b"), "batch").alias("batch_id"), "urls", top.alias("top_k")).write.json(path)
+    return sources.read_batch(spark, path)
 
 
 @register
@@ -162,16 +166,19 @@ def b1_with_scheme(spark, sf):
     return tidy(R.corpus(spark, sf).select("page_id", U.with_scheme(raw).alias("url")))
 
 
-@register
-def b2_validation(spark, sf):
-    odd = (
+def _odd_url():
+    return (
         F.when(F.col("page_id") % 7 == 1, F.concat(F.col("url"), F.lit("<script>")))
         .when(F.col("page_id") % 7 == 2, F.lit(""))
         .when(F.col("page_id") % 7 == 3, F.lit("http:///path"))
         .when(F.col("page_id") % 7 == 4, F.concat(F.col("url"), F.repeat(F.lit("a"), 2100)))
         .otherwise(F.col("url"))
     )
-    checked = R.corpus(spark, sf).select("page_id", U.validation(odd).alias("v"))
+
+
+@register
+def b2_validation(spark, sf):
+    checked = R.corpus(spark, sf).select("page_id", U.validation(_odd_url()).alias("v"))
     return tidy(checked.select("page_id", "v.valid", "v.reason"))
 
 
@@ -973,7 +980,15 @@ def j15_enrichment(spark, sf):
 
 @register
 def j16_scan_b(spark, sf):
-    return tidy(_scan_b(spark, sf).drop("redirect_chain"))
+    return tidy(_scan_b(spark, sf).drop("redirect_chain", "valid", "reason"))
+
+
+@register
+def j16_rejected(spark, sf):
+    """Malformed requests beside good ones: those that the scan rejects, and why."""
+    c = R.corpus(spark, sf).select(_odd_url().alias("url"))
+    scanned = scan.scan_b(c, R.hop_log(spark, sf)).where("not valid")
+    return tidy(scanned.select("url", "valid", "reason", F.col("risk_score").isNull().alias("unscored")))
 
 
 @register
@@ -1026,6 +1041,11 @@ def k2_ranking(spark, sf):
     return tidy(ranking.ranked(scored).select("url", "threat_rank"))
 
 
+@register
+def k3_top_per_batch(spark, sf):
+    return tidy(scan.rank_batches(_batches(spark, sf), R.edges(spark, sf)).select("batch_id", "url", "place"))
+
+
 @register
 def k3_top_k(spark, sf):
     return tidy(scan.rank_urls(R.corpus(spark, sf), R.edges(spark, sf), 10).select("url", "threat_rank"))

@@ -75,11 +75,16 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_batch(spark: SparkSession, path: str) -> DataFrame:
-    """Batch requests from JSON lines, one row per URL with its batch's ``top_k`` (default 10)."""
+    """Batch requests from JSON lines, one row per URL with its batch and the batch's ``top_k`` (default 10).
+
+    A batch without a ``batch_id`` is numbered by its place in the files.
+    """
     batches = spark.read.schema(C.BATCH_REQUESTS).json(path)
-    return batches.select(
-        F.explode("urls").alias("url"), F.coalesce("top_k", F.lit(10)).alias("top_k")
+    place = F.monotonically_increasing_id().cast("string")
+    named = batches.select(
+        "urls", F.coalesce("batch_id", place).alias("batch_id"), F.coalesce("top_k", F.lit(10)).alias("top_k")
     )
+    return named.select("batch_id", F.explode("urls").alias("url"), "top_k")
 
 
 def read_hop_log(spark: SparkSession, path: str) -> DataFrame:
