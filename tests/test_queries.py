@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from urlrisk.operators import model
+from urlrisk.queries import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 CORE = [
@@ -51,5 +53,8 @@ def test_entry_and_registry(spark):
 
 
 def test_network_inference(spark, sf_dir):
-    rows = entry_point.queries()["j7_inference"](spark, sf_dir).collect()
+    fitted, history, stats, parts = registry._network(spark, sf_dir)
+    rows = model.infer(fitted, model.model_input(parts, stats)).collect()
     assert rows and all(0.0 <= r.threat_probability <= 1.0 for r in rows)
+    assert len({r.threat_probability for r in rows}) > 10 and 0 < len(history) <= registry.EPOCHS
+    assert len(rows) == entry_point.queries()["j7_inference"](spark, sf_dir).where("in_range = 1").count()
