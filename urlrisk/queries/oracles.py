@@ -882,8 +882,10 @@ def oracle_sql() -> dict[str, str]:
       {r6(f'pow(n / {BIG.m}, {BIG.k})')} AS estimated_fpr FROM (SELECT count(*) AS n FROM positions_all)""", "positions_all")
     add("f5_counting_filter", f"""SELECT t.position, CAST(t.c - coalesce(m.c, 0) AS BIGINT) AS count FROM
       (SELECT position, least(count(*), 255) AS c FROM ({_prefix_positions("(SELECT domain FROM hosts WHERE result = 1)", COUNTING)}) GROUP BY position) t
-      LEFT JOIN (SELECT position, count(*) AS c FROM ({_prefix_positions(
-        "(SELECT DISTINCT domain FROM hosts WHERE page_id % 16 IN (0, 10))", COUNTING)}) GROUP BY position) m
+      LEFT JOIN (SELECT position, count(*) AS c FROM (SELECT domain, position,
+          bool_and(position IN (SELECT position FROM ({_prefix_positions("(SELECT domain FROM hosts WHERE result = 1)", COUNTING)})))
+            OVER (PARTITION BY domain) AS contained FROM ({_prefix_positions(
+        "(SELECT DISTINCT domain FROM hosts WHERE page_id % 16 IN (0, 10))", COUNTING)})) WHERE contained GROUP BY position) m
       ON m.position = t.position WHERE t.c > coalesce(m.c, 0)""", "hosts")
     add("f5_counting_probe", f"""SELECT h.url, h.domain, {flag('hit')} AS in_filter FROM hosts h JOIN (
       SELECT domain, bool_and(position IN (SELECT position FROM ({_prefix_positions("(SELECT domain FROM hosts WHERE result = 1)", TINY)}))) AS hit
