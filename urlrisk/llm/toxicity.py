@@ -175,14 +175,25 @@ def learn(texts: list[str], toxic: np.ndarray, ratio: float, lexicon: int, round
     return tagger._replace(doc=logistic(x, toxic.astype(float), np.where(toxic, ratio, 1.0)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Weights of a slightly regularised logistic regression by Newton's method."""
-    w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1]) * 1e-2
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Weights of a slightly regularised logistic regression by Newton's method; a step that goes too far is halved."""
+    ridge = np.eye(x.shape[1]) * 1e-2
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + w @ ridge @ w / 2)
+
+    w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (weight * (y - p)) - ridge @ w
         bend = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge
-        w = w + np.clip(np.linalg.solve(bend, slope), -4, 4)
+        step = np.linalg.solve(bend, x.T @ (weight * (y - p)) - ridge @ w)
+        now, share = loss(w), 1.0
+        while share > 1e-6 and loss(w + share * step) > now:
+            share /= 2
+        if share <= 1e-6:
+            break
+        w = w + share * step
     return w
 
 
