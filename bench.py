@@ -11,7 +11,7 @@ from urlrisk.queries import queries
 from urlrisk.session import build_session
 
 HEADLINE = [
-    "t_visit_features", "t_visit_gate", "e4_list_verdict", "f3_bloom_probe", "f10_trigram_similarity",
+    "t_visit_features", "t_visit_gate", "e4_list_verdict", "f2_bloom_build", "f3_bloom_probe", "f10_trigram_similarity",
     "h7_closure", "i5_chain_summary", "j16_scan_b", "k3_top_k", "l9_distribution",
 ]
 RUNS = 3

@@ -21,8 +21,14 @@ HOST_MODE = {"A": "prefix", "B": "charstrip"}
 _AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/]*)"
 _BEFORE_PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/]*)?"
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
+# The patterns and reasons of the request check
 _VALID = r"(?i)^(https?|ftp)://([a-zA-Z0-9\-._~:/?#\[\]@!$&'()*+,;=%]+)$"
 _PRIVATE = r"^(10\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.168\.|127\.|0\.|::1|localhost)"
+REASONS = {
+    "length": "URL is empty or too long",
+    "pattern": "URL failed structural regex check",
+    "host": "URL has no host/netloc",
+}
 IP_ANYWHERE = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _IPV4 = rf"^({_OCTET}\.){{3}}{_OCTET}$"
@@ -155,9 +161,9 @@ def with_scheme(raw: Column) -> Column:
 def validation(url: Column) -> Column:
     """Struct (valid, reason) of the structural check."""
     reason = (
-        F.when(url.isNull() | (F.length(url) == 0) | (F.length(url) > 2048), F.lit("URL is empty or too long"))
-        .when(~url.rlike(_VALID), F.lit("URL failed structural regex check"))
-        .when(F.length(netloc(url)) == 0, F.lit("URL has no host/netloc"))
+        F.when(url.isNull() | (F.length(url) == 0) | (F.length(url) > 2048), F.lit(REASONS["length"]))
+        .when(~url.rlike(_VALID), F.lit(REASONS["pattern"]))
+        .when(F.length(netloc(url)) == 0, F.lit(REASONS["host"]))
         .otherwise(F.lit("ok"))
     )
     return F.struct((reason == "ok").alias("valid"), reason.alias("reason"))

@@ -12,6 +12,7 @@ from urlrisk.plans.lineage import cut
 BLOCK_AT = 0.70
 FLAG_AT = 0.35
 
+# Reasons of the decisions
 REASONS = {
     "list_safe": "Trie whitelist exact/parent match",
     "list_bad": "Trie blacklist exact/prefix match",

@@ -23,23 +23,23 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, key: str, how: str = "left", split_hot: bool = False
+    left: DataFrame, right: DataFrame, key: str, how: str = "left", split_hot: bool = False, hot_keys: int | None = None
 ) -> DataFrame:
     """Join ``left`` to ``right``, whose ``key`` is unique.
 
     By default a plain equi-join: adaptive execution broadcasts a right side it has measured as small
     and otherwise splits the oversized partitions of a hot key. ``split_hot`` also keeps hot rows out of
-    the shuffle; use it where ``left`` is a table that is cheap to read more than once. The ``HOT_KEYS``
-    most frequent keys are then found with a map-side-combined count and their right rows broadcast: at
-    most ``HOT_KEYS`` rows whatever the data size. Every other key holds less than 1/HOT_KEYS of the rows
-    and goes through the shuffled join. Nothing is dropped; a null key matches nothing.
+    the shuffle; use it where ``left`` is a table that is cheap to read more than once. The ``hot_keys``
+    (default HOT_KEYS) most frequent keys are then found with a map-side-combined count and their right rows
+    broadcast: at most that many rows whatever the data size. Every other key holds less than 1/``hot_keys``
+    of the rows and goes through the shuffled join. Nothing is dropped; a null key matches nothing.
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup_join supports left and inner")
     if not split_hot:
         return left.join(right, key, how)
     counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.orderBy(F.desc("_n"), key).limit(HOT_KEYS).select(key, F.lit(True).alias("_hot"))
+    hot = counts.orderBy(F.desc("_n"), key).limit(HOT_KEYS if hot_keys is None else hot_keys).select(key, F.lit(True).alias("_hot"))
     hot_right = right.join(F.broadcast(hot.select(key)), key, "left_semi")
     marked = left.join(F.broadcast(hot), key, "left")
     is_hot = F.col("_hot").isNotNull() | F.col(key).isNull()
