@@ -109,6 +109,24 @@ def test_language_accuracy(spark):
     assert np.mean([r.rejected for r in rows]) < 0.01
 
 
+def test_floors_follow_length():
+    """One dissimilar row of another length moves no floor, nor do lengths without rows."""
+    bins = np.repeat([5, 12, 14], [1, 300, 300])
+    near = np.concatenate([[0.08], np.linspace(0.6, 0.7, 300), np.linspace(0.8, 0.9, 300)])
+    floor = langid.floors(near, bins, 0.03)
+    assert floor[12] > 0.59 and (floor[14:] > 0.79).all()
+
+
+@pytest.mark.parametrize("left_out", ["de", "en", "es", "fr"])
+def test_unlearned_language_is_rejected(spark, left_out):
+    """A language of the same script that the model never saw, and clean rows of those it did."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit_documents(docs.where(docs.lang != left_out))
+    rows = langid.identify(docs.where(langid.held_out(docs.doc_id)), model).collect()
+    assert np.mean([r.language.rejected for r in rows if r.lang == left_out]) > 0.95
+    assert np.mean([r.language.rejected for r in rows if r.lang != left_out]) < 0.02
+
+
 # packing ----------------------------------------------------------------------------------------------------------
 
 TEXTS = [

@@ -17,6 +17,8 @@ from urlrisk.llm.common import is_training, light_batches, utf8
 DIMS = 4096
 BINS = 24
 UNKNOWN = "und"
+#: The least share of a language's sample that a centroid stands for.
+LEAST_SHARE = 0.01
 _AT_ONCE = 256
 
 
@@ -79,16 +81,28 @@ def cluster(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return c
 
 
+def floors(near: np.ndarray, bins: np.ndarray, low: float, least: int = 50) -> np.ndarray:
+    """Per length bin: the ``low`` quantile of the similarities of at least ``least`` rows (all, if there are
+    fewer) of that bin and, as far as needed, the bins around it."""
+    found = []
+    for b in range(BINS):
+        off = np.abs(bins - b)
+        found.append(np.quantile(near[off <= np.sort(off)[min(least, len(off)) - 1]], low))
+    return np.array(found)
+
+
 def fit(
-    labelled: DataFrame, clusters: int = 3, sample: int = 800, languages: int = 1000, slack: float = 0.25
+    labelled: DataFrame, clusters: int = 3, sample: int = 800, languages: int = 1000, slack: float = 0.45,
+    low: float = 0.03
 ) -> Model | None:
     """Learn from (doc_id, text, lang); rows without text or language teach nothing; None without any.
 
     Document frequencies cover every row: each task sends one count per dimension, merged in a shuffle.
     Centroids come from about ``sample`` rows per language, chosen by a hash of the id, of the
-    ``languages`` most frequent ones; one task clusters one language. What the driver gets is
-    ``clusters`` x DIMS numbers per language. A language rejects texts that are less similar to its
-    nearest centroid than ``slack`` times the least similar sample row of like length.
+    ``languages`` most frequent ones; one task clusters one language. What the driver gets is at most
+    ``clusters`` x DIMS numbers per language: a cluster of less than LEAST_SHARE of the sample (often
+    one mislabelled row) is no centroid. A language rejects texts that are less similar to its nearest
+    centroid than ``slack`` times the ``low`` quantile of the sample rows of like length (``floors``).
     """
     light_batches(labelled.sparkSession)
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(
@@ -124,12 +138,12 @@ def fit(
         if not len(x):
             return pd.DataFrame({"lang": [], "centroid": [], "floor": []})
         c = cluster(x, clusters)
-        near = (x @ c.T).max(axis=1)
-        least = [float(near[bins == b].min()) if (bins == b).any() else np.nan for b in range(BINS)]
-        floor = np.nan_to_num(np.array(least), nan=float(np.nanmin(least))) * slack
+        held = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
+        c = c[held >= min(LEAST_SHARE * len(x), held.max())]
+        floor = floors((x @ c.T).max(axis=1), bins, low) * slack
         return pd.DataFrame({
             "lang": own["lang"].iloc[0], "centroid": [v.astype("<f4").tobytes() for v in c],
-            "floor": [np.minimum.accumulate(floor[::-1])[::-1].tolist()] * len(c)})
+            "floor": [floor.tolist()] * len(c)})
 
     got = bounded.select("lang", "doc_id", "_text", "_draw").groupBy("lang").applyInPandas(
         centroids, "lang string, centroid binary, floor array<double>").collect()
