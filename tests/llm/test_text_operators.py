@@ -63,6 +63,24 @@ def test_query_digest(spark, sf_dir):
     ('if password == "a8Kq02LmZ91x": pass', []),  # a comparison
     ('title = "a8Kq02LmZ91x"', []),  # no sensitive name
     ('password = "changeme"', []),
+    ('db_pwd: str = "a8Kq02LmZ91x"', ["a8Kq02LmZ91x"]),  # a type between
+    ('const clientSecret: string = "a8Kq02LmZ91x";', ["a8Kq02LmZ91x"]),
+    ('let api_key: &str = "a8Kq02LmZ91x";', ["a8Kq02LmZ91x"]),
+    ("static API_KEY: &'static str = \"a8Kq02LmZ91x\";", ["a8Kq02LmZ91x"]),
+    ("def f(a: str, db_pwd: Optional[Dict[str, str]] | None = 'a8Kq02LmZ91x'):", ["a8Kq02LmZ91x"]),
+    ('private_key?: string | null = "a8Kq02LmZ91x"', ["a8Kq02LmZ91x"]),
+    ('K: str = "a8Kq02LmZ91x"\ndb_pwd: str = K', ["a8Kq02LmZ91x"]),
+    ('title: str = "a8Kq02LmZ91x"', []),
+    ('client_secret = b"a8Kq02LmZ91x"', ["a8Kq02LmZ91x"]),  # prefixes
+    ("client_secret = rb'a8Kq02LmZ91x'", ["a8Kq02LmZ91x"]),
+    ('client_secret: &str = r#"a8Kq02LmZ91x"#;', ["a8Kq02LmZ91x"]),
+    ('client_secret = f"a8Kq02LmZ91x"', ["a8Kq02LmZ91x"]),
+    ('INFO: client_secret="a8Kq02LmZ91x"', ["a8Kq02LmZ91x"]),  # a label before a pair
+    ('INFO: client_secret = "a8Kq02LmZ91x"', ["a8Kq02LmZ91x"]),
+    ("INFO: db_pwd=a8Kq02LmZ91x", ["a8Kq02LmZ91x"]),
+    ("note: password: a8Kq02LmZ91x", ["a8Kq02LmZ91x"]),
+    ("pwd: a8Kq02LmZ91xTTr0=", ["a8Kq02LmZ91xTTr0="]),  # padding is no operator
+    ("pwd: a8Kq02LmZ91xTTr0= and more", ["a8Kq02LmZ91xTTr0="]),
 ])
 def test_literals(text, found):
     assert [text[a:b] for a, b, _, _ in secrets.literals(text)] == found

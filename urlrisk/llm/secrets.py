@@ -23,10 +23,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 #: name, operator, then a quoted or bare literal or another name. The name may be quoted (JSON), a chain
-#: (a.b.c, a["b"]) or a flag (--api-key=...). Comparisons (==, <=, !=) are not assignments.
+#: (a.b.c, a["b"]) or a flag (--api-key=...), and a type may stand between : and =. Comparisons (==, <=, !=)
+#: are not assignments. A quoted literal may have a prefix (b"...", r#"..."#, $"...");
+#: of a bare one only the place is matched, and BARE has the text.
 PAIR = re.compile(
-    r"""(?<![\w.\-])(?P<name>[A-Za-z_][\w.\-]*(?:\[["'][\w.\-]+["']\])*)["'`]?[ \t]*(?:=>|:=|(?<![=!<>])=(?![=~>])|:(?![:/]))[ \t]*"""
-    r"""(?:(?P<quote>["'`])(?P<quoted>(?:(?!(?P=quote))[^\\\n]|\\.)*)(?P=quote)|(?P<bare>[^\s"'`,;(){}\[\]<>]+))""")
+    r"""(?<![\w.\-])(?P<name>[A-Za-z_][\w.\-]*(?:\[["'][\w.\-]+["']\])*)["'`]?[ \t]*"""
+    r"""(?:\??:[ \t]*(?P<type>[&*]{0,2}(?:'[a-z_]\w*[ \t]+)?(?:(?:mut|const)[ \t]+)?[A-Za-z_][\w.:]{0,80}"""
+    r"""(?:\[[^\n=;]{0,80}\]|<[^\n=;]{0,80}>){0,4}\??(?:[ \t]*\|[ \t]*[A-Za-z_][\w.]{0,80}(?:\[[^\n=;]{0,80}\])?){0,8})"""
+    r"""(?:[ \t]+=(?![=~>])|=(?![=~>\s]))|=>|:=|(?<![=!<>])=(?![=~>])|:(?![:/]))[ \t]*"""
+    r"""(?:(?:[A-Za-z]{1,2}\#{0,3}|u8|[$@]{1,2})?(?P<quote>["'`])(?P<quoted>(?:(?!(?P=quote))[^\\\n]|\\.)*)(?P=quote)"""
+    r"""|(?P<bare>(?=[^\s"'`,;(){}\[\]<>])))""")
+BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""")
 #: Name parts that make a target sensitive, with their weight; fixed values.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "secret": 1.0, "token": 0.9,
@@ -60,25 +67,41 @@ def literal_weight(value: str) -> float:
 def literals(text: str) -> list[tuple[int, int, str, float]]:
     """Spans (start, end, name, score) of literals that sensitive names get in source or configuration text.
 
-    Pairs are read in order. A name that is given another name takes the literal that one held last, so a
-    sensitive target marks the literal where it is written, also when it was first assigned elsewhere.
+    Pairs are read in order. A bare value that starts a pair itself is read as that pair too, and only as that
+    one if it has a sensitive name or a quoted literal. A name that is given another name takes the literal
+    that one held last, so a sensitive target marks the literal where it is written, also when it was first
+    assigned elsewhere.
     """
-    held: dict[str, tuple[int, int, str]] = {}
+    held: dict[str, tuple[int, int]] = {}
     found: dict[tuple[int, int], tuple[str, float]] = {}
-    for m in PAIR.finditer(text):
-        name, group = m["name"], "bare" if m["quoted"] is None else "quoted"
-        value, span = m[group], m.span(group)
-        if group == "bare":
-            value = value.rstrip(".:!?")
-            span = (span[0], span[0] + len(value))
-        where = (*span, value)
-        if group == "bare" and _NAME.match(value) and value in held:
-            where = held[value]
-        held[name] = where
-        score = name_weight(name) * literal_weight(where[2]) * 2
-        key = where[:2]
-        if score >= MIN_SCORE and score > found.get(key, ("", 0.0))[1]:
-            found[key] = (name, round(score, 6))
+    m = PAIR.search(text)
+    while m:
+        chain = [m]
+        while chain[-1]["quoted"] is None and (m := PAIR.match(text, chain[-1].start("bare"))):
+            chain.append(m)
+        starts = [m.start("bare") for m in chain]
+        ends = [chain[-1].end() if starts[-1] < 0 else BARE.match(text, starts[-1]).end()]
+        for start, inner in zip(starts[-2::-1], starts[:0:-1], strict=True):
+            own = BARE.match(text, start, inner if inner >= 0 else ends[0]).end()
+            ends.append(ends[-1] if own == inner else own)  # bare values without a gap between share their end
+        end = ends[0]
+        ends.reverse()
+        # "label: name = ..." reads like an annotation, so the type may be the name
+        named = [[m["name"]] if m["type"] is None else [m["name"], m["type"]] for m in chain]
+        weights = [max(map(name_weight, names)) for names in named]
+        first = max((i for i, m in enumerate(chain) if weights[i] or m["quoted"] is not None), default=0)
+        for m, names, weight, own in list(zip(chain, named, weights, ends, strict=True))[first:]:
+            where = m.span("quoted")
+            if m["quoted"] is None:
+                start = m.start("bare")
+                where = (start, start + len(text[start:own].rstrip(".:!?")))
+                if _NAME.match(value := text[slice(*where)]) and value in held:
+                    where = held[value]
+            held.update(dict.fromkeys(names, where))
+            score = weight and weight * literal_weight(text[slice(*where)]) * 2
+            if score >= MIN_SCORE and score > found.get(where, ("", 0.0))[1]:
+                found[where] = (max(names, key=name_weight), round(score, 6))
+        m = PAIR.search(text, end)
     return [(a, b, *v) for (a, b), v in found.items()]
 
 
