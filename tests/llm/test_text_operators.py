@@ -81,6 +81,21 @@ def test_query_digest(spark, sf_dir):
     ("note: password: a8Kq02LmZ91x", ["a8Kq02LmZ91x"]),
     ("pwd: a8Kq02LmZ91xTTr0=", ["a8Kq02LmZ91xTTr0="]),  # padding is no operator
     ("pwd: a8Kq02LmZ91xTTr0= and more", ["a8Kq02LmZ91xTTr0="]),
+    ('password = "$uperS3cret!"', ["$uperS3cret!"]),  # not a reference as a whole
+    ('password_hash = "$2b$12$R9h/cIPz0gi.URNNX3kh2O"', ["$2b$12$R9h/cIPz0gi.URNNX3kh2O"]),
+    ('password = "%Kq02LmZ91x{"', ["%Kq02LmZ91x{"]),
+    ('password = "<Kq02LmZ91x"', ["<Kq02LmZ91x"]),
+    ('password = "{Kq02-LmZ91x"', ["{Kq02-LmZ91x"]),
+    ('passphrase = "four random words here"', ["four random words here"]),
+    ('title = "four random words here"', []),
+    ('access = "four random words here"', []),  # a name of less weight
+    ('password = "${DB_PASSWORD}"', []),  # references
+    ('password = "${DB_USER}:${DB_PASSWORD}"', []),
+    ('password = "$DB_PASSWORD"', []),
+    ('password = "%(db_password)s"', []),
+    ('password = "{{ db_password }}"', []),
+    ('password = "<your password here>"', []),
+    ("password = $(cat /run/secrets/password)", []),
 ])
 def test_literals(text, found):
     assert [text[a:b] for a, b, _, _ in secrets.literals(text)] == found

@@ -42,6 +42,10 @@ SENSITIVE = {
 }
 #: Literals that stand for no secret; fixed values.
 PLACEHOLDERS = {"changeme", "example", "placeholder", "password", "secret", "token", "none", "null", "true", "false", "undefined"}
+#: Literals that only refer to values elsewhere: ${NAME}, $(command), %(name)s, %NAME%, {{name}}, {name}, <placeholder>,
+#: also several in a row, and $NAME.
+REFERENCE = re.compile(
+    r"""\$[A-Za-z_]\w*|(?:(?:\$\{[^{}]*\}|\$\([^()]*\)|%\([^()]*\)[a-z]|%\w+%|[$\#]?\{\{[^{}]*\}\}|<%[^%]*%>|\{[\w.]*\}|<[^<>]*>)[:/@.\- ]*)+""")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _NAME = re.compile(r"[A-Za-z_][\w.]*\Z")
 MIN_SCORE = 1.0
@@ -53,9 +57,10 @@ def name_weight(name: str) -> float:
     return sum(SENSITIVE.get(p, 0.0) for p in dict.fromkeys(parts))
 
 
-def literal_weight(value: str) -> float:
-    """How much a literal looks like a secret, 0 to 1: entropy per character by length, mixed classes."""
-    if len(value) < 8 or value.lower() in PLACEHOLDERS or any(c.isspace() for c in value) or value[:1] in "$%{<":
+def literal_weight(value: str, spaces: bool = False) -> float:
+    """How much a literal looks like a secret, 0 to 1: entropy per character by length, mixed classes.
+    One that holds white space counts only if ``spaces`` says so."""
+    if len(value) < 8 or value.lower() in PLACEHOLDERS or REFERENCE.fullmatch(value) or not spaces and any(c.isspace() for c in value):
         return 0.0
     counts = Counter(value)
     entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
@@ -70,7 +75,7 @@ def literals(text: str) -> list[tuple[int, int, str, float]]:
     Pairs are read in order. A bare value that starts a pair itself is read as that pair too, and only as that
     one if it has a sensitive name or a quoted literal. A name that is given another name takes the literal
     that one held last, so a sensitive target marks the literal where it is written, also when it was first
-    assigned elsewhere.
+    assigned elsewhere. Literals with white space count under names of full weight.
     """
     held: dict[str, tuple[int, int]] = {}
     found: dict[tuple[int, int], tuple[str, float]] = {}
@@ -98,7 +103,7 @@ def literals(text: str) -> list[tuple[int, int, str, float]]:
                 if _NAME.match(value := text[slice(*where)]) and value in held:
                     where = held[value]
             held.update(dict.fromkeys(names, where))
-            score = weight and weight * literal_weight(text[slice(*where)]) * 2
+            score = weight and weight * literal_weight(text[slice(*where)], weight >= 1) * 2
             if score >= MIN_SCORE and score > found.get(where, ("", 0.0))[1]:
                 found[where] = (max(names, key=name_weight), round(score, 6))
         m = PAIR.search(text, end)
