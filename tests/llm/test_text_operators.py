@@ -242,6 +242,33 @@ def test_main_text(spark):
     assert html_blocks.extract(pages.limit(0)).count() == 0
 
 
+PROSE = "A paragraph of the text with many words in it, long enough to be read as prose by anyone who looks at the page."
+OTHER = "Another paragraph of many words, which tells of something else and is just as long as the one before it was."
+
+
+@pytest.mark.parametrize("around", [
+    '<body class="right-sidebar"><article>{}</article>', '<body><div class="layout has-sidebar"><article>{}</article></div>',
+    '<body><div id="page-with-header"><main>{}</main></div>', '<body class="modal-open"><div>{}</div>',
+    '<body><main><div class="sidebar-right"><article>{}</article></div></main>', '<body><div class="has-sidebar"><div>{}</div></div>',
+])
+def test_names_of_layouts(spark, around):
+    page = around.format(f'<h1 class="page-header">Head of it</h1><p>{PROSE}</p><p>{OTHER}</p>')
+    assert html_blocks.main_text(page, html_blocks.train(spark)) == f"Head of it {PROSE} {OTHER}"
+
+
+@pytest.mark.parametrize("inside", [
+    '<p class="ad">{}', '<p class="ad">{}</p>', '<blockquote class="related"><p>{}</p></blockquote>', '<h3 class="related">{}</h3>',
+    '<ul><li class="comment">{}<li class="comment"><p>{}</p><div>{}</div></ul>', '<p class="promo">two lines<br>{}</p>',
+    '<ol><li class="comment"><article class="comment-body"><p>{}</p></article></li></ol>',
+])
+def test_marks_within_an_article(spark, inside):
+    tree, inside = html_blocks.train(spark), inside.replace("{}", OTHER)
+    for page in (f"<article><p>{PROSE}</p>{inside}<p>{PROSE}</p></article>", f"<main><article><p>{PROSE}</p></article>{inside}<p>{PROSE}</main>"):
+        assert html_blocks.main_text(page, tree) == f"{PROSE} {PROSE}"
+    listed = f'<article><p>{PROSE}</p><ul><li class="ad">{OTHER}<li>{PROSE}</ul></article>'
+    assert html_blocks.main_text(listed, tree) == f"{PROSE} {PROSE}"
+
+
 def test_given_pages(spark, sf_dir):
     html = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     for r in html_blocks.op8_html(spark, sf_dir).collect():

@@ -23,7 +23,9 @@ MARKUP = re.compile(
 #: Tags that don't end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements whose nesting is followed; others may stay open.
-CONTAINERS = frozenset("article aside body button center dd details dialog div dl fieldset figure footer form header main menu nav ol section table td th tr ul".split())
+CONTAINERS = frozenset("article aside blockquote body button center dd details dialog div dl fieldset figure footer form header li main menu nav ol section table td th tr ul".split())
+#: Elements whose marks hold for their own blocks, up to the next element of a block.
+LEAVES = frozenset("dt h1 h2 h3 h4 h5 h6 p".split())
 #: Elements, roles and name parts of what surrounds an article; fixed values.
 CHROME_TAGS = frozenset("aside button dialog fieldset footer form header menu nav".split())
 CHROME_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
@@ -32,6 +34,10 @@ CHROME_NAMES = frozenset(
     "disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices notification "
     "overlay pagination pager popup promo promoted promotion reader related replies reply respond sharing share sidebar "
     "signup social sponsor sponsored subscribe toolbar widget".split())
+#: Of these, the names of boxes that may hold articles of their own.
+BOX_NAMES = frozenset("comment comments disqus promo promoted promotion related replies reply respond sponsor sponsored".split())
+#: With one of these a name tells of a page's layout, as has-sidebar does.
+QUALIFIERS = frozenset("closed disabled enabled has no open with without".split())
 ARTICLE_TAGS = frozenset({"article", "main"})
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -79,29 +85,40 @@ class Block(NamedTuple):
     article: bool
 
 
-def _marks(tag: str, attributes: str) -> bool:
-    """Whether an element's tag, role or names say that it surrounds an article."""
-    if tag in CHROME_TAGS:
-        return True
+#: Marks: by a name, by the name of a box, by tag, role or hiding.
+NAMED, BOXED, FIXED = 1, 2, 4
+
+
+def _marks(tag: str, attributes: str) -> int:
+    """Whether an element's tag, role or names say that it surrounds an article, as a sum of marks."""
+    marks = FIXED if tag in CHROME_TAGS else 0
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "role" and value.strip().lower() in CHROME_ROLES:
-            return True
+            marks |= FIXED
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name in ("class", "id") and any(p.lower() in CHROME_NAMES for p in _NAME_PARTS.findall(value)):
-            return True
-    return False
+            marks |= FIXED
+        if name in ("class", "id") and tag != "body":
+            for one in value.split():
+                parts = {p.lower() for p in _NAME_PARTS.findall(one)}
+                if tag[0] == "h" and tag[1:].isdigit():
+                    parts -= {"header"}  # a heading is called so itself
+                if not parts & QUALIFIERS and (found := parts & CHROME_NAMES):
+                    marks |= BOXED if found & BOX_NAMES else NAMED
+    return marks
 
 
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page in order; empty ones are left out.
 
     A block ends at any tag that isn't inline. Its link density is the share of its words within links.
-    Comments and elements like scripts and styles have no text; an unclosed one reaches to the end.
+    Comments and elements like scripts and styles have no text; an unclosed one reaches to the end. Marks are
+    inherited; but main forgets those by a name from around it, and so does an article that is not within
+    another, except those of boxes that hold articles of their own.
     """
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # tag, within chrome, within an article
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, marks, within an article
+    leaf = ("", 0)  # the open element of LEAVES, its marks
     opened: dict[str, int] = {}
     pieces: list[str] = []
     linked: list[str] = []
@@ -112,8 +129,8 @@ def blocks(page: str) -> list[Block]:
         words = html.unescape("".join(pieces)).split()
         if words:
             in_links = len(html.unescape(" ".join(linked)).split())
-            _, chrome, article = stack[-1]
-            found.append(Block(" ".join(words), len(words), min(1.0, in_links / len(words)), chrome, article))
+            _, marks, article = stack[-1]
+            found.append(Block(" ".join(words), len(words), min(1.0, in_links / len(words)), bool(marks or leaf[1]), article))
         pieces.clear()
         linked.clear()
 
@@ -137,15 +154,27 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         in_link = 0
+        if tag in CONTAINERS or tag in LEAVES and (tag == leaf[0] or not m["close"]):
+            leaf = (tag, _marks(tag, m["attributes"])) if tag in LEAVES and not m["close"] else ("", 0)
         if tag not in CONTAINERS:
             continue
         if not m["close"]:
             if not m["attributes"].endswith("/"):
-                _, chrome, article = stack[-1]
-                own = tag in ARTICLE_TAGS
-                # an article's own header holds its heading
-                mark = _marks(tag, m["attributes"]) and not (tag == "header" and article) and not own
-                stack.append((tag, chrome or mark, article or own))
+                if tag == "li" and opened.get(tag):  # ends an open one
+                    depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] != "div")
+                    if stack[depth][0] == "li":
+                        for top, _, _ in stack[depth:]:
+                            opened[top] -= 1
+                        del stack[depth:]
+                _, marks, article = stack[-1]
+                if tag in ARTICLE_TAGS:
+                    if tag == "main" and not article:
+                        marks &= FIXED
+                    elif not opened.get("article"):
+                        marks &= ~NAMED
+                elif not (tag == "header" and article):  # an article's own header holds its heading
+                    marks |= _marks(tag, m["attributes"])
+                stack.append((tag, marks, article or tag in ARTICLE_TAGS))
                 opened[tag] = opened.get(tag, 0) + 1
         elif opened.get(tag):
             while True:
