@@ -38,8 +38,9 @@ def word_count(text: Column) -> Column:
 
 
 def utf8(text: str | Column) -> Column:
-    """The UTF-8 bytes of a text, which Python workers get as bytes; null stays null."""
-    return (F.col(text) if isinstance(text, str) else text).cast("binary")
+    """The UTF-8 bytes of a text, which Python workers get as bytes; null stays null. A string of Spark may hold any
+    bytes: what is no UTF-8 becomes U+FFFD, so that workers can decode."""
+    return F.make_valid_utf8(F.col(text) if isinstance(text, str) else text).cast("binary")
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
