@@ -106,9 +106,10 @@ def search(
     Work is dealt in blocks of ``block`` ranks. A task holds one block and streams the queries whose
     windows reach it; per query and block it returns at most ``k`` rows.
 
-    Vectors that are null, empty, zero or hold null or non-finite components, vectors of another length
-    than most, and rows without id take no part. A row is no candidate of queries with its own id;
-    repeated rows count once. Ties go to the smaller id; fewer candidates give fewer rows.
+    Only vectors of one length have a distance: each length has curves, a window and blocks of its own, and
+    the driver holds a centre and ``sample`` queries of each. Vectors that are null, empty, zero or hold null or
+    non-finite components, and rows without id, take no part. A row is no candidate of queries with its
+    own id; repeated rows count once. Ties go to the smaller id; fewer candidates give fewer rows.
     """
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -120,55 +121,54 @@ def search(
 
     narrow = vectors.where(F.col("vec_id").isNotNull()).select(
         F.col("vec_id").cast("bigint"), F.coalesce(is_query, F.lit(False)).alias("query"), "embedding")
-    every = stored(narrow.mapInPandas(clean, "vec_id bigint, query boolean, vector binary").withColumn(
-        "uid", F.monotonically_increasing_id()), "points")
-    result = "query_id bigint, rank int, vec_id bigint, score double"
-    usual = every.groupBy(F.length("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if usual is None:
-        return vectors.sparkSession.createDataFrame([], result)
-    points = every.where(F.length("vector") == usual["n"])
-    dims = usual["n"] // 8
-
-    # centre and spread: sums over all rows
+    points = stored(narrow.mapInPandas(clean, "vec_id bigint, query boolean, vector binary").withColumn(
+        "uid", F.monotonically_increasing_id()).withColumn("dims", (F.octet_length("vector") / 8).cast("int")), "points")
+
+    # centre and spread per length: sums over all rows
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, squares, n = np.zeros(dims), 0.0, 0
         for batch in batches:
-            if len(batch):
-                x = _points(batch["vector"])
-                total, squares, n = total + x.sum(axis=0), squares + float((x * x).sum()), n + len(x)
-        yield pd.DataFrame({"dim": range(-2, dims), "total": [squares, float(n), *total]})
-
-    got = {r["dim"]: r["total"] for r in points.select("vector").mapInPandas(sums, "dim int, total double").groupBy("dim").agg(
-        F.sum("total").alias("total")).collect()}
-    rows = int(got[-1])
-    center = np.array([got[d] for d in range(dims)]) / rows
-    scale = max(float(np.sqrt(max(got[-2] / rows - float(center @ center), 0.0) / dims)), 1e-12)
+            for dims, own in batch.groupby("dims"):
+                x = _points(own["vector"])
+                yield pd.DataFrame({"dims": dims, "dim": range(-2, dims), "total": [float((x * x).sum()), float(len(x)), *x.sum(axis=0)]})
+
+    got = points.select("dims", "vector").mapInPandas(sums, "dims int, dim int, total double").groupBy("dims", "dim").agg(
+        F.sum("total").alias("total")).groupBy("dims").agg(F.sort_array(F.collect_list(F.struct("dim", "total"))).getField("total").alias("t")).collect()
+    if not got:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    rows = {r["dims"]: int(r["t"][1]) for r in got}
+    grid: dict[int, tuple[np.ndarray, float]] = {}
+    for r in got:
+        center = np.array(r["t"][2:]) / rows[r["dims"]]
+        spread = max(r["t"][0] / rows[r["dims"]] - float(center @ center), 0.0) / r["dims"]
+        grid[r["dims"]] = center, max(float(np.sqrt(spread)), 1e-12)
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                keys = curve_keys(_points(batch["vector"]), center, scale, curves, axes, bits, seed)
+            for dims, own in batch.groupby("dims"):
+                keys = curve_keys(_points(own["vector"]), *grid[dims], curves, axes, bits, seed)
                 yield pd.DataFrame({
-                    "uid": np.repeat(batch["uid"].to_numpy(), curves), "curve": np.tile(np.arange(curves), len(batch)), "key": keys.ravel()})
+                    "uid": np.repeat(own["uid"].to_numpy(), curves), "dims": dims, "curve": np.tile(np.arange(curves), len(own)), "key": keys.ravel()})
 
-    along = points.select("uid", "vector").mapInPandas(keyed, "uid bigint, curve int, key bigint")
-    ranks = stored(row_ranks(along, ["curve"], [F.col("key"), F.col("uid")], "at").select("uid", "curve", "at"), "curve-ranks")
+    along = points.select("uid", "dims", "vector").mapInPandas(keyed, "uid bigint, dims int, curve int, key bigint")
+    ranks = stored(row_ranks(along, ["dims", "curve"], [F.col("key"), F.col("uid")], "at").select("uid", "curve", "at"), "curve-ranks")
 
-    window = _window(points, ranks, rows, k, sample, recall, dims)
+    windows = _windows(points, ranks, rows, k, sample, recall)
+    # one row per length
+    sizes = F.broadcast(vectors.sparkSession.createDataFrame([(d, n, windows.get(d, 0)) for d, n in rows.items()], "dims int, rows bigint, window bigint"))
     placed = ranks.join(points, "uid").withColumn("own", F.floor(F.col("at") / block))
-    blocks = F.sequence(F.floor(F.greatest(F.col("at") - window, F.lit(0)) / block), F.floor(F.least(F.col("at") + window, F.lit(rows)) / block))
-    asked = placed.where("query").withColumn("block", F.explode(blocks)).select(
-        "curve", "block", F.lit(1).alias("ask"), "at", "vec_id", "vector")
-    held = placed.select("curve", F.col("own").alias("block"), F.lit(0).alias("ask"), "at", "vec_id", "vector")
+    blocks = F.sequence(F.floor(F.greatest(F.col("at") - F.col("window"), F.lit(0)) / block), F.floor(F.least(F.col("at") + F.col("window"), F.col("rows")) / block))
+    asked = placed.where("query").join(sizes, "dims").withColumn("block", F.explode(blocks)).select(
+        "dims", "curve", "block", F.lit(1).alias("ask"), "at", "vec_id", "vector")
+    held = placed.select("dims", "curve", F.col("own").alias("block"), F.lit(0).alias("ask"), "at", "vec_id", "vector")
 
     def reranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sorted by block, its own rows before the queries; holds one block and one batch."""
         now, parts, block_of = None, [], None
         for batch in batches:
             out = []
-            for (curve, which, ask), own in batch.groupby(["curve", "block", "ask"], sort=True):
-                if (curve, which) != now:
-                    now, parts, block_of = (curve, which), [], None
+            for (*where, ask), own in batch.groupby(["dims", "curve", "block", "ask"], sort=True):
+                if where != now:
+                    now, parts, block_of = where, [], None
                 if not ask:
                     parts.append((_points(own["vector"]), own["vec_id"].to_numpy(), own["at"].to_numpy()))
                     continue
@@ -179,12 +179,12 @@ def search(
                 x, ids, at = block_of
                 for a in range(0, len(own), 512):
                     part = own.iloc[a:a + 512]
-                    near = np.abs(part["at"].to_numpy()[:, None] - at[None, :]) <= window
+                    near = np.abs(part["at"].to_numpy()[:, None] - at[None, :]) <= windows[where[0]]
                     q, found, score = nearest_of(_points(part["vector"]), x, ids, part["vec_id"].to_numpy(), near, k)
                     out.append(pd.DataFrame({"query_id": part["vec_id"].to_numpy()[q], "vec_id": found, "score": score}))
             yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    found = held.unionByName(asked).repartition("curve", "block").sortWithinPartitions("curve", "block", "ask").mapInPandas(
+    found = held.unionByName(asked).repartition("dims", "curve", "block").sortWithinPartitions("dims", "curve", "block", "ask").mapInPandas(
         reranked, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     once = found.withColumn("_r", F.dense_rank().over(order)).where(F.col("_r") <= k).dropDuplicates(["query_id", "vec_id", "score"])
@@ -193,39 +193,48 @@ def search(
 
 def brute_force(points: DataFrame, queries: list[tuple[int, bytes]], k: int) -> DataFrame:
     """(query_id, vec_id, uid, score): the exact neighbours of a few queries, by one pass over all rows."""
-    ids = np.array([q for q, _ in queries], np.int64)
-    x = _points([v for _, v in queries])
+    by_size: dict[int, list[tuple[int, bytes]]] = {}
+    for i, v in queries:
+        by_size.setdefault(len(v), []).append((i, v))
+    asked = {n: (np.array([i for i, _ in own], np.int64), _points([v for _, v in own])) for n, own in by_size.items()}
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                q, at, score = nearest_of(x, _points(batch["vector"]), np.arange(len(batch)), np.full(len(x), -1), ids[:, None] != batch["vec_id"].to_numpy()[None, :], k)
+            for size, own in batch.groupby(batch["vector"].map(len)):
+                if size not in asked:
+                    continue
+                ids, x = asked[size]
+                allowed = ids[:, None] != own["vec_id"].to_numpy()[None, :]
+                q, at, score = nearest_of(x, _points(own["vector"]), np.arange(len(own)), np.full(len(x), -1), allowed, k)
                 yield pd.DataFrame({
-                    "query_id": ids[q], "vec_id": batch["vec_id"].to_numpy()[at], "uid": batch["uid"].to_numpy()[at], "score": score})
+                    "query_id": ids[q], "vec_id": own["vec_id"].to_numpy()[at], "uid": own["uid"].to_numpy()[at], "score": score})
 
     order = Window.partitionBy("query_id").orderBy("score", "vec_id", "uid")
     some = points.select("uid", "vec_id", "vector").mapInPandas(nearest, "query_id bigint, vec_id bigint, uid bigint, score double")
     return some.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
 
-def _window(points: DataFrame, ranks: DataFrame, rows: int, k: int, sample: int, recall: float, dims: int) -> int:
-    """How far apart in rank, on their best curve, ``recall`` of the sample's neighbours stand."""
-    few = points.where("query").orderBy(F.xxhash64("vec_id"), "uid").limit(sample).select("vec_id", "vector", "uid").collect()
+def _windows(points: DataFrame, ranks: DataFrame, rows: dict[int, int], k: int, sample: int, recall: float) -> dict[int, int]:
+    """Per length of vectors that has queries: how far apart in rank, on their best curve, ``recall`` of the sample's
+    neighbours stand."""
+    drawn = Window.partitionBy("dims").orderBy(F.xxhash64("vec_id"), "uid")
+    few = points.where("query").select("dims", "vec_id", "vector", "uid").withColumn("_n", F.row_number().over(drawn)).where(F.col("_n") <= sample).collect()
     if not few:
-        return 0
+        return {}
     spark = points.sparkSession
     truth = brute_force(points, [(r["vec_id"], bytes(r["vector"])) for r in few], k).select("query_id", F.col("uid").alias("_near"))
-    own = spark.createDataFrame([(r["vec_id"], r["uid"]) for r in few], "query_id bigint, _from bigint")
-    # ``sample`` x ``k`` rows at most
+    own = spark.createDataFrame([(r["vec_id"], r["uid"], r["dims"]) for r in few], "query_id bigint, _from bigint, dims int")
+    # ``sample`` x ``k`` rows per length at most
     pairs = truth.join(F.broadcast(own), "query_id")
     wanted = F.broadcast(pairs.select(F.explode(F.array("_near", "_from")).alias("uid")).distinct())
     where = ranks.join(wanted, "uid")
     gaps = pairs.join(where.select(F.col("uid").alias("_from"), "curve", F.col("at").alias("_a")), "_from").join(
         where.select(F.col("uid").alias("_near"), "curve", F.col("at").alias("_b")), ["_near", "curve"])
-    best = gaps.groupBy("query_id", "_from", "_near").agg(F.min(F.abs(F.col("_a") - F.col("_b"))).alias("gap")).select("gap").collect()
-    if not best:
-        return 0
-    return min(rows, int(np.ceil(np.quantile([r["gap"] for r in best], recall))))
+    best = gaps.groupBy("dims", "query_id", "_from", "_near").agg(F.min(F.abs(F.col("_a") - F.col("_b"))).alias("gap")).select("dims", "gap").collect()
+    found: dict[int, list[int]] = {r["dims"]: [] for r in few}
+    for r in best:
+        found[r["dims"]].append(r["gap"])
+    return {d: min(rows[d], int(np.ceil(np.quantile(gap, recall)))) if gap else 0 for d, gap in found.items()}
 
 
 def op9_neighbours(spark, sf_dir):
