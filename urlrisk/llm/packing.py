@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,8 +49,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.added = re.compile("|".join(map(re.escape, sorted(special))) or r"(?!)")
         ranks = {_raw(t): i for t, i in self.tokenizer.get_vocab().items() if t not in special}
         self.words = tiktoken.Encoding(
             "words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -77,7 +78,7 @@ class Encoder:
             known.update(zip(new, self._word_ids([before + w for w in new]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        lines = [t.split("\n") if (" ".join(t.split()) == t.replace("\n", " ")) else None for t in texts]
+        lines = [t.split("\n") if " ".join(t.split()) == t.replace("\n", " ") and not self.added.search(t) else None for t in texts]
         heads: set[str] = set()
         tails: set[str] = set()
         words = [None if own is None else [line.split(" ") for line in own] for own in lines]
