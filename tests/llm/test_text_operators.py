@@ -2,12 +2,14 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from urlrisk.llm import html_blocks, langid, packing, secrets, toxicity
@@ -164,13 +166,12 @@ def test_unlearned_language_is_rejected(spark, left_out):
 
 TEXTS = [
     None, "", " ", "one word", "two  spaces\n\nand lines \n here\t.", "Don't stop; it's 12,345.67!", "ß漢字   x\x85y\x1cz", "trailing ",
-    "a\nb\nc", "<|endoftext|> is text", " ".join(f"w{i}" for i in range(3000)), "x" * 30_000, "one word", "élan déjà\nvu 😀😀",
+    "a\nb\nc", "<|endoftext|> is text", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>\ny", " ".join(f"w{i}" for i in range(3000)), "x" * 30_000, "one word", "élan déjà\nvu 😀😀",
 ]
 
 
 def plain_ids(texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return [np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for t in texts]
 
 
@@ -269,6 +270,64 @@ def test_marks_within_an_article(spark, inside):
     assert html_blocks.main_text(listed, tree) == f"{PROSE} {PROSE}"
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    (f'<article><h2 id="cookies">How cookies work</h2><p id="sharing-data">{PROSE}</p><section id="related-work"><p>{OTHER}</p></section></article>',
+     f"How cookies work {PROSE} {OTHER}"),
+    (f'<article><div class="article-header"><h1>The title</h1></div><p>{PROSE}</p></article>', f"The title {PROSE}"),
+    (f'<body><form id="aspnetForm" method=post><nav><a href=/>Home</a></nav><article><h1>Head</h1><p>{PROSE}</p></article><input></form>', f"Head {PROSE}"),
+    ('<body><form id="form1"><div>' + f"<p>{PROSE}</p><p>{OTHER}</p>" * 4 + "</div></form>", " ".join([PROSE, OTHER] * 4)),
+    (f"<article><p>{PROSE}</p><form><p>{OTHER}</p></form></article>", PROSE),
+    (f"<body><p>{PROSE}</p><form><p>Your address is not shown to anyone who reads this page, see the rules for more on it.</p></form><p>{OTHER}</p>", f"{PROSE} {OTHER}"),
+    (f"<article><p title=it's>{PROSE}</p><p>It's {OTHER}</p></article>", f"{PROSE} It's {OTHER}"),
+    (f'<article><p title="never closed>{PROSE}</p><p>{OTHER}</p></article>', f"{PROSE} {OTHER}"),
+    (f'<article><p>{PROSE}</p><p><a href="/x">{OTHER}</a></p><p>{PROSE}</p><ul><li><a href="/y">Another page</a></ul></article>', f"{PROSE} {OTHER} {PROSE}"),
+    (f"<body><p>{PROSE}</p><ul><li>Salt</li><li>Pepper</li><li>Oil</li></ul><p>{OTHER}</p>", f"{PROSE} Salt Pepper Oil {OTHER}"),
+    (f"<article><p>{PROSE} <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math></p><object><p>{OTHER}</p></object></article>", f"{PROSE} x=2 {OTHER}"),
+    (f"<article><p>{PROSE}</p><noscript><p>{OTHER}</p></noscript><noscript>Enable JavaScript to view the comments.</noscript></article>", f"{PROSE} {OTHER}"),
+    (f"<article><p>{PROSE} 1 < 2 and</p><p>a <b", f"{PROSE} 1 < 2 and a <b"),
+    (f"<article><p>{PROSE}</p><section id=comments><p>{OTHER}</p></section></article>", PROSE),
+])
+def test_odd_pages(spark, page, text):
+    assert html_blocks.main_text(page, html_blocks.train(spark)) == text
+
+
+def seconds(work, *given):
+    """The least of three runs."""
+    taken = []
+    for _ in range(3):
+        start = time.perf_counter()
+        work(*given)
+        taken.append(time.perf_counter() - start)
+    return min(taken)
+
+
+@pytest.mark.parametrize("piece", [
+    "<script a", "<script ", "<a ", "<a x='", '<a x="', "<!--", "<!", "</", "<li><div>", "<ul><div>", "<p class=", "<a<", "<b =", "<title>", "&amp", "</script", "<svg><path d='",
+])
+def test_pages_in_linear_time(piece):
+    """Four times the length takes about four times as long, not sixteen."""
+    short, long = (seconds(html_blocks.blocks, "<li>" + piece * n + "<li>" * (n // 4) + " end") for n in (8000, 32000))
+    assert long < 9 * max(short, 0.01)
+
+
+def test_invalid_bytes(spark):
+    """What is no UTF-8 becomes U+FFFD; no operator fails on it."""
+    bad = docs_of(spark, ["password = 'a8Kq02LmZ91x' ", None]).withColumn(
+        "text", F.concat("text", F.unhex(F.lit("FF41C3")).cast("string"), F.lit(" token=abcdef1"))).withColumn("lang", F.unhex(F.lit("FF")).cast("string"))
+    spans = secrets.scan_secrets(bad).orderBy("doc_id").first().secret_spans
+    assert [s.kind for s in spans] == ["assign", "literal", "assign"]
+    assert secrets.redact(bad).orderBy("doc_id").first().text == "[SECRET]' \ufffdA\ufffd [SECRET]"
+    model = langid.fit(bad)
+    assert model.langs == ["\ufffd"] and langid.identify(bad, model).count() == 2
+    ids = plain_ids(["password = 'a8Kq02LmZ91x' \ufffdA\ufffd token=abcdef1", None])
+    check_packing([r.asDict() for r in packing.pack(bad).collect()], ids, 1024)
+    pages = bad.selectExpr("doc_id as page_id", "text as url", "concat('<article><p>', text, '</article>') as html")
+    row = html_blocks.extract(pages).orderBy("page_id").first()
+    assert row.text == "password = 'a8Kq02LmZ91x' \ufffdA\ufffd token=abcdef1"
+    assert toxicity.score(bad, None).count() == 2
+    assert toxicity.fit(bad, spark.createDataFrame([(0, 1), (1, 0)], "doc_id bigint, toxic int")) is None
+
+
 def test_given_pages(spark, sf_dir):
     html = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     for r in html_blocks.op8_html(spark, sf_dir).collect():
