@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from urlrisk.llm import curves, embedding_dedup, jaccard, links, mixing, sharding
+from urlrisk.llm import common, curves, embedding_dedup, jaccard, links, mixing, sharding
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, component_id int, _key string, rank int, copies int"
 
@@ -232,6 +232,27 @@ def test_neighbours(spark):
     assert curves.search(vectors_of(spark, []), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_every_length(spark):
+    """Vectors meet those of their own length only, whichever length is the most frequent."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=[2, 3, 24][i % 3] if i < 300 else 24).tolist(), 0) for i in range(900)]
+    got = defaultdict(list)
+    for r in curves.search(vectors_of(spark, rows), F.col("vec_id") % 20 == 0, block=64).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.score, r.vec_id))
+    hits = defaultdict(list)
+    for q in range(0, 900, 20):
+        x = np.array(rows[q][1], np.float32).astype(float)
+        other = [(float(np.sqrt(((np.array(v, np.float32).astype(float) - x) ** 2).sum())), i) for i, v, _ in rows if len(v) == len(x) and i != q]
+        assert len(got[q]) == 10 and got[q] == sorted(got[q])
+        hits[len(x)].append(len(set(got[q]) & set(sorted(other)[:10])) / 10)
+    assert all(np.mean(h) >= 0.9 for h in hits.values()) and set(hits) == {2, 3, 24}
+
+
+@pytest.mark.parametrize(("setting", "size"), [("64", 64), ("64b", 64), ("2k", 2048), ("64m", 64 << 20), (" 1GB", 1 << 30), ("-1", -1), ("0", 0)])
+def test_size_settings(setting, size):
+    assert common.size_setting(setting) == size
+
+
 def test_recall_on_given_vectors(spark):
     sf_dir = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()

@@ -23,11 +23,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_UNITS = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40, "p": 1 << 50}
+
+
+def size_setting(value: str) -> int:
+    """A number of bytes as Spark's settings write it: 64, 64b, 64k, 64m, 64mb ..."""
+    text = value.strip().lower()
+    number = text.rstrip("bkmgtp")
+    unit = text[len(number):]
+    return int(number) * _UNITS[unit[0] if unit else "b"]
+
+
 def light_batches(spark: SparkSession) -> None:
-    """Let Python workers get at most 1000 rows and 16 MB at a time, so that long texts don't add up."""
+    """Let Python workers get at most 1000 rows and 16 MB at a time, so that long texts don't add up.
+
+    Spark reads the two settings when a plan runs, after the operator has returned it, so they are lowered for the
+    session and stay so. A session that has them lower keeps its own.
+    """
     for key, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 16 << 20)):
         name = f"spark.sql.execution.arrow.{key}"
-        now = int(spark.conf.get(name).rstrip("b"))
+        now = size_setting(spark.conf.get(name))
         if now <= 0 or now > most:
             spark.conf.set(name, str(most))
 

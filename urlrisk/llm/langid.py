@@ -106,7 +106,7 @@ def fit(
     """
     light_batches(labelled.sparkSession)
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(
-        F.col("doc_id").cast("bigint"), utf8("text").alias("_text"), "lang")
+        F.col("doc_id").cast("bigint"), utf8("text").alias("_text"), F.make_valid_utf8("lang").alias("lang"))
     by_lang = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not by_lang:
         return None

@@ -154,7 +154,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     Overlapping spans are replaced as one. Null texts stay null.
     """
     light_batches(docs.sparkSession)
-    out = F.pandas_udf(_redacted(mark), "string")(F.col("text"))
+    out = F.pandas_udf(_redacted(mark), "string")(F.make_valid_utf8("text"))
     changed = docs.withColumn("text", out)
     return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else changed
 

@@ -228,7 +228,7 @@ def fit(
         ratio = odds / max(1e-9, label.sum() / max(1, (~label).sum()))
         tagger = learn([t.decode() for t in own["_text"]], label, ratio, lexicon, rounds)
         if tagger is None:
-            return pd.DataFrame({"word": [], "i": [], "own": [], "before": [], "after": [], "rest": []})
+            return pd.DataFrame({"word": [], "i": [], "own": [], "before": [], "after": [], "rest": []}, dtype=object)
         rest = [*tagger.move.ravel().tolist(), *tagger.doc.tolist()]
         names = ["", *tagger.words]
         return pd.DataFrame({
@@ -275,8 +275,8 @@ def score(docs: DataFrame, tagger: Tagger | None, base: float = 0.0) -> DataFram
     Every token of the whole text gets the marginal probability of the toxic tag, from the forward and
     backward recursions over its chain; tokens at 0.5 or more are toxic spans, with code point offsets.
     The highest marginal and the expected number of toxic tokens make the score. Null and empty texts are
-    scored as texts without tokens; without a tagger (nothing to learn from) every score is ``base``. One
-    pass, no shuffle, one output row per input row.
+    scored as texts without tokens; without a tagger (nothing to learn from) every score is ``base``. Invalid
+    UTF-8 is read as U+FFFD. One pass, no shuffle, one output row per input row, none for an empty table.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
