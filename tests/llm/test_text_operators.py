@@ -23,6 +23,16 @@ def docs_of(spark, texts, langs=None):
     return spark.createDataFrame(rows, DOCS)
 
 
+def seconds(work, *given):
+    """The least of three runs."""
+    taken = []
+    for _ in range(3):
+        start = time.perf_counter()
+        work(*given)
+        taken.append(time.perf_counter() - start)
+    return min(taken)
+
+
 # secret scan ------------------------------------------------------------------------------------------------------
 
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -98,11 +108,50 @@ def test_query_digest(spark, sf_dir):
     ('password = "{{ db_password }}"', []),
     ('password = "<your password here>"', []),
     ("password = $(cat /run/secrets/password)", []),
+    ('password = ("a8Kq02LmZ91x")', ["a8Kq02LmZ91x"]),  # brackets, lists, parts
+    ('password = (\n    "a8Kq02Lm"\n    "Z91x"\n)', ["a8Kq02Lm", "Z91x"]),
+    ('tokens = ["a8Kq02LmZ91x", "b7Jp13KnY82w"]', []),
+    ('token = ["a8Kq02LmZ91x", "b7Jp13KnY82w"]', ["a8Kq02LmZ91x", "b7Jp13KnY82w"]),
+    ('db_pwd = "a8Kq" + "02LmZ91x"', ["a8Kq", "02LmZ91x"]),
+    ('db_pwd = "a8Kq" + user + "02LmZ91x" + "y"', ["a8Kq", "02LmZ91x", "y"]),
+    ('db_pwd = "a8Kq02LmZ91x", title = "b7Jp13KnY82w"', ["a8Kq02LmZ91x"]),
+    ('password = """a8Kq02LmZ91x"""', ["a8Kq02LmZ91x"]),
+    ("client_secret = '''a8Kq02\nLmZ91x'''", ["a8Kq02\nLmZ91x"]),
+    ("PASSWORD=\na8Kq02LmZ91x\n", ["a8Kq02LmZ91x"]),  # the line after
+    ('db_pwd:\n  - "a8Kq02LmZ91x"\n', ["a8Kq02LmZ91x"]),
+    ("password:\n  changed yesterday, a8Kq02LmZ91x it was", []),
+    ("password:\n  title: a8Kq02LmZ91x\n", []),
+    ("db_password = DEFAULT\nDEFAULT = 'Zx81kQp0aa77'\n", ["Zx81kQp0aa77"]),  # a constant that comes later
+    ("A = B\nB = A\npassword = A\n", []),
+    ("C = 'Zx81kQp0aa77'\nB = C\nA = B\npassword = A\nC = 'other87Value'", ["Zx81kQp0aa77"]),
+    ('monkey_key = "a8Kq02LmZ91x"', []),
+    ('secret_santa_list = "a8Kq02LmZ91x"', []),
+    ('encryption_key = "a8Kq02LmZ91x"', ["a8Kq02LmZ91x"]),
+    ("self.password = self.default_password_value_x", []),
+    ("password = default_password_value", []),
+    ("curl --api-key=a8Kq02LmZ91x", ["a8Kq02LmZ91x"]),
+    ('password += "a8Kq02LmZ91x"', ["a8Kq02LmZ91x"]),
+    ("v: " + " | ".join(f"T{i}[]" for i in range(60)) + ' = "a8Kq02LmZ91x"', []),
+    ("pwd: " + " | ".join(f"T{i}[A<B>]" for i in range(60)) + ' = "a8Kq02LmZ91x"', ["a8Kq02LmZ91x"]),
 ])
 def test_literals(text, found):
     assert [text[a:b] for a, b, _, _ in secrets.literals(text)] == found
 
 
+@pytest.mark.parametrize("piece", [
+    "a:b|c[]", "T[] | ", "a: b<c[", 'a["b"]', "a=", "a = ", "a: ", "a='", 'a="', '\\"', '"""', "password = x\n", "a.", "a-", "a:b=c ", "[[<", "x = (",
+    "x = ['a', ", "a=\n", "'''", 'token="\\', "a: B | ", " a b c", "A = A\n", "a='b' + c + ", "x = [\n",
+])
+def test_lexer_in_linear_time(piece):
+    short, long = (seconds(secrets.literals, "v: " + piece * n + ";") for n in (4000, 16000))
+    assert long < 9 * max(short, 0.01)
+
+
+def test_long_chain_of_constants():
+    text = "".join(f"N{i} = N{i + 1}\n" for i in range(5000)) + 'N5000 = "a8Kq02LmZ91x"\npassword = N0\n'
+    assert [text[a:b] for a, b, _, _ in secrets.literals(text)] == ["a8Kq02LmZ91x"]
+
+
 def test_redaction(spark):
     out = {r.doc_id: r for r in secrets.redact(docs_of(spark, SECRETS)).collect()}
     assert out[0].text is None and out[2].text == SECRETS[2]
@@ -291,16 +340,6 @@ def test_odd_pages(spark, page, text):
     assert html_blocks.main_text(page, html_blocks.train(spark)) == text
 
 
-def seconds(work, *given):
-    """The least of three runs."""
-    taken = []
-    for _ in range(3):
-        start = time.perf_counter()
-        work(*given)
-        taken.append(time.perf_counter() - start)
-    return min(taken)
-
-
 @pytest.mark.parametrize("piece", [
     "<script a", "<script ", "<a ", "<a x='", '<a x="', "<!--", "<!", "</", "<li><div>", "<ul><div>", "<p class=", "<a<", "<b =", "<title>", "&amp", "</script", "<svg><path d='",
 ])
