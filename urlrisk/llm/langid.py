@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from urlrisk.llm.common import is_training, light_batches, utf8
+from urlrisk.plans.skew import lookup_join
 
 DIMS = 4096
 BINS = 24
@@ -92,24 +93,21 @@ def floors(near: np.ndarray, bins: np.ndarray, low: float, least: int = 50) -> n
 
 
 def fit(
-    labelled: DataFrame, clusters: int = 3, sample: int = 800, languages: int = 1000, slack: float = 0.45,
-    low: float = 0.03
+    labelled: DataFrame, clusters: int = 3, sample: int = 800, slack: float = 0.35, low: float = 0.1
 ) -> Model | None:
     """Learn from (doc_id, text, lang); rows without text or language teach nothing; None without any.
 
     Document frequencies cover every row: each task sends one count per dimension, merged in a shuffle.
-    Centroids come from about ``sample`` rows per language, chosen by a hash of the id, of the
-    ``languages`` most frequent ones; one task clusters one language. What the driver gets is at most
-    ``clusters`` x DIMS numbers per language: a cluster of less than LEAST_SHARE of the sample (often
-    one mislabelled row) is no centroid. A language rejects texts that are less similar to its nearest
-    centroid than ``slack`` times the ``low`` quantile of the sample rows of like length (``floors``).
+    Every value of ``lang`` is learned, invalid UTF-8 in it as U+FFFD. Centroids come from about ``sample`` rows per
+    language, chosen by a hash of the id; one task clusters one language. What the driver and each task get is
+    at most ``clusters`` x DIMS numbers per language (48 KB; a few thousand languages fit): a cluster of less than
+    LEAST_SHARE of the sample (often one mislabelled row) is no centroid. A language rejects texts that are less
+    similar to its nearest centroid than ``slack`` times the ``low`` quantile of the sample rows of like length
+    (``floors``).
     """
     light_batches(labelled.sparkSession)
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(
         F.col("doc_id").cast("bigint"), utf8("text").alias("_text"), F.make_valid_utf8("lang").alias("lang"))
-    by_lang = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not by_lang:
-        return None
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(DIMS, np.int64), 0
@@ -125,10 +123,11 @@ def fit(
     idf = np.log((1 + seen.get(-1, 0)) / (1 + df)) + 0.1
 
     steps = 1 << 20
-    share = F.create_map(*[F.lit(x) for r in by_lang for x in (r["lang"], min(steps, -(-steps * sample // r["count"])))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(steps))
     order = Window.partitionBy("lang").orderBy("_draw", "doc_id")
-    chosen = rows.withColumn("_draw", draw).where(F.col("_draw") < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0)))
+    share = rows.groupBy("lang").agg(F.ceil(F.lit(float(steps * sample)) / F.count(F.lit(1))).alias("_share"))
+    # every value has a row there, so the joined rows of a frequent one may be split
+    chosen = lookup_join(rows.withColumn("_draw", draw), share, "lang", "inner").where("_draw < _share")
     bounded = chosen.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= 2 * sample)
 
     def centroids(own: pd.DataFrame) -> pd.DataFrame:
@@ -179,7 +178,8 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", out: str
     A text is a TF-IDF vector of hashed character n-grams, compared by cosine with every centroid. Its
     language is that of the nearest one; the score is the softmax share of that language. It is rejected
     if even that one is too far for a text of its length, or if there is no letter (null and empty texts
-    too): then lang is ``und``. One pass, no shuffle; the model is a few numbers per language.
+    too): then lang is ``und``. Texts of any length are read whole, invalid UTF-8 as U+FFFD; an empty table stays
+    empty. One pass, no shuffle; the model is a few numbers per language.
     """
     light_batches(docs.sparkSession)
     kind = "struct<lang:string,score:double,rejected:boolean>"
