@@ -47,7 +47,7 @@ def plain_verdict(url, default="allow"):
 def test_url_lists(spark, how):
     pages = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(URLS)], "page_id bigint, url string, host string, filter int")
     array = url_lists.build(spark.createDataFrame(RULES, "verdict string, host string, path string"), **how)
-    assert (array.folder is None) == ("ship_up_to" in how) and (array.volume_bits > 0) == ("volume_bytes" in how)
+    assert (array.files is None) == ("ship_up_to" in how) and (array.volume_bits > 0) == ("volume_bytes" in how)
     judged = url_lists.judge(pages, array, default="block")
     assert judged.columns == pages.columns
     rows = {r.page_id: tuple(r["filter"]) for r in judged.collect()}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import os
 from collections.abc import Iterator
 from functools import cache
@@ -26,11 +25,11 @@ _PARTS = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 
 
 class RuleArray(NamedTuple):
-    """A built list: the folder that Spark ships to executors (None: too large, probe by shuffle), the number of
-    leading digest bits that name a volume, the lengths of rule paths and of the longest host in bytes, the bits
+    """A built list: the files that Spark ships to executors, by volume (None: too large, probe by shuffle), the
+    number of leading digest bits that name a volume, the lengths of rule paths and of the longest host in bytes, the bits
     of a digest that count, and the rules themselves as (key, verdict)."""
 
-    folder: str | None
+    files: dict[int, str] | None
     volume_bits: int
     path_lengths: tuple[int, ...]
     longest_host: int
@@ -61,8 +60,8 @@ def build(rules: DataFrame, volume_bytes: int = 64 << 20, ship_up_to: int = 4 <<
 
     Spark sorts the 64-bit digests into volumes of about ``volume_bytes``, by their leading bits, and a task per
     volume writes one file to shared storage: digests in order, ends of strings, verdicts, strings. Spark
-    then fetches the folder to every executor once, where workers map it, so the memory in use is that of the
-    touched pages. ``ship_up_to`` bounds the folder; a larger list is not shipped but joined by shuffle, with
+    then fetches the files to every executor once, where workers map them, so the memory in use is that of the
+    touched pages. ``ship_up_to`` bounds their size; a larger list is not shipped but joined by shuffle, with
     the same result. ``digest_bits`` below 64 provokes collisions, which change nothing but time.
     """
     own, tail = F.translate("host", UPPER, LOWER), F.col("path")
@@ -87,13 +86,17 @@ def build(rules: DataFrame, volume_bytes: int = 64 << 20, ship_up_to: int = 4 <<
             (own["verdict"] == "block").to_numpy().astype(np.uint8).tobytes(), *keys])
         return pd.DataFrame({"volume": [int(own["volume"].iloc[0])], "value": [blob]})
 
-    folder = scratch_path(keyed.sparkSession, "url-array")
     volumes = keyed.withColumn("volume", volume).select("volume", "digest", F.col("key").cast("binary"), "verdict")
-    # the text writer puts out the bytes of a string as they are, on any file system that Spark reaches
-    volumes.groupBy("volume").applyInPandas(packed, "volume int, value binary").select(
-        "volume", F.col("value").cast("string")).write.partitionBy("volume").text(folder)
-    keyed.sparkSession.sparkContext.addFile(folder, recursive=True)
-    return RuleArray(os.path.basename(folder), volume_bits, lengths, longest, digest_bits, keyed.select("key", "verdict"))
+    blobs = stored(volumes.groupBy("volume").applyInPandas(packed, "volume int, value binary"), "url-volumes")
+    files: dict[int, str] = {}
+    for r in blobs.select("volume").collect():
+        folder = scratch_path(keyed.sparkSession, "url-array")
+        # the text writer puts out the bytes of a string as they are, on any file system that Spark reaches
+        blobs.where(F.col("volume") == r["volume"]).select(F.col("value").cast("string")).coalesce(1).write.text(folder)
+        file = keyed.sparkSession.read.text(folder).inputFiles()[0]
+        keyed.sparkSession.sparkContext.addFile(file)
+        files[r["volume"]] = os.path.basename(file)
+    return RuleArray(files, volume_bits, lengths, longest, digest_bits, keyed.select("key", "verdict"))
 
 
 class Volume:
@@ -124,10 +127,9 @@ class Volume:
 
 
 @cache
-def _volume(folder: str, volume: int) -> Volume | None:
-    """A worker's mapping of a volume; None if no rule fell into it."""
-    files = glob.glob(os.path.join(SparkFiles.get(folder), f"volume={volume}", "part-*"))
-    return Volume(files[0]) if files else None
+def _volume(file: str) -> Volume:
+    """A worker's mapping of a volume."""
+    return Volume(SparkFiles.get(file))
 
 
 def candidates(own: bytes, tail: bytes, lengths: tuple[int, ...], longest: int) -> list[tuple[bytes, bytes]]:
@@ -155,10 +157,10 @@ def judge(pages: DataFrame, array: RuleArray, url: str = "url", default: str = "
     array. A list that was too large to ship is joined by shuffle, one row per candidate.
     """
     taken = pages.withColumn(out, F.struct(host(F.col(url)).alias("host"), path(F.col(url)).alias("path")))
-    if array.folder is None:
+    if array.files is None:
         return _by_shuffle(taken, array, default, out)
     light_batches(pages.sparkSession)
-    folder, volume_bits, lengths, longest, digest_bits = array[:5]
+    files, volume_bits, lengths, longest, digest_bits = array[:5]
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -177,9 +179,9 @@ def judge(pages: DataFrame, array: RuleArray, url: str = "url", default: str = "
                 digests = digests >> (64 - digest_bits)
             volumes = digests.view(np.uint64) >> np.uint64(64 - volume_bits) if volume_bits else np.zeros(len(asked), np.uint64)
             for v in np.unique(volumes).tolist():
-                if (volume := _volume(folder, v)) is None:
+                if v not in files:  # no rule fell into it
                     continue
-                some = np.flatnonzero(volumes == v)
+                some, volume = np.flatnonzero(volumes == v), _volume(files[v])
                 hits = volume.find(digests[some], [asked[j] for j in some])
                 for j, at in zip(some[hits >= 0].tolist(), hits[hits >= 0].tolist(), strict=True):
                     best = found[of[j]]
