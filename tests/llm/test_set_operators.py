@@ -289,6 +289,42 @@ def test_shards(spark):
     assert {r.slot for r in sharding.kd_shards(docs_of(spark, rows[:3]), shards=7).collect()} == {0}
 
 
+def plain_shards(rows, shards):
+    """rows: (id, size, crc32, dimensions). The k-d tree by recursion over whole lists."""
+    out = {}
+
+    def cut(own, first, due):
+        if due == 1 or not own:
+            out.update({r: first for r in own})
+            return
+        wide = [max(r[3][d] for r in own) - min(r[3][d] for r in own) for d in range(2)]
+        axis = wide.index(max(wide))
+        own.sort(key=lambda r: (r[3][axis], r[2], r[0] is None, r[0] or 0))
+        left, total, done, kept = due // 2, sum(r[1] for r in own), 0, 0
+        for r in own:
+            if (2 * done + r[1]) * due < 2 * total * left:
+                kept += 1
+            done += r[1]
+        cut(own[:kept], first, left)
+        cut(own[kept:], first + left, due - left)
+
+    cut(list(rows), 0, shards)
+    return out
+
+
+@pytest.mark.parametrize("shards", [1, 2, 7, 40])
+def test_shards_like_a_plain_tree(spark, shards):
+    rng = random.Random(6)
+    words = ["alpha", "beta", "gamma", "delta"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 80))), rng.choice(["en", "de", "fr", None])) for i in range(500)]
+    rows += [(500 + i, "one text of many copies", "en") for i in range(250)] + [(900, None, "de"), (None, "no id", "fr"), (901, "", None)]
+    docs = spark.createDataFrame([(*r, 0, 0.5) for r in rows], "doc_id bigint, text string, lang string, shard int, _d0 double")
+    got = {r.doc_id: r.shard for r in sharding.kd_shards(docs, shards=shards).collect()}
+    plain = [(i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()),
+              (float(np.log2(len((t or "").encode()) + 1)) / 32, zlib.crc32(g.encode()) / 2**32 if g is not None else 1.0)) for i, t, g in rows]
+    assert got == {r[0]: shard for r, shard in plain_shards(plain, shards).items()}
+
+
 def test_shards_are_native(spark, sf_dir):
     plan = sharding.op5_sharding(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

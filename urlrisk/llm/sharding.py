@@ -12,17 +12,15 @@ from urlrisk.plans.skew import row_ranks, running_totals
 
 
 def metadata(text: Column, lang: Column) -> dict[str, Column]:
-    """The default dimensions, each about 0 to 1: length, language and digest of the text.
+    """The default dimensions, each about 0 to 1: length of the text and its language.
 
-    All three follow from the text (and its language), so equal texts stand side by side in every
-    dimension and only a cut that runs through their group separates them. Names are placed by hash;
-    null counts as 1.
+    Equal texts of a language stand side by side in both, as ties go by digest, so only a cut that runs through their
+    group separates them. Languages are placed by hash; null counts as 1.
     """
     size = F.coalesce(F.octet_length(text), F.lit(0))
     return {
         "length": F.log2(size + 1) / 32.0,
         "lang": F.coalesce(F.crc32(lang.cast("binary")) / float(2**32), F.lit(1.0)),
-        "digest": F.coalesce(F.crc32(text.cast("binary")) / float(2**32), F.lit(1.0)),
     }
 
 
