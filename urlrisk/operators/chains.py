@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from urlrisk.functions import scores as S
 from urlrisk.functions import text as X
 from urlrisk.functions import urls as U
 from urlrisk.plans.lineage import cut
+from urlrisk.plans.skew import lookup_join
 
 HTTP_REDIRECTS = [301, 302, 303, 307, 308]
 
@@ -56,60 +55,90 @@ def next_hops(hop_log: DataFrame, profile: str = "B") -> DataFrame:
     )
 
 
-def follow(urls: DataFrame, hops: DataFrame, max_hops: int, stop_at_loops: bool = True) -> DataFrame:
-    """Follow every distinct URL through the successor table.
+def successors(hops: DataFrame) -> DataFrame:
+    """``(current, path, next_url)``: one row per logged URL with its own hop as a path of one.
 
     Of several responses for a URL the latest counts (by ``fetched_at`` where ``hops`` has it, else any one,
-    always the same). Result: ``url, hops array<struct<hop,url,status_code,redirect_type>>, loop_detected, errors``, plus
-    ``next_url``, where the chain would have gone on. ``urls`` are made distinct here, so a repeated URL
-    is followed once. A URL missing from the table is a dead end. The successor table is written out
-    once, so page bodies are read once and not per hop. Only chains still moving take part in the next
-    round; there are at most ``max_hops + 1`` rounds.
+    always the same).
     """
     response = ("status_code", "next_url", "hop_type", "hop_error")
     newest = F.max(F.struct(*[c for c in ("fetched_at",) if c in hops.columns], *response)).alias("_r")
-    step = cut(hops.groupBy(F.col("url").alias("current")).agg(newest).select(
-        "current", *[f"_r.{c}" for c in response], F.lit(True).alias("known"),
-    ))
-    hop_type = "array<struct<hop:int,url:string,status_code:int,redirect_type:string>>"
-    moving = urls.select("url").where("url is not null").distinct().select(
-        "url", F.col("url").alias("current"), F.array().cast(hop_type).alias("hops"),
-        F.array().cast("array<string>").alias("errors"),
-    )
-    finished = []
-    for index in range(max_hops + 1):
-        looked = moving.join(step, "current", "left")
-        record = F.struct(
-            F.lit(index).alias("hop"), F.col("current").alias("url"), F.col("status_code"),
-            F.coalesce("hop_type", F.lit("none")).alias("redirect_type"),
-        )
-        at = F.lit(f" at hop {index}")
-        error = F.when(F.col("known").isNull(), F.concat(
-            F.lit("Connect error"), at, F.lit(" ("), F.col("current"), F.lit(")")
-        )).when(F.col("hop_error").isNotNull(), F.concat(F.col("hop_error"), at))
-        grown = looked.select(
-            "url", "next_url", F.concat("hops", F.array(record)).alias("hops"),
-            F.concat("errors", F.array_compact(F.array(error))).alias("errors"),
-        )
-        seen = F.exists("hops", lambda h: h["url"] == F.col("next_url"))
-        can_loop = stop_at_loops and index < max_hops
-        looped = F.coalesce(seen, F.lit(False)) if can_loop else F.lit(False)
-        loop_error = F.when(F.col("loop_detected"), F.concat(
-            F.lit(f"Redirect loop at hop {index + 1}: "), F.col("next_url")
-        ))
-        grown = cut(
-            grown.withColumn("loop_detected", looped)
-            .withColumn("errors", F.concat("errors", F.array_compact(F.array(loop_error))))
-        )
-        done = F.col("next_url").isNull() | F.col("loop_detected")
-        if index == max_hops:
-            finished.append(grown)
-            break
-        finished.append(grown.where(done))
-        moving = grown.where(~done).select("url", F.col("next_url").alias("current"), "hops", "errors")
+    latest = hops.groupBy(F.col("url").alias("current")).agg(newest)
+    own = F.struct(
+        F.col("current").alias("url"), F.col("_r.status_code").cast("int").alias("status_code"),
+        F.col("_r.hop_type").alias("redirect_type"), F.col("_r.hop_error").alias("hop_error"), F.lit(True).alias("known"))
+    return latest.select("current", F.array(own).alias("path"), F.col("_r.next_url").alias("next_url"))
+
+
+def _dead_end(url: Column) -> Column:
+    """The path of a URL that was never fetched."""
+    return F.array(F.struct(
+        url.alias("url"), F.lit(None).cast("int").alias("status_code"), F.lit("none").alias("redirect_type"),
+        F.lit(None).cast("string").alias("hop_error"), F.lit(False).alias("known")))
+
+
+def paths(steps: DataFrame, length: int) -> DataFrame:
+    """``(current, path, next_url)`` with paths of ``length`` hops or more, where the chain is that long.
+
+    By pointer doubling: each URL has one successor, so the path of twice the length is the URL's own path and the
+    one of where it leads. A round is one join of what still moves with the table, and there are
+    log2(``length``) of them; a chain that has ended takes part in none. A path that starts at a URL which was
+    never fetched is a dead end.
+    """
+    reach = 1
+    while reach < length:
+        done = steps.where("next_url is null")
+        moving = steps.where("next_url is not null")
         if moving.isEmpty():
             break
-    return reduce(DataFrame.unionByName, finished)
+        ahead = steps.select(F.col("current").alias("next_url"), F.col("path").alias("_path"), F.col("next_url").alias("_next"), F.lit(True).alias("_known"))
+        longer = lookup_join(moving, ahead, "next_url").select(
+            "current", F.concat("path", F.coalesce("_path", _dead_end(F.col("next_url")))).alias("path"),
+            F.when(F.col("_known"), F.col("_next")).alias("next_url"))
+        steps = cut(done.unionByName(longer))
+        reach *= 2
+    return steps
+
+
+def follow(urls: DataFrame, hops: DataFrame, max_hops: int, stop_at_loops: bool = True) -> DataFrame:
+    """Follow every distinct URL through the successor table.
+
+    Result: ``url, hops array<struct<hop,url,status_code,redirect_type>>, loop_detected, errors``, plus
+    ``next_url``, where the chain would have gone on. ``urls`` are made distinct here, so a repeated URL
+    is followed once. A URL missing from the table is a dead end. The successor table is written out
+    once, so page bodies are read once and not per hop; paths double in length each round, and loops and
+    the limit are found on the finished paths, which hold ``2 * max_hops + 2`` hops at most.
+    """
+    most = max_hops + 1
+    asked = urls.select(F.col("url").alias("current")).where("url is not null").distinct()
+    known = paths(cut(successors(hops)), most)
+    found = lookup_join(asked, known, "current").select(
+        F.col("current").alias("url"), F.coalesce("path", _dead_end(F.col("current"))).alias("path"), "next_url")
+    visited = F.transform("path", lambda h: h["url"])
+    # positions (from 1) of hops whose successor came before
+    nexts = F.concat(F.slice(visited, 2, 2 * most), F.array("next_url"))
+    returns = F.filter(
+        F.sequence(F.lit(1), F.least(F.size("path"), F.lit(max_hops))),
+        lambda i: F.array_position(visited, F.get(nexts, i - 1)).between(1, i))
+    staged = found.withColumn("_back", F.get(returns, F.lit(0)) if stop_at_loops and max_hops else F.lit(None).cast("int"))
+    staged = staged.withColumn("_size", F.coalesce("_back", F.least(F.size("path"), F.lit(most))))
+    staged = staged.withColumns({
+        "_after": F.get(nexts, F.col("_size") - 1), "_path": F.slice("path", F.lit(1), F.col("_size"))})
+
+    def record(h: Column, i: Column) -> Column:
+        return F.struct(i.alias("hop"), h["url"].alias("url"), h["status_code"].alias("status_code"), h["redirect_type"].alias("redirect_type"))
+
+    def error(h: Column, i: Column) -> Column:
+        at = F.concat(F.lit(" at hop "), i.cast("string"))
+        return F.when(~h["known"], F.concat(F.lit("Connect error"), at, F.lit(" ("), h["url"], F.lit(")"))).when(
+            h["hop_error"].isNotNull(), F.concat(h["hop_error"], at))
+
+    loop = F.when(F.col("_back").isNotNull(), F.concat(
+        F.lit("Redirect loop at hop "), F.col("_back").cast("string"), F.lit(": "), F.col("_after")))
+    return cut(staged.select(
+        "url", F.col("_after").alias("next_url"), F.transform("_path", record).alias("hops"),
+        F.array_compact(F.concat(F.transform("_path", error), F.array(loop))).alias("errors"),
+        F.col("_back").isNotNull().alias("loop_detected")))
 
 
 # -- per-hop expressions ---------------------------------------------------------------------------

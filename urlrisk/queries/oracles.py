@@ -172,9 +172,9 @@ relation("corpus", [], """
     CASE WHEN page_id % 16 IN (0, 1, 2, 3, 7, 8, 9, 10, 11) THEN 1 ELSE 0 END AS result
   FROM pages UNION ALL SELECT page_id + 224000000, url, 0 FROM pages WHERE page_id % 16 <= 12""")
 relation("edges", ["corpus"], """
-  SELECT a.url AS src, b.url AS dst FROM corpus a JOIN corpus b
-  ON (a.page_id % 14 < 4 AND b.page_id = a.page_id + 1)
-  OR (a.page_id % 28 = 4 AND b.page_id = a.page_id - 1)""")
+  SELECT a.url AS src, b.url AS dst FROM corpus a JOIN corpus b ON b.page_id = CASE
+    WHEN a.page_id = 40 THEN 38 WHEN a.page_id BETWEEN 20 AND 39 THEN a.page_id + 1 WHEN a.page_id % 14 = 10 THEN 45
+    WHEN a.page_id % 14 < 4 THEN a.page_id + 1 WHEN a.page_id % 28 = 4 THEN a.page_id - 1 END""")
 relation("hop_pages", [], """
   SELECT page_id, url, CASE page_id % 16
     WHEN 13 THEN concat('<meta http-equiv="refresh" content="0; url=/next">', html)
@@ -188,7 +188,7 @@ relation("hop_log", ["corpus", "edges", "hop_pages"], """
     CASE WHEN c.page_id % 14 = 6 THEN 'image/png' ELSE 'text/html' END AS content_type,
     h.html AS body
   FROM corpus c JOIN hop_pages h ON c.page_id % 224000000 = h.page_id LEFT JOIN edges e ON e.src = c.url
-  WHERE c.page_id % 14 <> 9""")
+  WHERE c.page_id % 14 <> 9 OR c.page_id BETWEEN 20 AND 40""")
 relation("scan_log", ["corpus"], """
   SELECT e.event_id, e.ts, e.user_id, c.page_id, c.url
   FROM events e, (SELECT count(*) AS n FROM pages) k, corpus c
@@ -213,7 +213,7 @@ relation("grown", ["catalog", "bad_hosts"], """
   SELECT pattern, 'malicious' FROM bad_hosts WHERE pattern NOT IN (SELECT pattern FROM catalog WHERE kind = 'malicious')""")
 relation("reach_all", ["edges"], """
   SELECT src, dst, 1 AS dist FROM edges
-  UNION SELECT r.src, e.dst, r.dist + 1 FROM reach_all r JOIN edges e ON e.src = r.dst WHERE r.dist < 12""")
+  UNION SELECT r.src, e.dst, r.dist + 1 FROM reach_all r JOIN edges e ON e.src = r.dst WHERE r.dist < 30""")
 relation("reach", ["reach_all"],
          "SELECT src, dst, min(dist) AS dist FROM reach_all WHERE src <> dst GROUP BY src, dst")
 relation("depths", ["corpus", "reach"], """
@@ -730,6 +730,7 @@ def _prefix_positions(source: str, shape: K.Shape) -> str:
     return f"SELECT unnest({double_hashed('domain', shape)}) AS position, domain FROM {source}"
 
 
+relation("signed", ["corpus"], f"SELECT url, {_minhash('url', 10)} AS m FROM (SELECT DISTINCT url FROM corpus WHERE length(url) >= 3)")
 SLICES = K.Slices(200)
 COUNTING, TINY = K.Shape.rounded(2000, 0.01), K.Shape.rounded(50, 0.05)
 FP_BUCKETS = K.fingerprint_buckets(2000)
@@ -822,6 +823,11 @@ def oracle_sql() -> dict[str, str]:
       ELSE {ORIGIN} || {part('url', 3)} || '?only=query' END AS resolved FROM corpus""", "corpus")
     add("b18_meta_refresh", f"SELECT url, {soft(META)} AS target FROM (SELECT url, html AS body FROM hop_pages)", "hop_pages")
     add("b19_script_redirect", f"SELECT url, {soft(SCRIPT)} AS target FROM (SELECT url, html AS body FROM hop_pages)", "hop_pages")
+    add("b22_similar_urls", f"""SELECT a.url AS first_url, b.url AS second_url, {r6("len(list_filter(list_zip(a.m, b.m), lambda z: z[1] = z[2])) / 10")} AS similarity
+      FROM signed a JOIN signed b ON a.url < b.url WHERE len(list_filter(list_zip(a.m, b.m), lambda z: z[1] = z[2])) >= 8""", "signed")
+    add("b22_most_similar", f"""SELECT url, count(*) AS similar, arg_min(other, (-same, other)) AS best, {r6("max(same) / 10")} AS best_similarity
+      FROM (SELECT a.url, b.url AS other, len(list_filter(list_zip(a.m, b.m), lambda z: z[1] = z[2])) AS same
+        FROM signed a JOIN signed b ON a.url <> b.url) WHERE same >= 8 GROUP BY url""", "signed")
     add("b22_minhash_similarity", f"""SELECT src, dst, {r6("len(list_filter(list_zip(a, b), lambda z: z[1] = z[2])) / 10")} AS similarity
       FROM (SELECT src, dst, {_minhash('src', 10)} AS a, {_minhash('dst', 10)} AS b FROM edges)""", "edges")
     # C

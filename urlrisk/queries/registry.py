@@ -25,6 +25,7 @@ from urlrisk.operators import (
     model,
     ranking,
     scoring,
+    similar,
     sketches,
 )
 from urlrisk.plans import scan
@@ -305,6 +306,16 @@ def b22_minhash_similarity(spark, sf):
     return tidy(R.edges(spark, sf).select("src", "dst", similarity.alias("similarity")))
 
 
+@register
+def b22_similar_urls(spark, sf):
+    return tidy(similar.similar_urls(R.corpus(spark, sf)))
+
+
+@register
+def b22_most_similar(spark, sf):
+    return tidy(similar.most_similar(R.corpus(spark, sf)))
+
+
 # -- C: features -----------------------------------------------------------------------------------
 def _features(spark, sf, profile):
     return features.extract_features(R.corpus(spark, sf), profile)

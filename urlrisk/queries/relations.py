@@ -13,6 +13,8 @@ from urlrisk.plans.skew import spread
 
 #: Added to a page's id for its given URL.
 GIVEN = 224_000_000
+#: First and last page of the long chain, and the page that every fourteenth one leads to.
+LONG_CHAIN, HUB = (20, 40), 45
 MALICIOUS_KINDS = [0, 1, 2, 3, 7, 8, 9, 10, 11]
 
 
@@ -67,11 +69,14 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst): chains of up to four hops and two-node cycles."""
+    """(src, dst): chains of up to four hops, two-node cycles, a chain of twenty hops with a loop behind it, and a hub."""
     c = corpus(spark, sf_dir).select("page_id", "url")
+    page = F.col("page_id")
     target = (
-        F.when(F.col("page_id") % 14 < 4, F.col("page_id") + 1)
-        .when(F.col("page_id") % 28 == 4, F.col("page_id") - 1)
+        F.when(page.between(*LONG_CHAIN), F.when(page == LONG_CHAIN[1], page - 2).otherwise(page + 1))
+        .when(page % 14 == 10, F.lit(HUB))
+        .when(page % 14 < 4, page + 1)
+        .when(page % 28 == 4, page - 1)
     )
     moved = c.select(F.col("url").alias("src"), target.alias("page_id")).where("page_id is not null")
     return moved.join(c.withColumnRenamed("url", "dst"), "page_id").select("src", "dst")
@@ -97,7 +102,8 @@ def hop_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     moves = edges(spark, sf_dir).select(F.col("src").alias("url"), "dst")
     kind = F.col("page_id") % 14
     bodies = bodies.withColumnRenamed("page_id", "_page")
-    joined = c.join(bodies, c["page_id"] % GIVEN == bodies["_page"]).join(moves, "url", "left").where(kind != 9)
+    joined = c.join(bodies, c["page_id"] % GIVEN == bodies["_page"]).join(moves, "url", "left").where(
+        (kind != 9) | F.col("page_id").between(*LONG_CHAIN))
     moved = F.col("dst").isNotNull()
     return joined.select(
         "url",
