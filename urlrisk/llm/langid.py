@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from urlrisk.llm.common import is_training, light_batches, utf8
-from urlrisk.plans.skew import lookup_join
 
 DIMS = 4096
 BINS = 24
@@ -126,8 +125,8 @@ def fit(
     draw = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(steps))
     order = Window.partitionBy("lang").orderBy("_draw", "doc_id")
     share = rows.groupBy("lang").agg(F.ceil(F.lit(float(steps * sample)) / F.count(F.lit(1))).alias("_share"))
-    # every value has a row there, so the joined rows of a frequent one may be split
-    chosen = lookup_join(rows.withColumn("_draw", draw), share, "lang", "inner").where("_draw < _share")
+    # one small row per language, of which the driver gets 48 KB each below
+    chosen = rows.withColumn("_draw", draw).join(F.broadcast(share), "lang").where("_draw < _share")
     bounded = chosen.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= 2 * sample)
 
     def centroids(own: pd.DataFrame) -> pd.DataFrame:
