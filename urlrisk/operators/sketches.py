@@ -480,7 +480,11 @@ def vote(df: DataFrame, host: str, ensemble: Ensemble) -> DataFrame:
     }
     for name, (positions, members) in filters.items():
         staged = add_flag(staged, host, positions(), members, f"vote_{name}")
-    staged = _slice_flag(staged, host, ensemble.slices, "vote_sliced").drop(*WORDS)
+    first_shape, first = ensemble.slices[0]
+    if len(ensemble.slices) == 1 and first is ensemble.counting and first_shape == ensemble.counting_shape:
+        staged = staged.withColumn("vote_sliced", F.col("vote_counting")).drop(*WORDS)  # the same positions
+    else:
+        staged = _slice_flag(staged, host, ensemble.slices, "vote_sliced").drop(*WORDS)
     score = F.lit(0.0)
     for name, weight in C.VOTE_WEIGHTS.items():
         score = score + F.when(F.col(f"vote_{name}"), weight).otherwise(0.0)

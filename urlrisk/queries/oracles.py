@@ -880,6 +880,7 @@ def oracle_sql() -> dict[str, str]:
     # F
     word_bits = "bit_or(CAST(1 AS BIGINT) << CAST(position % 63 AS INT))"
     add("f2_bloom_build", f"SELECT position // 63 AS word, {word_bits} AS bits FROM positions_all GROUP BY 1", "positions_all")
+    add("f2_grown_filter", f"SELECT position // 63 AS word, {word_bits} AS bits FROM positions_all GROUP BY 1", "positions_all")
     add("f3_bloom_probe", f"SELECT url, {flag('in_filter')} AS in_filter FROM probed_small", "probed_small")
     add("f3_bloom_probe_shuffled", f"""SELECT s.event_id, {flag('in_filter')} AS in_filter FROM scan_log s
       JOIN probed_small p ON p.url = s.url""", "scan_log", "probed_small")
@@ -897,6 +898,7 @@ def oracle_sql() -> dict[str, str]:
       SELECT domain, bool_and(position IN (SELECT position FROM ({_prefix_positions("(SELECT domain FROM hosts WHERE result = 1)", TINY)}))) AS hit
       FROM ({_prefix_positions("(SELECT DISTINCT domain FROM hosts)", TINY)}) GROUP BY domain) p ON p.domain = h.domain""", "hosts")
     add("f6_sliced_filter", _sliced_select(), "corpus")
+    add("f6_grown_filter", "SELECT url, CAST(1 AS BIGINT) AS contained FROM corpus WHERE result = 1", "corpus")
     code = fingerprint("domain", FP_BUCKETS)
     add("f7_fingerprint_filter", f"""SELECT url, domain, {flag(f'''{code} IN (SELECT code FROM
       (SELECT {code} AS code, sum(CASE WHEN result = 1 THEN 1 ELSE 0 END) - sum(CASE WHEN page_id % 16 = 10 THEN 1 ELSE 0 END) AS n
@@ -908,6 +910,12 @@ def oracle_sql() -> dict[str, str]:
     bad_fps = f"(SELECT list({fingerprint('pattern', K.BUCKETS)}) FROM bad_hosts WHERE NOT starts_with(pattern, 'secure-paypal'))"
     add("f8_vote_data_lists", f"SELECT url, {r6('bloom_score')} AS bloom_score, bloom_result FROM ({vote_select('hosts', bad_pos, safe_pos, all_pos, bad_fps)})",
         "hosts", "bad_hosts", "safe_hosts")
+    add("f9_grown_ensemble", f"SELECT url, {r6('bloom_score')} AS bloom_score, bloom_result FROM ({vote_select('hosts', bad_pos, safe_pos, all_pos, bad_fps)})",
+        "hosts", "bad_hosts", "safe_hosts")
+    add("f9_grown_stats", f"""SELECT (SELECT len({bad_fps})) AS blacklist_entries, round_even((SELECT len({bad_fps})) / {K.BUCKETS * 4}, 3) AS fingerprint_load,
+      round_even((SELECT len(list_distinct({bad_pos}))) / {K.COUNTING_SHAPE.m}, 3) AS counting_load,
+      round_even((SELECT len(list_distinct({safe_pos}))) / {K.ALLOW_SHAPE.m}, 3) AS allow_load, CAST(1 AS BIGINT) AS slices""",
+        "bad_hosts", "safe_hosts")
     add("f9_ensemble_stats", f"""SELECT (SELECT count(*) FROM bad_hosts) AS blacklist_entries, (SELECT count(*) FROM safe_hosts) AS whitelist_entries,
       round_even((SELECT count(*) FROM bad_hosts) / {K.BUCKETS * 4}, 3) AS fingerprint_load,
       round_even((SELECT count(DISTINCT p) FROM (SELECT unnest({double_hashed('pattern', K.COUNTING_SHAPE)}) AS p FROM bad_hosts)) / {K.COUNTING_SHAPE.m}, 3) AS counting_load,
@@ -1002,6 +1010,8 @@ def oracle_sql() -> dict[str, str]:
     RELATIONS["plain_targets"] = (["targets"], f"""
       SELECT *, {probability()} AS p, {allow('A')} AS allowed FROM ({feature_select(
         'A', 'SELECT url, 0 AS redirect_depth, 0 AS chain_length FROM targets')})""")
+    add("i8_remembered", f"""SELECT e.url, e.expanded_url, CAST(e.redirect_count AS BIGINT) AS redirect_count, {flag('e.is_shortened')} AS is_shortened,
+      {flag('e.url NOT IN (SELECT url FROM corpus WHERE page_id % 3 = 0)')} AS followed_late FROM expanded e""", "expanded", "corpus")
     add("i9_blend", f"""SELECT url, final_url, {r6('o')} AS original_prob, {r6('d')} AS expanded_prob, {r6('b')} AS threat_probability,
       CASE WHEN b < 0.25 THEN 'safe' WHEN b > 0.60 THEN 'malicious' WHEN b > 0.40 THEN 'suspicious' ELSE 'uncertain' END AS verdict
       FROM (SELECT *, 0.35 * o + 0.65 * d AS b FROM (SELECT x.url, x.final_url,
@@ -1138,6 +1148,24 @@ def oracle_sql() -> dict[str, str]:
     add("m4_learned_blacklist", """SELECT c.url, CAST(1 AS DOUBLE) AS score FROM corpus c
       JOIN met m ON m.url = c.url JOIN alike a ON a.url = c.url
       WHERE m.met >= 3 AND (c.url IN (SELECT url FROM known_bad) OR a.similarity > 0.92)""", "corpus", "met", "alike", "known_bad")
+    for half, test in (("first", "starts_with"), ("second", "NOT starts_with")):
+        RELATIONS[f"{half}_bad"] = (["bad_hosts"], f"SELECT pattern FROM bad_hosts WHERE {test}(pattern, 'secure-paypal')")
+        own = all_pos.replace("bad_hosts", f"{half}_bad")
+        RELATIONS[f"{half}_lists"] = (["hosts", "safe_hosts", f"{half}_bad"], f"SELECT * FROM hosts, {lists.replace('bad_hosts', f'{half}_bad')}")
+        RELATIONS[f"{half}_voted"] = ([f"{half}_lists"], vote_select(f"{half}_lists", own, safe_pos, own, (
+            f"(SELECT list({fingerprint('pattern', K.BUCKETS)}) FROM {half}_bad)")))
+        RELATIONS[f"{half}_gated"] = ([f"{half}_voted"], gate_select(heuristic_select(f"{half}_voted"), list_verdict))
+    add("m2_changing_lists", """SELECT url, list_result, decision, count(*) OVER (PARTITION BY decision) AS decision_total FROM (
+      SELECT * FROM first_gated WHERE page_id % 2 = 0 UNION ALL SELECT * FROM second_gated WHERE page_id % 2 = 1)""", "first_gated", "second_gated")
+    add("m4_keyed_state", """
+      SELECT event_id, url, half, CASE WHEN NOT possible THEN 'unknown' WHEN met >= 3 THEN 'malicious' ELSE 'suspicious' END AS membership_verdict
+      FROM (SELECT l.event_id, l.url, (l.event_id // 100) % 2 AS half, m.met,
+          CASE WHEN (l.event_id // 100) % 2 = 0 THEN l.url IN (SELECT url FROM known_bad) OR a.similarity > 0.92
+            ELSE coalesce(v.verified, FALSE) END AS possible
+        FROM scan_log l JOIN met m ON m.url = l.url JOIN alike a ON a.url = l.url LEFT JOIN (
+          SELECT DISTINCT l.url, TRUE AS verified FROM scan_log l JOIN met m ON m.url = l.url JOIN alike a ON a.url = l.url
+          WHERE (l.event_id // 100) % 2 = 0 AND m.met >= 3 AND (l.url IN (SELECT url FROM known_bad) OR a.similarity > 0.92)) v ON v.url = l.url)""",
+        "scan_log", "met", "alike", "known_bad")
     # throughput
     add("t_visit_features", f"SELECT url, {feature_list()} FROM ({feature_select('B', 'SELECT url, 0 AS redirect_depth, 1 AS chain_length FROM visits')})", "visits")
     add("t_visit_gate", "SELECT decision, reason, count(*) AS urls FROM visit_gated GROUP BY ALL", "visit_gated")

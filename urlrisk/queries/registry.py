@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,12 +27,14 @@ from urlrisk.operators import (
     scoring,
     similar,
     sketches,
+    stored_filters,
 )
 from urlrisk.plans import scan
 from urlrisk.plans.lineage import cut, scratch_path
 from urlrisk.plans.skew import lookup_join
+from urlrisk.plans.versions import KeyedTable
 from urlrisk.queries import relations as R
-from urlrisk.streaming import jobs
+from urlrisk.streaming import jobs, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -479,6 +481,11 @@ def e10_not_listed(spark, sf):
     return tidy(rest.select("event_id", "url"))
 
 
+def _thirds(df: DataFrame, column: str) -> list[DataFrame]:
+    """Three batches of a table, by a hash of a column."""
+    return [df.where(F.crc32(F.col(column)) % 3 == i) for i in range(3)]
+
+
 # -- F: sketches -----------------------------------------------------------------------------------
 @register
 def f2_bloom_build(spark, sf):
@@ -486,6 +493,16 @@ def f2_bloom_build(spark, sf):
     return tidy(sketches.build_plain(bad, "url", sketches.Shape.plain()))
 
 
+@register
+def f2_grown_filter(spark, sf):
+    """The same words in three batches, the last of which is given twice."""
+    store = stored_filters.PlainStore(spark, scratch_path(spark, "plain-filter"), sketches.Shape.plain())
+    for batch, part in enumerate(_thirds(R.corpus(spark, sf).where("result = 1"), "url")):
+        for _ in range(1 + (batch == 2)):
+            store.add(part, "url", batch)
+    return tidy(store.words())
+
+
 @register
 def f3_bloom_probe(spark, sf):
     shape = sketches.Shape.plain(20, 0.05)
@@ -535,6 +552,16 @@ def f6_sliced_filter(spark, sf):
     return tidy(sketches.probe_sliced(R.corpus(spark, sf).select("url"), "url", built, "contained"))
 
 
+@register
+def f6_grown_filter(spark, sf):
+    """All members of a filter that grew in three batches."""
+    members, held = R.corpus(spark, sf).where("result = 1").select("url"), []
+    for part in _thirds(members, "url"):
+        held = [(n, cut(words)) for n, words in stored_filters.grow_slices(held, part, "url", SLICES)]
+    built = [(SLICES.shape(i), words) for i, (_, words) in enumerate(held)]
+    return tidy(sketches.probe_sliced(members, "url", built, "contained"))
+
+
 @register
 def f7_fingerprint_filter(spark, sf):
     hosts = _with_domain(R.corpus(spark, sf))
@@ -567,6 +594,31 @@ def f9_ensemble_stats(spark, sf):
     return tidy(sketches.ensemble_stats(bad, safe))
 
 
+def _grown_ensemble(spark, sf):
+    """Three batches added, some entries removed again, one batch given twice."""
+    safe, bad = (cut(t) for t in _host_lists(spark, sf))
+    store = stored_filters.EnsembleStore(spark, scratch_path(spark, "ensemble"))
+    for batch, parts in enumerate(zip(_thirds(bad, "pattern"), _thirds(safe, "pattern"))):
+        store.add(*parts, batch=batch)
+    removed = bad.where("pattern LIKE 'secure-paypal%'")
+    for _ in range(2):
+        store.remove(removed, batch=3)
+    return store
+
+
+@register
+def f9_grown_ensemble(spark, sf):
+    hosts = _with_domain(R.corpus(spark, sf)).select("url", "domain")
+    voted = sketches.vote(hosts, "domain", _grown_ensemble(spark, sf).ensemble())
+    return tidy(voted.select("url", "bloom_score", "bloom_result"))
+
+
+@register
+def f9_grown_stats(spark, sf):
+    return tidy(_grown_ensemble(spark, sf).stats().select(
+        "blacklist_entries", "fingerprint_load", "counting_load", "allow_load", "slices"))
+
+
 @register
 def f10_trigram_similarity(spark, sf):
     similar = sketches.trigram_similarity(R.scan_log(spark, sf), _known_bad(spark, sf))
@@ -816,6 +868,19 @@ def i8_expansion_reuse(spark, sf):
     return tidy(lookup_join(log, expanded, "url"))
 
 
+@register
+def i8_remembered(spark, sf):
+    """Expansions of all URLs, of which a first run left a part; the second one follows only the others."""
+    corpus, log = R.corpus(spark, sf).select("page_id", "url"), R.hop_log(spark, sf)
+    known = state.expansion_table(spark, scratch_path(spark, "expansions"))
+    early, late = (F.timestamp_seconds(F.lit(1704067200 + h * 3600)) for h in (0, 12))
+    state.expand_remembered(corpus.where("page_id % 3 = 0"), log, known, early)
+    found = state.expand_remembered(corpus, log, known, late)
+    when = known.read().select("url", "expanded_at")
+    return tidy(found.join(when, "url").select(
+        "url", "expanded_url", "redirect_count", "is_shortened", (F.col("expanded_at") == late).alias("followed_late")))
+
+
 @register
 def i9_blend(spark, sf):
     pairs = chains.expand_a(R.corpus(spark, sf).select("url"), R.hop_log(spark, sf))
@@ -1204,6 +1269,53 @@ def m4_learned_blacklist(spark, sf):
     return tidy(jobs.current_blacklist(jobs.learned_entries(written), as_of).select("url", "score"))
 
 
+def _halves(spark, df: DataFrame, parity: Column, name: str):
+    """Writes the even half of a table to a folder, and hands out the folder; then the other half, and again."""
+    folder = scratch_path(spark, name)
+    for half in (0, 1):
+        df.where(F.pmod(parity, F.lit(2)) == half).write.mode("append").parquet(folder)
+        yield half, folder
+
+
+@register
+def m2_changing_lists(spark, sf):
+    """Two micro-batches through the gate, with entries added between them and one kind of them removed."""
+    safe, bad = (cut(t) for t in _host_lists(spark, sf))
+    lists = state.ListTable(spark, scratch_path(spark, "lists"))
+    table = scratch_path(spark, "gated")
+    counters = KeyedTable(spark, scratch_path(spark, "gate-counters"), state.COUNTS, "decision")
+    pages = R.pages(spark, sf).select(*C.PAGES.fieldNames())
+    for half, folder in _halves(spark, pages, F.col("page_id"), "list-pages"):
+        if half == 0:
+            lists.insert(safe.withColumn("kind", F.lit("safe")))
+            lists.insert(bad.where("pattern LIKE 'secure-paypal%'").withColumn("kind", F.lit("malicious")))
+        else:
+            lists.insert(bad.withColumn("kind", F.lit("malicious")))
+            lists.delete(bad.where("pattern LIKE 'secure-paypal%'").withColumn("kind", F.lit("malicious")))
+        stream = R.corpus_rows(sources.stream_parquet(spark, folder, C.PAGES)).select("url")
+        state.gate_batches(stream, lists, table, counters).awaitTermination()
+    gated = spark.read.parquet(table).select("url", "list_result", "decision")
+    total = counters.read()
+    return tidy(gated.join(total, "decision").withColumnRenamed("urls", "decision_total"))
+
+
+@register
+def m4_keyed_state(spark, sf):
+    """Requests in two micro-batches; the second one's filter knows nothing, but the first has verified URLs."""
+    depth = cut(graph.redirect_depth(_nodes(spark, sf), R.edges(spark, sf), max_depth=4).withColumnRenamed("node", "url"))
+    corpus = R.corpus(spark, sf).select("page_id", "url").join(depth, "url")
+    requests = cut(R.scan_log(spark, sf).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "page_id").join(corpus, "page_id").select(
+        "event_id", "ts", "url", "redirect_depth"))
+    shape = sketches.Shape.rounded(50000, 0.0001)
+    learned = state.learned_table(spark, scratch_path(spark, "learned"))
+    table = scratch_path(spark, "judged")
+    for half, folder in _halves(spark, requests, F.floor(F.col("event_id") / 100), "requests"):
+        known = _known_bad(spark, sf).where(F.lit(half == 0))
+        stream = sources.stream_parquet(spark, folder, requests.schema)
+        state.judge_batches(stream, sketches.learn(known, shape), learned, table).awaitTermination()
+    return tidy(spark.read.parquet(table).select("event_id", "url", "membership_verdict", F.col("batch").alias("half")))
+
+
 # -- throughput ------------------------------------------------------------------------------------
 @register
 def t_visit_features(spark, sf):
