@@ -62,7 +62,9 @@ def test_long_chain_with_hub_and_profile_against_search(spark, urls):
     part = {(r.src, r.dst): r.dist for r in graph.closure(frame(spark, edges), some, 7).collect()}
     assert part == {k: d for k, d in reach.items() if k[0] in (names[2], names[24]) and d <= 7}
     asked = [names[0], names[15], names[22], "aaaa", "http://alone.org/1", "http://alone.org/1"]
-    rows = {r.url: (r.redirect_depth, r.chain_length) for r in graph.url_profile(urls(asked), frame(spark, edges)).collect()}
+    rows, searched = ({r.url: (r.redirect_depth, r.chain_length) for r in graph.url_profile(urls(asked), frame(spark, edges), search_below=b).collect()}
+                      for b in (0.0, 9.0))
+    assert rows == searched  # both ways
     open_edges = [(a, b) for a, b in edges if not {a, b} & {"aaaa", "bbbb"}]
     assert rows == {
         u: (max(distances(edges, u).values()),

@@ -182,6 +182,7 @@ WEIGHTS = [
 MAX_VALUES = [500, 100, 5, 20, 300, 15, 20, 15, 1, 1, 1, 5, 5, 1, 1, 1, 1, 1, 1, 10, 1, 1, 1, 1, 10]
 
 THRESHOLDS = {"fallback": (0.30, 0.65), "deep": (0.25, 0.55), "B": (0.25, 0.60)}
+RANK_WEIGHTS = {"probability": 0.45, "entropy": 0.25, "redirect_depth": 0.20, "keyword_score": 0.10}
 VOTE_WEIGHTS = {"fingerprint": 0.50, "counting": 0.25, "sliced": 0.25}
 DECAY_PER_SECOND = 1e-4
 MAX_HOPS = {"A": 10, "B": 15}

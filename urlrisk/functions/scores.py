@@ -174,14 +174,19 @@ def shortener_warning(shortened: Column, redirects: Column, trusted: Column) ->
 
 def threat_rank(
     prob: Column | None = None, entropy: Column | None = None, depth: Column | None = None,
-    keyword_score: Column | None = None,
+    keyword_score: Column | None = None, weights: dict[str, float] | None = None,
 ) -> Column:
-    """Composite rank; missing inputs take their neutral value."""
+    """Composite rank; missing inputs take their neutral value. ``weights`` replaces those of RANK_WEIGHTS it names."""
+    w = C.RANK_WEIGHTS | (weights or {})
+    if unknown := set(w) - set(C.RANK_WEIGHTS):
+        raise ValueError(f"no such rank weights: {sorted(unknown)}")
     p = F.coalesce(prob, F.lit(0.5)) if prob is not None else F.lit(0.5)
     e = F.coalesce(entropy, F.lit(3.0)) if entropy is not None else F.lit(3.0)
     d = F.coalesce(depth.cast("double"), F.lit(0.0)) if depth is not None else F.lit(0.0)
     k = F.coalesce(keyword_score, F.lit(0.0)) if keyword_score is not None else F.lit(0.0)
-    return 0.45 * p + 0.25 * (e / 5.0) + 0.20 * F.least(d / 10.0, F.lit(1.0)) + 0.10 * k
+    return (
+        w["probability"] * p + w["entropy"] * (e / 5.0) + w["redirect_depth"] * F.least(d / 10.0, F.lit(1.0)) + w["keyword_score"] * k
+    )
 
 
 def rule_score(

@@ -170,15 +170,30 @@ def chain_nodes(
 
 
 def url_profile(
-    urls: DataFrame, edges: DataFrame, url: str = "url", max_depth: int = CHAIN_DEPTH, min_entropy: float = PRUNE_ENTROPY
+    urls: DataFrame, edges: DataFrame, url: str = "url", max_depth: int = CHAIN_DEPTH, min_entropy: float = PRUNE_ENTROPY,
+    search_below: float = 0.25,
 ) -> DataFrame:
     """Entropy, redirect_depth and chain_length of distinct URLs; an unknown URL stands alone.
 
-    One search from the asked URLs serves both: the whole graph for the depth, and for the chain only nodes
-    of enough entropy up to ``max_depth``. Entropies are taken of reached nodes only. Nothing but what was
-    reached is written, so that the cost follows the batch, beside one reading of ``edges`` per level.
+    The depth counts the whole graph, the chain only nodes of enough entropy up to ``max_depth``. Where the asked
+    URLs are fewer than ``search_below`` of the edges, one search from them serves both: nothing but what was
+    reached is written, so that the cost follows the batch, beside one reading of ``edges`` per level. For
+    more, both closures are made, which take a round per doubling of the depth instead of one per level; the
+    rows are those that the search would reach, and the result is the same.
     """
     nodes = urls.select(F.col(url).alias("src")).where("src is not null").distinct()
+    asked, all_edges = nodes.count(), edges.count()
+    if asked < search_below * all_edges:
+        reached = _profile_search(nodes, edges, max_depth, min_entropy)
+    else:
+        reached = _profile_closures(cut(nodes), cut(edges.select("src", "dst").distinct()), max_depth, min_entropy)
+    return reached.groupBy(F.col("src").alias(url)).agg(
+        F.max(F.when(~F.col("pruned"), F.col("dist"))).alias("redirect_depth"),
+        F.count_if("pruned").cast("int").alias("chain_length"),
+    ).withColumn("entropy", X.entropy(F.col(url)))
+
+
+def _profile_search(nodes: DataFrame, edges: DataFrame, max_depth: int, min_entropy: float) -> DataFrame:
     kinds = F.when(X.entropy(F.col("src")) >= min_entropy, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     starts = nodes.select("src", F.col("src").alias("dst"), F.explode(kinds).alias("pruned"))
 
@@ -186,11 +201,21 @@ def url_profile(
         allowed = (X.entropy(F.col("dst")) >= min_entropy) if depth <= max_depth else F.lit(False)
         return joined.where(~F.col("pruned") | allowed)
 
-    reached = _search(edges, starts, ["src", "pruned"], keep)
-    return reached.groupBy(F.col("src").alias(url)).agg(
-        F.max(F.when(~F.col("pruned"), F.col("dist"))).alias("redirect_depth"),
-        F.count_if("pruned").cast("int").alias("chain_length"),
-    ).withColumn("entropy", X.entropy(F.col(url)))
+    return _search(edges, starts, ["src", "pruned"], keep)
+
+
+def _profile_closures(nodes: DataFrame, edges: DataFrame, max_depth: int, min_entropy: float) -> DataFrame:
+    """``(src, pruned, dist)`` of what is reached from ``nodes``, from the closures of the graph and of its nodes of
+    enough entropy."""
+    enough = X.entropy(F.col("node")) >= min_entropy
+    kept = cut(nodes_of(edges).where(enough))
+    inside = edges.join(kept.withColumnRenamed("node", "src"), "src", "left_semi").join(
+        kept.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    own = nodes.select("src", F.lit(0).alias("dist"))
+    every = closure(edges).join(nodes, "src", "left_semi").select("src", "dist").unionByName(own)
+    chains = closure(inside, max_depth=max_depth).join(nodes, "src", "left_semi").select("src", "dist").unionByName(
+        own.where(X.entropy(F.col("src")) >= min_entropy))
+    return every.withColumn("pruned", F.lit(False)).unionByName(chains.withColumn("pruned", F.lit(True)))
 
 
 # -- ordering --------------------------------------------------------------------------------------

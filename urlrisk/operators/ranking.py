@@ -10,14 +10,17 @@ from urlrisk.functions import text as X
 from urlrisk.plans.skew import row_ranks, running_totals
 
 
-def with_rank(df: DataFrame, keyword_score: bool = False) -> DataFrame:
-    """Add ``threat_rank``. The live path passes no keyword score, which then counts as zero."""
+def with_rank(df: DataFrame, keyword_score: bool = False, weights: dict[str, float] | None = None) -> DataFrame:
+    """Add ``threat_rank``. The live path passes no keyword score, which then counts as zero.
+
+    ``weights`` (probability, entropy, redirect_depth, keyword_score) replaces the usual ones.
+    """
     def optional(name: str) -> Column | None:
         return F.col(name) if name in df.columns else None
 
     return df.withColumn("threat_rank", S.threat_rank(
         optional("threat_probability"), optional("entropy"), optional("redirect_depth"),
-        optional("keyword_score") if keyword_score else None,
+        optional("keyword_score") if keyword_score else None, weights,
     ))
 
 

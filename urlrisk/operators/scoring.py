@@ -110,9 +110,12 @@ def rule_scores(df: DataFrame, weights: dict[str, float], out: str = "rule_score
     )
 
 
-def neutral_defaults(df: DataFrame) -> DataFrame:
+#: Stages of a scan, and the column whose absence says that a stage has nothing for a URL.
+STAGES = {"expansion": "redirect_chain", "features": "url_entropy", "prediction": "label", "redirect": "suspicious_hops", "risk": "risk_score"}
+
+
+def neutral_defaults(df: DataFrame, stages: dict[str, str] = STAGES) -> DataFrame:
     """Fill what a failed stage left null with neutral values and note it in ``errors``."""
-    stages = {"expansion": "redirect_chain", "features": "url_entropy", "prediction": "label", "redirect": "suspicious_hops", "risk": "risk_score"}
     notes: list[Column] = [
         F.when(F.col(column).isNull(), f"{stage} missing")
         for stage, column in stages.items() if column in df.columns

@@ -36,30 +36,38 @@ def accept_requests(requests: DataFrame, raw: str = "url") -> DataFrame:
     })
 
 
-def scan_b(requests: DataFrame, hop_log: DataFrame, ensemble: sketches.Ensemble | None = None) -> DataFrame:
+def scan_b(
+    requests: DataFrame, hop_log: DataFrame | None, ensemble: sketches.Ensemble | None = None, expansions: DataFrame | None = None
+) -> DataFrame:
     """Profile B scan: one flat row per request, with ``valid`` and ``reason``.
 
+    ``expansions`` are expansion records made before (``chains.expand_b``, or a table of remembered ones); URLs are
+    then not followed here. A stage that has nothing for a URL does not cost it its row: what it would
+    have told is filled with neutral values and noted in ``errors``, and the other stages go on.
+
     Every distinct URL is scanned once and joined back to its requests, however often it was asked for.
     Settled URLs get the fast path; only forwarded ones are expanded and scored. A rejected request keeps
     its text as it came in ``url``, the reason, and nulls for the rest.
     """
     checked = accept_requests(requests)
     valid = checked.where("valid").select("url", "valid", "reason")
-    results = cut(scan_distinct_b(valid, hop_log, ensemble))
+    results = cut(scan_distinct_b(valid, hop_log, ensemble, expansions))
     rejected = checked.where("not valid").select(F.col("requested_url").alias("url"), "valid", "reason")
     return lookup_join(valid, results, "url", "inner").unionByName(rejected, allowMissingColumns=True)
 
 
 def scan_distinct_b(
-    urls: DataFrame, hop_log: DataFrame, ensemble: sketches.Ensemble | None = None
+    urls: DataFrame, hop_log: DataFrame | None, ensemble: sketches.Ensemble | None = None, expansions: DataFrame | None = None
 ) -> DataFrame:
     """Profile B result per distinct URL."""
     forwarded, settled = gate.split(gate.gate(urls.select("url").distinct(), ensemble))
-    expanded = chains.analyze_chain(chains.expand_b(forwarded, hop_log))
-    joined = forwarded.drop("domain", "reason").join(expanded, "url")
+    records = chains.expand_b(forwarded, hop_log) if expansions is None else expansions
+    joined = lookup_join(forwarded.drop("domain", "reason"), chains.analyze_chain(records), "url")
+    # before the features, which read the expanded URL and the chain's figures
+    joined = scoring.neutral_defaults(joined, {"expansion": "redirect_chain", "redirect": "suspicious_hops"})
     scored = extract_features(joined, "B", "expanded_url")
     scored = scoring.predict_b(scoring.enrich_keywords(scored), "expanded_url")
-    scored = scoring.risk_score(scored)
+    scored = scoring.neutral_defaults(scoring.risk_score(scored), {"features": "url_entropy", "prediction": "label", "risk": "risk_score"})
 
     settled = gate.fast_path(settled)
     blocked = F.col("decision") == "BLOCK"

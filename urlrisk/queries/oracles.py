@@ -851,6 +851,7 @@ def oracle_sql() -> dict[str, str]:
     add("d4_categorized_scan", "SELECT url, " + r6(category_score("lower(url)")) + " AS category_score, " + ", ".join(
         f"{hits('lower(url)', group)} AS {n}" for n, group in C.CATEGORY_KEYWORDS.items()
     ) + f", {hits('lower(url)', words)} AS keywords, CAST({occurrences} AS BIGINT) AS occurrences FROM corpus", "corpus")
+    out["d4_dictionary_scan"] = out["d4_categorized_scan"]
     add("d5_entropy_profile", f"""SELECT url, {r6('url_entropy')} AS url_entropy, {r6('host_entropy')} AS host_entropy,
       {r6('path_entropy')} AS path_entropy, {flag('entropy_suspicious')} AS entropy_suspicious FROM heuristics""", "heuristics")
     add("d6_heuristic", f"""SELECT url, {r6('category_score')} AS category_score, {r6('heuristic_score')} AS heuristic_score,
@@ -1054,7 +1055,7 @@ def oracle_sql() -> dict[str, str]:
       {yes} AS auc_reached, {yes} AS accuracy_reached, {yes} AS false_positives_low FROM splits WHERE split = 'test'""", "splits")
     add("j6_early_stop", f"""SELECT CAST(result AS DOUBLE) AS label, count(*) AS rows, {yes} AS ended_by_rule,
       {yes} AS within_limit FROM splits WHERE split = 'val' GROUP BY result""", "splits")
-    add("j7_inference", f"SELECT url, CAST(result AS DOUBLE) AS label, {yes} AS in_range FROM corpus", "corpus")
+    add("j7_inference", f"SELECT url, CAST(result AS DOUBLE) AS label, {yes} AS in_range, {yes} AS agreement_reached FROM corpus", "corpus")
     RELATIONS["training"] = (["profile", "corpus"], feature_select(
         "A", "SELECT p.*, c.result FROM profile p JOIN corpus c ON c.url = p.url", "result,"))
     add("j11_training_table", f"SELECT url, CAST(result AS BIGINT) AS result, {feature_list()} FROM training", "training")
@@ -1098,6 +1099,12 @@ def oracle_sql() -> dict[str, str]:
       FROM corpus WHERE page_id % 7 IN (1, 2, 3, 4))""", "corpus")
     # K
     add("k1_threat_rank", f"SELECT url, {r6(RANK_A)} AS threat_rank FROM profile_scored", "profile_scored")
+    add("j18_live_defaults", f"""SELECT g.url, CASE WHEN length(g.url) % 3 = 0 THEN g.url ELSE e.expanded_url END AS expanded_url,
+      CAST(CASE WHEN length(g.url) % 3 = 0 THEN 0 ELSE e.redirect_count END AS BIGINT) AS redirect_count,
+      {flag("length(g.url) % 3 <> 0 AND e.is_shortened")} AS is_shortened, {flag("length(g.url) % 3 = 0")} AS noted, {yes} AS scored, {yes} AS labelled
+      FROM gated g JOIN expanded e ON e.url = g.url WHERE g.decision = 'FORWARD'""", "gated", "expanded")
+    add("k1_weighted_rank", f"SELECT url, {r6('0.6 * prob + 0.05 * (entropy / 5.0) + 0.35 * least(redirect_depth / 10.0, 1.0)')} AS threat_rank FROM profile_scored",
+        "profile_scored")
     add("k2_ranking", f"""SELECT url, {r6('0.45 * 0.5 + 0.25 * (url_entropy / 5.0) + 0.10 * keyword_score')} AS threat_rank
       FROM features_a""", "features_a")
     add("k3_top_k", f"SELECT url, {r6('r')} AS threat_rank FROM (SELECT url, {RANK_A} AS r FROM profile_scored) ORDER BY r DESC, url LIMIT 10",

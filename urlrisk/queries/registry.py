@@ -377,9 +377,7 @@ def d3_matched_keywords(spark, sf):
     return tidy(signals.select("url", "match_count", "matched_keywords"))
 
 
-@register
-def d4_categorized_scan(spark, sf):
-    scanned = keywords.categorized_scan(R.corpus(spark, sf).select("url"))
+def _category_columns(scanned: DataFrame) -> DataFrame:
     return tidy(scanned.select(
         "url", "category_score",
         *[F.coalesce(F.col("categories")[c], F.lit(0)).alias(c) for c in C.CATEGORY_KEYWORDS],
@@ -390,6 +388,17 @@ def d4_categorized_scan(spark, sf):
     ))
 
 
+@register
+def d4_categorized_scan(spark, sf):
+    return _category_columns(keywords.categorized_scan(R.corpus(spark, sf).select("url")))
+
+
+@register
+def d4_dictionary_scan(spark, sf):
+    """The same with the dictionary as a table."""
+    return _category_columns(keywords.dictionary_scan(R.corpus(spark, sf).select("url"), keywords.builtin_dictionary(spark)))
+
+
 @register
 def d5_entropy_profile(spark, sf):
     return tidy(keywords.entropy_profile(R.corpus(spark, sf).select("url")))
@@ -980,10 +989,14 @@ def j6_early_stop(spark, sf):
 
 @register
 def j7_inference(spark, sf):
-    """Per URL of the whole corpus: a probability between 0 and 1, the same for the same URL."""
+    """Per URL of the whole corpus: a probability between 0 and 1, the same for the same URL; whether verdicts agree with
+    labels as often as the published accuracy says."""
     fitted, _, stats, parts = _network(spark, sf)
     scored = model.infer(fitted, model.model_input(parts, stats))
-    return tidy(scored.select("url", "label", F.col("threat_probability").between(0.0, 1.0).alias("in_range")))
+    agrees = (F.col("threat_probability") > 0.5) == (F.col("label") == 1)
+    share = cut(scored).agg(F.avg(agrees.cast("double"))).scalar()
+    return tidy(scored.select(
+        "url", "label", F.col("threat_probability").between(0.0, 1.0).alias("in_range"), (share > 0.92).alias("agreement_reached")))
 
 
 @register
@@ -1099,6 +1112,17 @@ def j18_neutral_defaults(spark, sf):
     return tidy(scoring.neutral_defaults(joined).drop("redirect_chain", "page_id"))
 
 
+@register
+def j18_live_defaults(spark, sf):
+    """A scan for which a third of the URLs have no expansion: their rows are there, with a note."""
+    urls = R.corpus(spark, sf).select("url")
+    known = chains.expand_b(urls, R.hop_log(spark, sf)).where(F.length("url") % 3 != 0)
+    scanned = scan.scan_b(urls, None, expansions=known).where("decision = 'FORWARD'")
+    return tidy(scanned.select(
+        "url", "expanded_url", "redirect_count", "is_shortened", F.array_contains("errors", "expansion missing").alias("noted"),
+        F.col("risk_score").isNotNull().alias("scored"), F.col("label").isin("Safe", "Suspicious", "Malicious").alias("labelled")))
+
+
 # -- K: ranking ------------------------------------------------------------------------------------
 def _scored_a(spark, sf):
     return scan.score_urls_a(R.corpus(spark, sf), R.edges(spark, sf))
@@ -1109,6 +1133,13 @@ def k1_threat_rank(spark, sf):
     return tidy(ranking.with_rank(_scored_a(spark, sf)).select("url", "threat_rank"))
 
 
+@register
+def k1_weighted_rank(spark, sf):
+    """Other weights, given as an argument."""
+    weights = {"probability": 0.6, "entropy": 0.05, "redirect_depth": 0.35}
+    return tidy(ranking.with_rank(_scored_a(spark, sf), weights=weights).select("url", "threat_rank"))
+
+
 @register
 def k2_ranking(spark, sf):
     scored = ranking.with_rank(features.extract_features(R.corpus(spark, sf), "A").withColumn(
