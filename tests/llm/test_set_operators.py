@@ -144,6 +144,15 @@ def test_mixing(spark):
     assert mixing.mix(docs_of(spark, [])).count() == 0
 
 
+def test_targets_of_many_sources(spark):
+    rng = random.Random(11)
+    sizes = {f"s{i:03}": rng.choice([0, 1, 5, 40, 1000, 100_000]) for i in range(400)}
+    sized = spark.createDataFrame([(s, n) for s, n in sizes.items()] + [(None, 77)], "source string, size bigint")
+    want = plain_targets(sizes | {None: 77})
+    got = {r.source: r.target for r in mixing.targets(sized, (3, 1, 2), (3, 2), 2).collect()}
+    assert got == {s: pytest.approx(t, rel=1e-12) for s, t in want.items()}
+
+
 def test_mixed_rows(spark):
     docs = docs_of(spark, [(i, "w " * (i % 9), "ab"[i % 2]) for i in range(200)] + [(3, "w w w ", "b")] * 4)
     counts = defaultdict(int)

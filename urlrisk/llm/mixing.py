@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urlrisk.llm.common import row_key, stored, word_count
-from urlrisk.plans.skew import row_ranks
+from urlrisk.plans.skew import row_ranks, running_totals
 
 
 def targets(sized: DataFrame, weights: Sequence[int], share: tuple[int, int], most: int) -> DataFrame:
@@ -20,29 +20,27 @@ def targets(sized: DataFrame, weights: Sequence[int], share: tuple[int, int], mo
     others by weight until none is above. That end state is a common level: each source gets its weight
     times the level, or its limit. A source is at its limit if the level that the sources from it on
     would have, in order of limit by weight, is no lower than its own. All sums are integers, so the
-    result doesn't depend on their order. Works on one row per source.
+    result doesn't depend on their order. Works on one row per source; ranks and running sums come from
+    range partitions, so there may be any number of sources, and the driver gets four sums.
     """
     num, den = share
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(int(w)).cast("bigint") for w in weights])
-    named = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn(
-        "weight", F.element_at(cycle, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    )
-    by_limit = Window.orderBy((F.col("source_size") / F.col("weight")), F.col("source").asc_nulls_last())
-    before, every = by_limit.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    limit = F.col("source_size") * most
-    ranked = named.select(
-        "*", limit.alias("limit"), F.sum("source_size").over(every).alias("total"),
-        F.coalesce(F.sum(limit).over(before), F.lit(0)).alias("taken_before"),
-        (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))).alias("weight_left"),
-    )
-    full = (F.col("total") * num - F.col("taken_before") * den) * F.col("weight") >= (
-        F.col("limit") * F.col("weight_left") * den
-    )
-    marked = ranked.withColumn("full", full)
-    rest_weight = F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).over(every)
-    rest_size = F.col("total") * num - F.sum(F.when(F.col("full"), F.col("limit")).otherwise(0)).over(every) * den
-    level = (F.col("weight") * rest_size).cast("double") / (rest_weight * den).cast("double")
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    named = row_ranks(sums, [], [F.col("source").asc_nulls_last()], "_n").select(
+        "source", "source_size", F.element_at(cycle, ((F.col("_n") - 1) % len(weights) + 1).cast("int")).alias("weight"))
+    named = stored(named.withColumn("limit", F.col("source_size") * most), "mix-sources")
+    every = named.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+    order = [(F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last()]
+    summed = running_totals(running_totals(named, [], order, F.col("limit"), "_limits"), [], order, F.col("weight"), "_weights")
+    taken_before = F.col("_limits") - F.col("limit")
+    weight_left = F.lit(every["weight"]) - F.col("_weights") + F.col("weight")
+    full = (F.lit(every["size"] * num) - taken_before * den) * F.col("weight") >= F.col("limit") * weight_left * den
+    marked = stored(summed.select("source", "source_size", "weight", "limit", full.alias("full")), "mix-limits")
+    rest = marked.agg(
+        F.coalesce(F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))), F.lit(0)).alias("weight"),
+        F.coalesce(F.sum(F.when(F.col("full"), F.col("limit"))), F.lit(0)).alias("limit")).first()
+    rest_size = F.lit(every["size"] * num - rest["limit"] * den)
+    level = (F.col("weight") * rest_size).cast("double") / F.lit(float(max(1, rest["weight"]) * den))
     return marked.select(
         "source", "source_size", F.when(F.col("full"), F.col("limit").cast("double")).otherwise(level).alias("target")
     )

@@ -35,6 +35,6 @@ def oracle_sql() -> dict[str, str]:
     """Where SQL can express a query; the others are tested against brute force."""
     found = {
         "op2_jaccard": jaccard.ORACLE, "op3_mixing": mixing.oracle(), "op4_embedding_dedup": embedding_dedup.ORACLE,
-        "op11_url_lists": url_lists.ORACLE, "op13_hard_negatives": rtree.ORACLE,
+        "op11_url_lists": url_lists.ORACLE, "op12_spelling": spelling.oracle(), "op13_hard_negatives": rtree.ORACLE,
     }
     return found if corpus_pipeline.ORACLE_SQL is None else found | {"pipeline": corpus_pipeline.ORACLE_SQL}

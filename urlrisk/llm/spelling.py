@@ -248,3 +248,36 @@ def variants(docs: DataFrame, least: int = 3, letters: int = 5, every: int = 97,
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = variants(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def oracle() -> str:
+    """The query in SQL. crc32 goes byte by byte with a table that SQL works out; pairs meet by what is left of a word
+    without one letter."""
+    return r"""
+WITH RECURSIVE steps AS (
+  SELECT list_transform(range(256), lambda c: list_reduce(list_prepend(CAST(c AS UBIGINT), [CAST(0 AS UBIGINT) FOR i IN range(8)]),
+    lambda a, z: CASE WHEN a % 2 = 1 THEN xor(a >> 1, CAST(3988292384 AS UBIGINT)) ELSE a >> 1 END)) AS crc
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), distinct_runs AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), [CAST(('0x' || substr(h, 2 * i + 1, 2)) AS UBIGINT) FOR i IN range(len(h) // 2)]),
+    lambda a, b: xor(a >> 8, crc[CAST(xor(a, b) & 255 AS BIGINT) + 1])), CAST(4294967295 AS UBIGINT)) AS c
+  FROM (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM distinct_runs), steps
+), slipped AS (
+  SELECT CASE WHEN c % 97 = 0 THEN substr(run, 1, CAST(c % length(run) AS BIGINT)) || substr(run, CAST(c % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed
+), words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), cuts AS (SELECT DISTINCT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word
+), best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM pairs GROUP BY word
+), forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 2 * w.n THEN b.near END AS form,
+    CASE WHEN b.near_n >= 2 * w.n THEN b.near_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word
+), ways(word, place) AS (SELECT word, word FROM forms UNION ALL SELECT y.word, f.form FROM ways y JOIN forms f ON f.word = y.place WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, y.place AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN ways y ON y.word = f.word JOIN forms g ON g.word = y.place AND g.form IS NULL"""
