@@ -1152,6 +1152,10 @@ def oracle_sql() -> dict[str, str]:
     add("m1_stream_scan", f"SELECT url, label, {r6('threat_probability')} AS threat_probability FROM predicted_b", "predicted_b")
     add("m2_stream_counters", "SELECT decision, count(*) AS urls FROM gated GROUP BY decision", "gated")
     add("m3_first_seen", "SELECT DISTINCT url FROM scan_log", "scan_log")
+    add("m3_late_rows", """SELECT concat(url, '#', page_id) AS url, half FROM (
+      SELECT url, page_id, CAST(0 AS BIGINT) AS half FROM corpus WHERE page_id % 2 = 0
+      UNION ALL SELECT url, page_id, CAST(1 AS BIGINT) FROM corpus WHERE page_id % 2 = 1 OR (page_id % 224000000) * 60 + 3630
+        <= (SELECT max(page_id % 224000000) FROM corpus WHERE page_id % 2 = 0) * 60 - 3630)""", "corpus")
     add("m4_learned_blacklist", """SELECT c.url, CAST(1 AS DOUBLE) AS score FROM corpus c
       JOIN met m ON m.url = c.url JOIN alike a ON a.url = c.url
       WHERE m.met >= 3 AND (c.url IN (SELECT url FROM known_bad) OR a.similarity > 0.92)""", "corpus", "met", "alike", "known_bad")

@@ -1287,6 +1287,28 @@ def m3_first_seen(spark, sf):
     return tidy(jobs.run_to_table(seen.select("url"), "first-seen"))
 
 
+@register
+def m3_late_rows(spark, sf):
+    """Two micro-batches: what comes again within the delay is dropped, later it counts as new, and rows behind the
+    watermark are dropped."""
+    start, day = 1704067200, 86400
+    page = F.col("page_id") % R.GIVEN
+    rows = R.corpus(spark, sf).select("page_id", F.concat_ws("#", "url", "page_id").alias("url"), page.alias("page"))
+
+    def at(seconds: Column, half: int, prefix: str = "") -> list[Column]:
+        return [F.concat(F.lit(prefix), "url").alias("url"), F.timestamp_seconds(F.lit(start) + seconds).alias("ts"), F.lit(half).alias("half")]
+
+    first = rows.where("page_id % 2 = 0").select(*at(F.col("page") * 60, 0))
+    again = rows.select(*at(F.col("page") * 60 + day, 1))
+    late = rows.where("page_id % 5 = 0").select(*at(F.col("page") * 0 - day, 1, "late "))
+    folder, table = scratch_path(spark, "arrivals"), scratch_path(spark, "first-arrivals")
+    for batch in (first, again.unionByName(late)):
+        batch.write.mode("append").parquet(folder)
+        stream = sources.stream_parquet(spark, folder, first.schema)
+        jobs.append_stream(jobs.first_seen(stream, "ts", "3630 seconds"), table).awaitTermination()
+    return tidy(spark.read.schema(first.schema).parquet(table).select("url", "half"))
+
+
 @register
 def m4_learned_blacklist(spark, sf):
     depth = graph.redirect_depth(_nodes(spark, sf), R.edges(spark, sf), max_depth=4).withColumnRenamed("node", "url")
