@@ -362,3 +362,27 @@ def test_pipeline(spark, sf_dir):
     assert mix.columns == columns and counts == want
     pieces = corpus_pipeline.run(spark, sf_dir)
     assert {r.doc_id: r.n for r in pieces.where("piece = 0").groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == want
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null, empty, long, repeated and broken texts, extra columns of clashing names, and no rows at all."""
+    prose = "the and of with this that from which are was were have been " * 8
+    rows = [(i, prose + f"w{i} x{i * 7} y{i * 13} " * 6, "en", "s", 0) for i in range(40)]
+    rows += [(100, None, "en", "s", 0), (101, "", None, None, 0), (102, "123 !?", "en", "s", 0), (103, prose * 500, "en", "t", 0)]
+    rows += [rows[3], rows[3], (104, rows[5][1], "en", None, 0), (None, prose + "no id at all", None, "s", 0), (105, prose + " password = 'a8Kq02LmZ91x'", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").selectExpr(
+        "*", "1 as component_id", "'k' as __row_key", "2 as copies", "'x' as _text", "3 as size", "4 as rank", "5 as piece")
+    broken = docs.where("doc_id = 7").withColumn("doc_id", F.lit(200)).withColumn("text", F.concat("text", F.unhex(F.lit("FFC3")).cast("string")))
+    docs.unionByName(broken).write.parquet(f"{tmp_path}/documents.parquet")
+    given = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    at = given
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == given.columns, name
+    assert at.where("doc_id in (101, 102)").count() == 0
+    assert at.where("doc_id = 105 and text like '%a8Kq02LmZ91x%'").count() == 0
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert pieces and max(p.length for p in pieces) <= 1024
+    empty = f"{tmp_path}/empty"
+    given.limit(0).write.parquet(f"{empty}/documents.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
