@@ -205,6 +205,13 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(vectors_of(spark, [])).count() == 0
 
 
+def test_embedding_labels_of_any_bytes(spark):
+    rows = [(i, [1.0, 2.0, 0.5], 0) for i in range(6)]
+    labels = F.when(F.col("vec_id") < 2, F.unhex(F.lit("FF")).cast("string")).when(F.col("vec_id") < 4, F.unhex(F.lit("FE")).cast("string")).otherwise("")
+    found = embedding_dedup.near_duplicates(vectors_of(spark, rows).withColumn("label", labels)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == {i: (1, i - i % 2) for i in range(6)}
+
+
 def test_hilbert_is_a_curve():
     side = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     keys = curves.hilbert(side, 3)

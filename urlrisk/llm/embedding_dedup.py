@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from urlrisk.llm.common import stored
 from urlrisk.llm.links import components
 
-_KEYED = "vec_id bigint, label {kind}, digest binary, vector binary"
+_KEYED = "vec_id bigint, label string, digest binary, vector binary"
 
 
 def vector_bytes(value) -> bytes | None:
@@ -80,8 +80,6 @@ def near_duplicates(
     rows are vectors of their own that link with each other; a null id counts as a link but is never the
     component's id unless it stands alone.
     """
-    kind = vectors.schema["label"].dataType.simpleString()
-
     def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             raw = [vector_bytes(v) for v in batch["embedding"]]
@@ -90,9 +88,10 @@ def near_duplicates(
                 "digest": [None if r is None else hashlib.blake2b(r, digest_size=16).digest() for r in raw],
                 "vector": pd.Series(raw, dtype=object)})
 
-    # the label travels as text, as a column of numbers with nulls would not keep its type
-    narrow = vectors.select(F.col("vec_id").cast("bigint"), "embedding", F.col("label").cast("string").alias("label"))
-    keyed = stored(narrow.mapInPandas(key, _KEYED.format(kind="string")), "vectors")
+    # the label travels as text, as a column of numbers with nulls would not keep its type; in hex, as it may be no UTF-8
+    label = F.hex(F.col("label").cast("string").cast("binary")).alias("label")
+    narrow = vectors.select(F.col("vec_id").cast("bigint"), "embedding", label)
+    keyed = stored(narrow.mapInPandas(key, _KEYED), "vectors")
     can = F.col("digest").isNotNull() & F.col("label").isNotNull()
     rows = keyed.select("vec_id", "label", "digest")
     classes = stored(
