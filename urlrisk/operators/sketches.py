@@ -35,6 +35,7 @@ WORD_BITS = 63  # keeps the sign bit clear
 WORDS = [f"_h{i}" for i in range(4)]
 MAX_BITMAP_BITS = 1 << 27  # 16 MiB of bits: default bound of a filter that is shipped to every task
 MAX_GRAMS = 1 << 20  # default bound of a trigram set that is broadcast (at most 12 bytes each)
+LITERAL_GRAMS = 1 << 14  # default bound of one that becomes a hash-set literal
 
 
 # -- filter shapes ---------------------------------------------------------------------------------
@@ -529,16 +530,22 @@ def ensemble_stats(
 # -- similarity, ageing, verdict -------------------------------------------------------------------
 @dataclass(frozen=True)
 class Grams:
-    """Known trigrams ``(gram, _hit)``, written out, and whether they are few enough to broadcast."""
+    """Known trigrams ``(gram, _hit)``, written out, and whether they are few enough to broadcast; ``members`` is their
+    list as SQL text if they are few enough for a literal."""
 
     rows: DataFrame
     few: bool
+    members: str | None = None
 
 
-def hold_grams(distinct: DataFrame, broadcast_up_to: int = MAX_GRAMS) -> Grams:
-    """Write out and count distinct trigrams. Runs two jobs."""
+def hold_grams(distinct: DataFrame, broadcast_up_to: int = MAX_GRAMS, literal_up_to: int = LITERAL_GRAMS) -> Grams:
+    """Write out and count distinct trigrams; collects at most ``literal_up_to`` of them. Runs two jobs or three."""
     rows = cut(distinct.select("gram"))
-    return Grams(rows.withColumn("_hit", F.lit(1.0)), rows.count() <= broadcast_up_to)
+    count, members = rows.count(), None
+    if count <= min(literal_up_to, broadcast_up_to):
+        quoted = (r["gram"].replace("\\", "\\\\").replace("'", "\\'") for r in rows.orderBy("gram").collect())
+        members = ", ".join(f"'{gram}'" for gram in quoted)
+    return Grams(rows.withColumn("_hit", F.lit(1.0)), count <= broadcast_up_to, members)
 
 
 def known_grams(known: DataFrame, url: str = "url") -> DataFrame:
@@ -569,9 +576,15 @@ def trigram_similarity_sketch(
 def gram_share(df: DataFrame, grams: Grams, url: str = "url", out: str = "similarity") -> DataFrame:
     """Add the share of each URL's trigrams that are in ``grams``.
 
-    Few trigrams are broadcast: distinct URLs are shuffled once and expanded where they lie. Many are
-    shuffled, and with them only two 64-bit hashes of each URL, never its text.
+    A few thousand trigrams are a hash-set literal, so that the share is a projection of the URL. More are
+    broadcast: distinct URLs are shuffled once and expanded where they lie. Many are shuffled, and with them
+    only two 64-bit hashes of each URL, never its text.
     """
+    if grams.members is not None:
+        hits = F.expr(f"size(filter(_grams, g -> g IN ({grams.members})))") if grams.members else F.lit(0)
+        staged = df.withColumn("_grams", X.trigrams(F.col(url)))
+        shares = F.when(F.size("_grams") > 0, hits / F.size("_grams").cast("double"))
+        return staged.withColumn(out, F.coalesce(shares, F.lit(0.0))).drop("_grams")
     share = F.sum(F.coalesce(F.col("_hit"), F.lit(0.0))) / F.count(F.lit(1))
     if grams.few:
         urls = df.select(url).where(F.col(url).isNotNull()).distinct()
