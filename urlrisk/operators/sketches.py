@@ -35,7 +35,7 @@ WORD_BITS = 63  # keeps the sign bit clear
 WORDS = [f"_h{i}" for i in range(4)]
 MAX_BITMAP_BITS = 1 << 27  # 16 MiB of bits: default bound of a filter that is shipped to every task
 MAX_GRAMS = 1 << 20  # default bound of a trigram set that is broadcast (at most 12 bytes each)
-LITERAL_GRAMS = 1 << 14  # default bound of one that becomes a hash-set literal
+LITERAL_GRAMS = 1 << 14  # bound of one that becomes a hash-set literal, where asked for
 
 
 # -- filter shapes ---------------------------------------------------------------------------------
@@ -538,11 +538,11 @@ class Grams:
     members: str | None = None
 
 
-def hold_grams(distinct: DataFrame, broadcast_up_to: int = MAX_GRAMS, literal_up_to: int = LITERAL_GRAMS) -> Grams:
+def hold_grams(distinct: DataFrame, broadcast_up_to: int = MAX_GRAMS, literal_up_to: int = 0) -> Grams:
     """Write out and count distinct trigrams; collects at most ``literal_up_to`` of them. Runs two jobs or three."""
     rows = cut(distinct.select("gram"))
     count, members = rows.count(), None
-    if count <= min(literal_up_to, broadcast_up_to):
+    if literal_up_to and count <= min(literal_up_to, broadcast_up_to):
         quoted = (r["gram"].replace("\\", "\\\\").replace("'", "\\'") for r in rows.orderBy("gram").collect())
         members = ", ".join(f"'{gram}'" for gram in quoted)
     return Grams(rows.withColumn("_hit", F.lit(1.0)), count <= broadcast_up_to, members)
@@ -554,10 +554,11 @@ def known_grams(known: DataFrame, url: str = "url") -> DataFrame:
 
 
 def trigram_similarity(
-    df: DataFrame, known: DataFrame, url: str = "url", out: str = "similarity", broadcast_up_to: int = MAX_GRAMS
+    df: DataFrame, known: DataFrame, url: str = "url", out: str = "similarity", broadcast_up_to: int = MAX_GRAMS,
+    literal_up_to: int = 0,
 ) -> DataFrame:
     """Add the share of the URL's trigrams that occur in any known URL (0 for very short URLs). Exact."""
-    return gram_share(df, hold_grams(known_grams(known, url), broadcast_up_to), url, out)
+    return gram_share(df, hold_grams(known_grams(known, url), broadcast_up_to, literal_up_to), url, out)
 
 
 def trigram_similarity_sketch(
@@ -611,12 +612,12 @@ class Learned:
 
 def learn(
     known: DataFrame, shape: Shape | None = None, url: str = "url", ship_up_to: int = MAX_BITMAP_BITS,
-    broadcast_up_to: int = MAX_GRAMS,
+    broadcast_up_to: int = MAX_GRAMS, literal_up_to: int = LITERAL_GRAMS,
 ) -> Learned:
     """Build the learned filter of known malicious URLs. Runs jobs."""
     shape = shape or Shape.plain()
     members = held(build_plain(known, url, shape), shape.m, ship_up_to)
-    return Learned(shape, members, hold_grams(known_grams(known, url), broadcast_up_to))
+    return Learned(shape, members, hold_grams(known_grams(known, url), broadcast_up_to, literal_up_to))
 
 
 def trigram_signature(url: Column) -> Column:

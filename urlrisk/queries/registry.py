@@ -630,7 +630,7 @@ def f9_grown_stats(spark, sf):
 
 @register
 def f10_trigram_similarity(spark, sf):
-    similar = sketches.trigram_similarity(R.scan_log(spark, sf), _known_bad(spark, sf))
+    similar = sketches.trigram_similarity(R.scan_log(spark, sf), _known_bad(spark, sf), literal_up_to=sketches.LITERAL_GRAMS)
     return tidy(similar.select("event_id", "similarity"))
 
 
