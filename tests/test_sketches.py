@@ -54,6 +54,37 @@ def test_sliced_filter_grows(urls):
     assert all(r.in_filter for r in K.probe_sliced(members, "url", built).collect())
 
 
+def test_slices_of_one_table(urls):
+    """Many slices: the plans have no part per slice, and the slices hold what they hold apart, by each way of probing."""
+    members = urls([f"u{i}" for i in range(900)] + ["u1", None])
+    few, many = K.build_sliced(members, "url", K.Slices(300)), K.build_sliced(members, "url", K.Slices(30))
+    assert len(many) > 6 * len(few)
+    asked = urls([f"u{i}" for i in range(1000)] + [f"other{i}" for i in range(3000)] + [None, "u1", ""])
+
+    def size(df):
+        return len(df._jdf.queryExecution().logical().toString())
+
+    assert size(many.words) < 1.2 * size(few.words)
+    assert size(K.probe_sliced(asked, "url", many)) < 3 * size(K.probe_sliced(asked, "url", few))  # 20 hashes instead of 8
+    in_slices = [(s, set()) for s in many.shapes]
+    for r in many.words.selectExpr("slice", "word", "bits", "explode(sequence(0, 62)) AS bit").where("getbit(bits, bit) = 1").collect():
+        in_slices[r.slice][1].add(63 * r.word + r.bit)
+
+    def contained(url):
+        first, second = (int(digest_hex(url)[i:i + 8], 16) for i in (0, 8))
+        return any(all((first + i * (second if second % s.m else 1)) % s.m in set_bits for i in range(s.k)) for s, set_bits in in_slices)
+
+    largest = max(s.m for s, _ in many)
+    for ship_up_to in (K.MAX_BITMAP_BITS, 8 * largest, largest - 1, 0):
+        rows = K.probe_sliced(asked, "url", many, ship_up_to=ship_up_to).collect()
+        assert len(rows) == 4003 and all(r.in_filter == (r.url is not None and contained(r.url)) for r in rows)
+    assert K.probe_sliced(asked, "url", list(few)).collect() == K.probe_sliced(asked, "url", few).collect()
+
+
+def digest_hex(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
 def test_fingerprints_keep_the_second_instance(urls):
     buckets = K.fingerprint_buckets(1000)
     table = K.fingerprint_table(urls(["a", "a", "b"]), "url", buckets)

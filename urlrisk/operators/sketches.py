@@ -15,7 +15,7 @@ shuffled, and 0 always shuffles.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -152,14 +152,14 @@ def position_rows(items: DataFrame, positions: list[Column]) -> DataFrame:
     return items.select(F.explode(F.array(*positions)).alias("position"))
 
 
-def filter_words(positions: DataFrame) -> DataFrame:
-    """Set bits per word: ``(word, bits)``."""
+def filter_words(positions: DataFrame, *by: str) -> DataFrame:
+    """Set bits per word: ``(*by, word, bits)``."""
     bit = F.call_function(
         "shiftleft", F.lit(1).cast("bigint"), (F.col("position") % WORD_BITS).cast("int")
     )
     return (
-        positions.select(F.floor(F.col("position") / WORD_BITS).cast("bigint").alias("word"), bit.alias("bit"))
-        .groupBy("word").agg(F.bit_or("bit").alias("bits"))
+        positions.select(*by, F.floor(F.col("position") / WORD_BITS).cast("bigint").alias("word"), bit.alias("bit"))
+        .groupBy(*by, "word").agg(F.bit_or("bit").alias("bits"))
     )
 
 
@@ -299,42 +299,127 @@ class Slices:
         return shapes
 
 
-def slice_of(word: Column, slices: Slices, count: int) -> Column:
-    """Slice of an item: by hash, in proportion to the room of each slice."""
-    rooms = [slices.room(i) for i in range(count)]
-    share, total, chosen = 0, sum(rooms), None
-    for index, room in enumerate(rooms):
+@dataclass(frozen=True)
+class SliceTable(Sequence):
+    """All slices of a filter as one table ``(slice, word, bits)``, with their shapes; a sequence of (shape, words)."""
+
+    shapes: tuple[Shape, ...]
+    words: DataFrame
+
+    def __len__(self) -> int:
+        return len(self.shapes)
+
+    def __getitem__(self, index: int) -> tuple[Shape, DataFrame]:
+        return self.shapes[index], words_of(self.words, range(len(self))[index])
+
+
+def words_of(table: DataFrame, index: int) -> DataFrame:
+    """Words ``(word, bits)`` of one slice."""
+    return table.where(F.col("slice") == index).select("word", "bits")
+
+
+def stacked(spark: SparkSession, tables: list[DataFrame]) -> DataFrame:
+    """Words of several slices as one table ``(slice, word, bits)``."""
+    parts = [words.select(F.lit(i).alias("slice"), "word", "bits") for i, words in enumerate(tables)]
+    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "slice int, word long, bits long"))
+
+
+def place_in_slices(distinct: DataFrame, column: str, shapes: Sequence[Shape], rooms: Sequence[int], first: int = 0) -> DataFrame:
+    """Add digest words, and number, size ``m`` and hashes ``k`` of the slice that takes the item: slices from ``first``
+    on, by the third digest word in proportion to ``rooms``. The slices are rows, so that the plan is the same for any
+    number of them."""
+    share, total, lower, spans = 0, sum(rooms), 0, []
+    for index, (shape, room) in enumerate(zip(shapes, rooms, strict=True)):
         share += room
-        upper = (1 << 32) if index == count - 1 else (1 << 32) * share // total
-        condition = word < F.lit(upper).cast("bigint")
-        chosen = F.when(condition, index) if chosen is None else chosen.when(condition, index)
-    return chosen
+        upper = (1 << 32) if index == len(rooms) - 1 else (1 << 32) * share // total
+        spans.append((first + index, shape.m, shape.k, lower, upper))
+        lower = upper
+    table = distinct.sparkSession.createDataFrame(spans, "slice int, m long, k int, _lower long, _upper long")
+    inside = (F.col("_h2") >= F.col("_lower")) & (F.col("_h2") < F.col("_upper"))
+    return digest_columns(distinct, F.col(column), "_h").join(F.broadcast(table), inside).drop("_lower", "_upper")
 
 
-def build_sliced(items: DataFrame, column: str, slices: Slices) -> list[tuple[Shape, DataFrame]]:
-    """Shape and ``(word, bits)`` of every slice. Runs one job to count the distinct items.
+def _slice_position(words: list[Column], index: Column) -> Column:
+    """What ``counting_positions`` has at ``index``, in a slice whose size is in the column ``m``."""
+    size, wide = F.col("m"), F.col("m") >= H.WIDE
+    first, second = (F.when(wide, w).otherwise(n) for n, w in zip(words[:2], H.wide_words(words), strict=True))
+    step = F.when(second % size == 0, F.lit(1).cast("bigint")).otherwise(second)
+    return (first + index.cast("bigint") * step) % size
+
+
+def slice_words(placed: DataFrame) -> DataFrame:
+    """Set bits ``(slice, word, bits)`` of placed items."""
+    rows = placed.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
+        "slice", _slice_position([F.col(w) for w in WORDS], F.col("_i")).alias("position"))
+    return filter_words(rows, "slice")
+
+
+def build_sliced(items: DataFrame, column: str, slices: Slices) -> SliceTable:
+    """Shapes and words of all slices. Runs one job to count the distinct items.
 
     Items are spread over the slices by hash instead of in arrival order, so slices fill side by side
     and the build needs no global ordering.
     """
     distinct = items.select(column).where(F.col(column).isNotNull()).distinct()
     shapes = slices.shapes_for(distinct.count())
-    staged = digest_columns(distinct, F.col(column), "_h")
-    placed = staged.withColumn("_slice", slice_of(F.col("_h2"), slices, len(shapes)))
-    return [
-        (shape, filter_words(position_rows(placed.where(F.col("_slice") == i), counting_positions("_h", shape))))
-        for i, shape in enumerate(shapes)
-    ]
+    placed = place_in_slices(distinct, column, shapes, [slices.room(i) for i in range(len(shapes))])
+    return SliceTable(tuple(shapes), slice_words(placed))
 
 
 def probe_sliced(
-    df: DataFrame, column: str, built: list[tuple[Shape, DataFrame]], flag: str = "in_filter",
+    df: DataFrame, column: str, built: Sequence[tuple[Shape, DataFrame]], flag: str = "in_filter",
     ship_up_to: int = MAX_BITMAP_BITS,
 ) -> DataFrame:
-    """Add ``flag``: any slice contains the item."""
-    slices = [(shape, held(words, shape.m, ship_up_to)) for shape, words in built]
-    staged = _slice_flag(digest_columns(df, F.col(column), "_h"), column, slices, flag)
-    return staged.withColumn(flag, F.coalesce(flag, F.lit(False))).drop(*WORDS)
+    """Add ``flag``: any slice contains the item. Runs jobs.
+
+    Slices are shipped together, a row each, as long as they have ``ship_up_to`` positions in all; an item looks
+    through them until one contains it. To the words of a larger slice, items are shuffled.
+    """
+    if not isinstance(built, SliceTable):
+        built = SliceTable(tuple(s for s, _ in built), stacked(df.sparkSession, [words for _, words in built]))
+    words, groups, apart = cut(built.words), [], []
+    for index, shape in enumerate(built.shapes):
+        if shape.m > ship_up_to:
+            apart.append(index)
+        elif groups and sum(built.shapes[i].m for i in groups[-1]) + shape.m <= ship_up_to:
+            groups[-1].append(index)
+        else:
+            groups.append([index])
+    staged, names = digest_columns(df, F.col(column), "_h"), []
+    for chosen in [*groups, *([apart] if apart else [])]:
+        names.append(f"_in{len(names)}")
+        rows = [(i, built.shapes[i].m, built.shapes[i].k) for i in chosen]
+        shapes = df.sparkSession.createDataFrame(rows, "slice int, m long, k int")
+        look = _in_shuffled if chosen is apart else _in_shipped
+        staged = look(staged, column, shapes, max(k for _, _, k in rows), words, names[-1])
+    found = reduce(lambda a, b: a | b, [F.coalesce(F.col(name), F.lit(False)) for name in names])
+    return staged.withColumn(flag, found).drop(*names, *WORDS)
+
+
+def _in_shipped(staged: DataFrame, item: str, shapes: DataFrame, most: int, words: DataFrame, flag: str) -> DataFrame:
+    """Add ``flag``: one of the slices, of ``most`` hashes at most, contains the item."""
+    every = shapes.withColumn("word", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("m") / WORD_BITS))))
+    filled = every.join(words, ["slice", "word"], "left").withColumn("bits", F.coalesce("bits", F.lit(0)))
+    ordered = F.array_sort(F.collect_list(F.struct("word", "bits")))
+    dense = cut(filled.groupBy("slice", "m", "k").agg(F.transform(ordered, lambda w: w["bits"]).alias("_words")))
+    asked = [F.col(w).outer() for w in WORDS]
+    hits = [(F.col("k") <= i) | bit_at(F.col("_words"), _slice_position(asked, F.lit(i))) for i in range(most)]
+    return staged.withColumn(flag, F.broadcast(dense).where(reduce(lambda a, b: a & b, hits)).exists())
+
+
+def _in_shuffled(staged: DataFrame, item: str, shapes: DataFrame, most: int, words: DataFrame, flag: str) -> DataFrame:
+    """The same by shuffles, for slices of any size."""
+    distinct = staged.select(item, *WORDS).where(F.col(item).isNotNull()).dropDuplicates([item])
+    at = _slice_position([F.col(w) for w in WORDS], F.col("_i"))
+    probes = distinct.crossJoin(F.broadcast(shapes)).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
+        item, "slice", at.alias("_at")).withColumn("word", F.floor(F.col("_at") / WORD_BITS).cast("bigint"))
+    bit = F.getbit(F.col("bits"), (F.col("_at") % WORD_BITS).cast("int")) == 1
+    verdicts = (
+        probes.join(words, ["slice", "word"], "left")
+        .groupBy(item, "slice").agg(F.min(F.coalesce(bit, F.lit(False))).alias("_all"))
+        .groupBy(item).agg(F.max("_all").alias(flag))
+    )
+    return lookup_join(staged, verdicts, item)
 
 
 def _slice_flag(staged: DataFrame, item: str, slices: list[tuple[Shape, Positions]], flag: str) -> DataFrame:
