@@ -92,6 +92,18 @@ def test_slices_grow_tighter(spark):
     assert [n for n, _ in again] == [n for n, _ in held]
 
 
+def test_slices_grow_in_one_table(spark):
+    """A batch that opens many slices makes as many plans as one that opens few, and none per slice."""
+    batch = items(spark, [f"u{i}" for i in range(1200)] + ["u1", None])
+    few, many = (SF.grow_slices([], batch, "pattern", K.Slices(n)) for n in (1200, 20))
+    assert len(many) > 20 * len(few) and sum(many.counts) == sum(few.counts) == 1200
+    assert many.table.columns == ["slice", "word", "bits"] and many.table.select("slice").distinct().count() == len(many)
+    assert len(many.table._jdf.queryExecution().logical().toString()) <= 1.2 * len(few.table._jdf.queryExecution().logical().toString())
+    again = SF.grow_slices(many, items(spark, [f"u{i}" for i in range(1100, 1400)]), "pattern", K.Slices(20))
+    assert sum(again.counts) <= 1400 and K.probe_sliced(items(spark, [f"u{i}" for i in range(1400)]), "pattern", again.filter(K.Slices(20))).where(
+        "NOT in_filter").count() == 0
+
+
 @pytest.mark.parametrize("fold_every", [1, 3, 16])
 def test_keyed_table(spark, fold_every):
     path = scratch_path(spark, "keyed")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,51 +36,54 @@ def _union(tables: tuple[DataFrame, ...]) -> DataFrame:
     return every
 
 
+@dataclass(frozen=True)
+class GrownSlices(Sequence):
+    """Per slice the items put into it, and the words of all in one table ``(slice, word, bits)``; a sequence of (items, words)."""
+
+    counts: tuple[int, ...]
+    table: DataFrame
+
+    def __len__(self) -> int:
+        return len(self.counts)
+
+    def __getitem__(self, index: int) -> tuple[int, DataFrame]:
+        return self.counts[index], K.words_of(self.table, range(len(self))[index])
+
+    def filter(self, slices: K.Slices) -> K.SliceTable:
+        return K.SliceTable(tuple(slices.shape(i) for i in range(len(self))), self.table)
+
+
 def grow_slices(
-    held: list[tuple[int, DataFrame]], items: DataFrame, column: str, slices: K.Slices, ship_up_to: int = K.MAX_BITMAP_BITS
-) -> list[tuple[int, DataFrame]]:
+    held: Sequence[tuple[int, DataFrame]], items: DataFrame, column: str, slices: K.Slices, ship_up_to: int = K.MAX_BITMAP_BITS
+) -> GrownSlices:
     """``held``, per slice the items put into it and its words, after a batch of items. Runs jobs.
 
     Items that a slice contains already change nothing. The others are spread by hash over the room that is
     left in the last slice (60 % fill) and over as many further ones, each with a tighter rate, as they need.
+    The words are written out.
     """
+    if not isinstance(held, GrownSlices):
+        held = GrownSlices(tuple(n for n, _ in held), K.stacked(items.sparkSession, [words for _, words in held]))
     distinct = items.select(column).where(F.col(column).isNotNull()).distinct()
     if held:
-        built = [(slices.shape(i), words) for i, (_, words) in enumerate(held)]
         # written out first: a predicate on the probe would be pushed below the hash columns it is made of
-        distinct = cut(K.probe_sliced(distinct, column, built, "_in", ship_up_to)).where("not _in").select(column)
+        distinct = cut(K.probe_sliced(distinct, column, held.filter(slices), "_in", ship_up_to)).where("not _in").select(column)
     new = cut(distinct)
     left = new.count()
     start = max(0, len(held) - 1)
-    rooms = [max(0, slices.room(start) - (held[start][0] if held else 0))]
-    while sum(rooms) < left:
+    rooms = [max(0, slices.room(start) - (held.counts[start] if held else 0))]
+    total = rooms[0]
+    while total < left:
         rooms.append(slices.room(start + len(rooms)))
+        total += rooms[-1]
     if not left:
         return held
-    staged = K.digest_columns(new, F.col(column), "_h")
-    placed = cut(staged.withColumn("_slice", _spread(rooms)))
-    per = {r["_slice"]: r["count"] for r in placed.groupBy("_slice").count().collect()}
-    out = list(held)
-    for offset in range(len(rooms)):
-        index, count = start + offset, per.get(offset, 0)
-        own = placed.where(F.col("_slice") == offset)
-        words = K.filter_words(K.position_rows(own, K.counting_positions("_h", slices.shape(index))))
-        if index < len(out):
-            out[index] = (out[index][0] + count, merge_words(out[index][1], words))
-        else:
-            out.append((count, words))
-    return out
-
-
-def _spread(rooms: list[int]):
-    """Place in ``rooms``, in proportion to them, by the third digest word."""
-    share, total, chosen = 0, sum(rooms), None
-    for index, room in enumerate(rooms):
-        share += room
-        upper = (1 << 32) if index == len(rooms) - 1 else (1 << 32) * share // total
-        test = F.col("_h2") < F.lit(upper).cast("bigint")
-        chosen = F.when(test, index) if chosen is None else chosen.when(test, index)
-    return chosen
+    shapes = [slices.shape(start + offset) for offset in range(len(rooms))]
+    placed = cut(K.place_in_slices(new, column, shapes, rooms, start))
+    per = {r["slice"]: r["count"] for r in placed.groupBy("slice").count().collect()}
+    counts = [(held.counts[i] if i < len(held) else 0) + per.get(i, 0) for i in range(start + len(rooms))]
+    table = held.table.unionByName(K.slice_words(placed)).groupBy("slice", "word").agg(F.bit_or("bits").alias("bits"))
+    return GrownSlices(tuple(counts), cut(table))
 
 
 # -- plain filter ------------------------------------------------------------------------------------
@@ -131,27 +137,23 @@ class EnsembleStore:
         self.shape, self.allow_shape = K.Shape.rounded(capacity, fp_rate), K.Shape.rounded(allow_capacity, allow_fp_rate)
         self.buckets, self.slices = K.fingerprint_buckets(capacity), K.Slices(capacity, fp_rate)
 
-    def _tables(self) -> tuple[Commit | None, dict[str, DataFrame], list[tuple[int, DataFrame]]]:
+    def _tables(self) -> tuple[Commit | None, dict[str, DataFrame], GrownSlices]:
         last, spark = self.versions.latest(), self.versions.spark
         if last is None:
             none = spark.createDataFrame([], COUNTS)
-            return None, {"counting": none, "fingerprints": none, "allow": none}, []
+            return None, {"counting": none, "fingerprints": none, "allow": none}, GrownSlices((), spark.createDataFrame([], f"slice int, {WORDS}"))
         if last.facts["sizes"] != self.sizes:
             raise ValueError(f"the stored filters were made with {last.facts['sizes']}")
         tables = {name: self.versions.table(last.version, name, COUNTS) for name in ("counting", "fingerprints", "allow")}
         words = self.versions.table(last.version, "slices", f"slice int, {WORDS}")
-        held = [(n, words.where(F.col("slice") == i).select("word", "bits")) for i, n in enumerate(last.facts["slices"])]
-        return last, tables, held
+        return last, tables, GrownSlices(tuple(last.facts["slices"]), words)
 
-    def _write(self, last: Commit | None, batch: int | None, tables: dict[str, DataFrame], held: list[tuple[int, DataFrame]]) -> None:
+    def _write(self, last: Commit | None, batch: int | None, tables: dict[str, DataFrame], held: GrownSlices) -> None:
         version = 0 if last is None else last.version + 1
         for name, table in tables.items():
             self.versions.write(version, name, table)
-        sliced = self.versions.spark.createDataFrame([], f"slice int, {WORDS}")
-        for i, (_, words) in enumerate(held):
-            sliced = sliced.unionByName(words.select(F.lit(i).alias("slice"), "word", "bits"))
-        self.versions.write(version, "slices", sliced)
-        self.versions.commit(version, _later(last, batch), {"sizes": self.sizes, "slices": [n for n, _ in held]})
+        self.versions.write(version, "slices", held.table)
+        self.versions.commit(version, _later(last, batch), {"sizes": self.sizes, "slices": list(held.counts)})
 
     def add(self, malicious: DataFrame | None = None, safe: DataFrame | None = None, column: str = "pattern", batch: int | None = None) -> None:
         """Add a batch of block-list and allow-list entries. Runs jobs; does nothing if the numbered batch is in already."""
