@@ -44,6 +44,24 @@ def test_every_similar_pair_is_found(spark, urls, threshold, hashes, block):
     assert true and sum(p in wanted for p in true) >= 0.9 * len(true)
 
 
+@pytest.mark.parametrize(("threshold", "hashes", "most"), [(0.8, 10, 1024), (0.7, 6, 1024), (1.0, 4, 1024), (0.8, 10, 0)])
+def test_counts_without_pairs(spark, urls, monkeypatch, threshold, hashes, most):
+    """Classes, links and the most similar URL are those of all pairs, by groups or, with too many choices, by pairs."""
+    monkeypatch.setattr(similar, "MOST_CHOICES", most)
+    if most:
+        monkeypatch.setattr(similar, "similar_urls", None)  # pairs are not made
+    signed = {u: signature(u, hashes) for u in {u for u in some_urls() if u and len(u) >= 3}}
+    least, wanted = round(threshold * hashes + 0.49), {}
+    for a, mine in signed.items():
+        near = [(-sum(x == y for x, y in zip(mine, other, strict=True)), b.encode(), b) for b, other in signed.items() if b != a]
+        near = sorted(n for n in near if -n[0] >= least)
+        twins = [b for b, other in signed.items() if other == mine]
+        wanted[a] = (min(twins, key=str.encode), len(near), *((near[0][2], -near[0][0] / hashes) if near else (None, None)))
+    rows = similar.similar_counts(urls(some_urls()), threshold, hashes).collect()
+    assert len(rows) == len(wanted) and {r.url: tuple(r)[1:] for r in rows} == wanted
+    assert similar.most_similar(urls(some_urls()), threshold, hashes).count() == sum(w[1] > 0 for w in wanted.values())
+
+
 def test_bands_leave_one_whole():
     for hashes in range(1, 40):
         for least in range(1, hashes + 1):
