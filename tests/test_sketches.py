@@ -1,7 +1,9 @@
 import hashlib
 
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_point
 from urlrisk.operators import sketches as K
 
 
@@ -38,6 +40,18 @@ def test_filters_have_no_false_negatives_and_both_probes_agree(urls):
         assert hit == all(digest(f"{i}:{url}") % shape.m in bits for i in range(shape.k))
 
 
+def test_probe_of_many_known_urls_tells_them_apart(spark, tmp_path):
+    """The filter of the registered probe has room for its list: it holds the known URLs and next to none of the others."""
+    spark.range(800).selectExpr("id AS page_id", "concat('http://h', id, '.org/') AS url", "'' AS html").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = dict(entry_point.queries()["f3_bloom_probe"](spark, str(tmp_path)).collect())
+    known = {u for u in rows if u.startswith(("http://paypa1", "http://paypal.", "http://evil.xyz", "http://secure-paypal"))}
+    assert len(known) == 200 and len(rows) == 1450 and all(rows[u] for u in known)
+    assert sum(rows.values()) <= len(known) + 2
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert dict(duck.execute(entry_point.oracle_sql()["f3_bloom_probe"]).fetchall()) == rows
+
+
 def test_counting_filter_removes_what_it_contains(urls):
     shape = K.Shape.rounded(100, 0.001)
     table = K.counting_table(urls(["a", "b", "b"]), "url", shape)
