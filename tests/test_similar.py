@@ -2,8 +2,10 @@ import hashlib
 import random
 from itertools import combinations
 
+import duckdb
 import pytest
 
+import __spark_entry__ as entry_point
 from urlrisk.operators import chains, similar
 
 P = 2147483647
@@ -62,6 +64,31 @@ def test_counts_without_pairs(spark, urls, monkeypatch, threshold, hashes, most)
     assert similar.most_similar(urls(some_urls()), threshold, hashes).count() == sum(w[1] > 0 for w in wanted.values())
 
 
+def test_the_query_returns_every_pair(spark, tmp_path):
+    """Each two similar URLs of the corpus are a row, those of one signature as well; by its SQL too."""
+    spark.range(480).selectExpr("id AS page_id", "concat('http://shop.example.net/item/', id) AS url", "'' AS html").write.parquet(f"{tmp_path}/pages.parquet")
+    made = entry_point.queries()["b22_similar_urls"](spark, str(tmp_path))
+    rows = {tuple(r) for r in made.select("first_url", "second_url", "similarity").collect()}
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    corpus = [u for u, in duck.execute("SELECT url FROM pages WHERE page_id % 16 > 12").fetchall()]
+    signed = {u: signature(u, 10) for u in corpus}
+    same = {(a, b): sum(x == y for x, y in zip(signed[a], signed[b], strict=True)) for a, b in combinations(sorted(corpus), 2)}
+    assert {p for p, n in same.items() if n >= 8} == {(a, b) for a, b, _ in rows if a in signed and b in signed}
+    assert {8, 9, 10} <= {round(10 * s) for _, _, s in rows}
+    assert set(duck.execute(entry_point.oracle_sql()["b22_similar_urls"]).fetchall()) == rows
+
+
+def test_pairs_are_made_by_blocks(spark, urls, monkeypatch):
+    """Classes of many blocks: every pair comes once, however the blocks and tasks are cut."""
+    given = urls([f"http://shop.example.net/item/{i}{i}" for i in range(10, 400)] + [None, "ab"])
+    whole = similar.similar_urls(given)
+    monkeypatch.setattr(similar, "PAIRS_A_TASK", 100)
+    cut = similar.similar_urls(given, block=7)
+    assert sorted(whole.collect()) == sorted(cut.collect()) and whole.count() > 1000
+    assert cut.rdd.getNumPartitions() > 10 * whole.rdd.getNumPartitions()
+
+
 def test_bands_leave_one_whole():
     for hashes in range(1, 40):
         for least in range(1, hashes + 1):
